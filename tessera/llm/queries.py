@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import conversations, forms
+from tessera.llm import conversations, forms, pairs
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -15,9 +15,13 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.assemble_backlog(spark, f"{sf}/translation_items.parquet")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.first_defect(pairs.defects(_t(spark, sf, "translation_items")))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return forms.same_looking_pairs(_t(spark, sf, "translation_items"), ["original_lines", "translation_lines"])
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p4_found": p4_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found}
