@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import conversations, forms, pairs
+from tessera.llm import conversations, forms, language, pairs
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    documents = _t(spark, sf, "documents")
+    model = language.train(documents)
+    records = language.records(documents, _t(spark, sf, "translation_items"), _t(spark, sf, "language_settings"))
+    found = language.segment(records, model, mislabelled=True)
+    return found.dropDuplicates(["record_kind", "record_key", "seg"]).select("record_kind", "record_key", "seg", "lang")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.assemble_backlog(spark, f"{sf}/translation_items.parquet")
 
@@ -24,4 +32,4 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found}
