@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import conversations, forms, language, pairs
+from tessera.llm import codetext, conversations, forms, language, packing, pairs, subjects, tokens
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -31,5 +32,47 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return forms.same_looking_pairs(_t(spark, sf, "translation_items"), ["original_lines", "translation_lines"])
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return codetext.natural_spans(_t(spark, sf, "plugin_source_files")).select("file_id", "start_index", "lang")
+
+
+def p5_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return codetext.shares(codetext.natural_spans(_t(spark, sf, "plugin_source_files")))
+
+
+def p5_literals(spark: SparkSession, sf: str) -> DataFrame:
+    return codetext.literal_languages(_t(spark, sf, "plugin_source_candidates"))
+
+
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    documents = _t(spark, sf, "documents")
+    return tokens.encode(documents, tokens.build_lexicon(documents))
+
+
+def _sizes(spark: SparkSession, sf: str) -> DataFrame:
+    documents = _t(spark, sf, "documents")
+    return packing.sizes_table(tokens.token_counts(documents, tokens.build_lexicon(documents)))
+
+
+def p7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.by_patterns(_sizes(spark, sf), _t(spark, sf, "token_budgets"))
+
+
+def p7_harmonic(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.harmonic(_sizes(spark, sf), _t(spark, sf, "token_budgets"))
+
+
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    budgets = _t(spark, sf, "token_budgets")
+    sizes = _sizes(spark, sf)
+    close, classes = packing.by_patterns(sizes, budgets), packing.harmonic(sizes, budgets)
+    return packing.fill(close, budgets).withColumn("method", F.lit("patterns")).unionByName(packing.fill(classes, budgets).withColumn("method", F.lit("harmonic")))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects.subjects(_t(spark, sf, "documents"), _t(spark, sf, "subject_labels"), _t(spark, sf, "subject_areas"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found}
+    """Every pN_ query of this module by name."""
+    return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}

@@ -21,7 +21,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,15 +125,14 @@ class Lexicon:
 
     NAMES = ("keys", "target", "add", "final", "start", "ids")
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            n = int.from_bytes(f.read(8), "little")
-            head = f.read(n).decode()
+    def __init__(self, data: str | bytes):
+        if isinstance(data, str):
+            data = np.memmap(data, np.uint8, "r")
+        n = int.from_bytes(bytes(data[:8]), "little")
         base = 8 + n
-        for name, part in zip(self.NAMES, head.split(";"), strict=True):
+        for name, part in zip(self.NAMES, bytes(data[8:base]).decode().split(";"), strict=True):
             dtype, count, at = part.split(",")
-            size = int(count)
-            setattr(self, name, np.memmap(path, dtype, "r", base + int(at), (size,)) if size else np.empty(0, dtype))
+            setattr(self, name, np.frombuffer(data, dtype, int(count), base + int(at)) if int(count) else np.empty(0, dtype))
 
     @classmethod
     def pack(cls, arrays: dict[str, np.ndarray]) -> bytes:
@@ -198,24 +196,24 @@ def build_lexicon(texts: DataFrame, vocabulary: str | None = None, size: int = L
     top = counts.orderBy(F.desc("n"), "word").limit(size).select("word").toPandas()["word"]
     entries = sorted({w.encode(): merge(w.encode(), vocabulary) for w in top}.items())
     path = scratch(spark, "lexicon")
-    spark.createDataFrame([(Lexicon.pack(compile_lexicon(entries)),)], "data binary").coalesce(1).write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    out = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(file)
+    out.write(bytearray(Lexicon.pack(compile_lexicon(entries))))
+    out.close()
     return path
 
 
 _OPEN: dict[str, Lexicon] = {}
 
 
-def _lexicon(key: str, data: bytes) -> Lexicon:
-    """The worker's memory map of the lexicon, from a file of its own that is made once."""
-    if key not in _OPEN:
-        folder = SparkFiles.getRootDirectory()
-        path = os.path.join(folder if os.path.isdir(folder) else "/tmp", f"lexicon-{key}-{os.getpid()}")
-        with open(path, "wb") as f:
-            f.write(data)
+def _lexicon(path: str, data: bytes | None) -> Lexicon:
+    """The worker's view of the lexicon: a memory map of the shared file, or the bytes sent where the shared folder is
+    no file system of the machine."""
+    if path not in _OPEN:
         _OPEN.clear()
-        _OPEN[key] = Lexicon(path)
-        os.unlink(path)  # the map stays valid, nothing is left behind
-    return _OPEN[key]
+        _OPEN[path] = Lexicon(path if data is None else data)
+    return _OPEN[path]
 
 
 class Encoder:
@@ -255,9 +253,11 @@ class Encoder:
 
 
 def _encoder(spark: SparkSession, lexicon: str, vocabulary: str):
-    data = spark.sparkContext.broadcast(spark.read.parquet(lexicon).head()["data"])
-    key = lexicon.rsplit("-", 1)[-1]
-    return lambda: Encoder(_lexicon(key, data.value), vocabulary)
+    local = lexicon.removeprefix("file://") if lexicon.startswith(("file://", "/")) else None
+    if local:
+        return lambda: Encoder(_lexicon(local, None), vocabulary)
+    data = spark.sparkContext.broadcast(bytes(spark.read.format("binaryFile").load(lexicon).head()["content"]))
+    return lambda: Encoder(_lexicon(lexicon, data.value), vocabulary)
 
 
 #: Characters that are encoded at a time, so that a task's memory doesn't depend on the size of its batches.
