@@ -1,11 +1,11 @@
 """Subject areas of each document by label propagation over the graph that documents form through their phrases.
 
-Documents are linked by the sentences they hold, and sentences by the phrases they share (words and word pairs of
-spaced languages, character runs of the others). A link carries labels only once it is verified: enough support, and
-one subject clearly ahead among what it links. Labels that people gave seed the graph; each round propagates, by
-joins, from sentences to phrases and back, and seeds that the graph contradicts lose their trust while trusted ones
-stay clamped. A sentence takes at most one subject, a document every subject that holds at least a quarter of its
-sentences, so several subjects are kept.
+Two documents are linked by the phrases both hold (words and word pairs of spaced languages, character runs of the
+others). A link carries labels only once it is verified: enough documents hold the phrase, and one subject is clearly
+ahead among them. Labels that people gave seed the graph; each round propagates by joins from documents to phrases,
+from phrases to sentences and from those back to the documents, over all documents. Seeds that the graph bears out
+stay clamped, those it contradicts lose their trust. A sentence takes the subject of its strongest link, a document
+every subject that holds at least a quarter of its sentences, so several subjects are kept.
 
 Defined results: null and empty texts and texts without words have no subject; labels of unknown documents or with
 null fields are ignored, repeated ones count once; without labels no document has a subject; texts of any length are
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.language import plain_table, sentences
@@ -28,22 +28,21 @@ from tessera.session import stored
 #: Share of a document's sentences from which it is about a subject.
 SHARE = 0.25
 ROUNDS = 3
-#: A link is verified from this many labelled documents, or sentences, and this share of one subject on.
-SEED_SUPPORT, SEED_SHARE = 2, 0.6
-SUPPORT, LINK_SHARE = 3, 0.7
-#: Evidence from which a sentence takes a subject, and its lead over the next subject.
-EVIDENCE, LEAD = 2.5, 1.0
+#: Smoothed share of one subject among a phrase's documents from which its links are verified: among labelled
+#: documents in the first round (three that agree), among all documents afterwards (five that agree).
+SEED_SHARE, LINK_SHARE = 0.7, 0.78
 
 _DIGITS = re.compile(r"\d+")
 _TOKEN = re.compile(r"(?P<hangul>[가-힣]+)|(?P<kata>[ァ-ヺー]+)|(?P<han>[一-鿿㐀-䶿々]+)|(?P<latin>[^\W\d_ぁ-ヿ㐀-鿿가-힣]+)")
+_MIXED = re.compile("(?=([一-鿿][ぁ-ゖ]{2}|[ぁ-ゖ]{2}[一-鿿]))")
 _SPEAKER = re.compile(r"^\s*(?:[-*•]\s*|\d+\)\s*)?[^\s:：「]{1,20}\s*(?::\s|：|「)")
 
 
 def phrases(sentence: str) -> set[str]:
-    """The phrases of a sentence: words and pairs of words, katakana and Han runs, Han pairs and triples, and the
-    heads of Korean words."""
+    """The phrases of a sentence: words and pairs of words, katakana runs, Han pairs and triples, Han next to
+    hiragana, and the heads of Korean words."""
     s = _SPEAKER.sub("", sentence).lower()
-    out, last = set(), ""
+    out, last = set(_MIXED.findall(s)), ""
     for m in _TOKEN.finditer(s):
         w, kind = m.group(), m.lastgroup
         if kind == "latin":
@@ -68,81 +67,74 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _hash(x: str) -> int:
+    h = xxhash.xxh64_intdigest(x.encode("utf-8", "replace"))
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _cut(documents: DataFrame) -> DataFrame:
-    """``(doc_id, sentence, n, phrases)``: the sentences of each document as hashes; the phrases of a sentence are
-    given where a batch first meets it."""
+    """``(doc_id, sentences, counts, phrases, fresh)``: each document's distinct sentences and phrases as hashes;
+    ``fresh`` has the phrases of sentences where a batch first meets them."""
     sent = documents.sparkSession.sparkContext.broadcast(plain_table(documents.sparkSession))
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for start in range(0, len(b), 1000):
                 part = b.iloc[start : start + 1000]
-                known: dict[str, int] = {}
+                known: dict[str, tuple[int, list[int]]] = {}
                 rows = []
                 for doc, text in zip(part["doc_id"], part["text"], strict=True):
                     own: dict[str, int] = {}
                     for s in sentences(text, sent.value) if text else []:
                         k = _DIGITS.sub("0", s.strip()).lower()
                         own[k] = own.get(k, 0) + 1
-                    for k, n in own.items():
-                        new = k not in known
-                        h = known.setdefault(k, _signed(xxhash.xxh64_intdigest(k.encode("utf-8", "replace"))))
-                        rows.append((doc, h, n, [_signed(xxhash.xxh64_intdigest(p.encode("utf-8", "replace"))) for p in phrases(k)] if new else None))
-                yield pd.DataFrame(rows, columns=["doc_id", "sentence", "n", "phrases"])
+                    fresh = []
+                    for k in own:
+                        if k not in known:
+                            known[k] = (_hash(k), [_hash(p) for p in phrases(k)])
+                            fresh.append({"sentence": known[k][0], "phrases": known[k][1]})
+                    rows.append((doc, [known[k][0] for k in own], list(own.values()), list({p for k in own for p in known[k][1]}), fresh))
+                yield pd.DataFrame(rows, columns=["doc_id", "sentences", "counts", "phrases", "fresh"])
 
-    return documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(step, "doc_id long, sentence long, n int, phrases array<long>")
+    kind = "doc_id long, sentences array<long>, counts array<int>, phrases array<long>, fresh array<struct<sentence:long,phrases:array<long>>>"
+    return documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(step, kind)
 
 
-def _votes(counts: DataFrame, total: DataFrame, support: int, share: float) -> DataFrame:
-    """Verified links ``(phrase, subject_id, weight)``: one subject for a phrase, by its share of what it links."""
-    best = counts.groupBy("phrase").agg(F.max(F.struct("c", "subject_id")).alias("best"))
-    return (
-        best.join(total, "phrase")
-        .select("phrase", F.col("best.subject_id").alias("subject_id"), F.col("best.c").alias("c"), "n")
-        .where((F.col("n") >= support) & (F.col("c") >= share * F.col("n")))
-        .select("phrase", "subject_id", F.log((F.col("c") + 0.5) / (F.col("n") - F.col("c") + 0.5)).alias("weight"))
-    )
+def _links(docs: DataFrame, labels: DataFrame, total: DataFrame, share: float) -> DataFrame:
+    """Verified links ``(phrase, subject_id, strength)``: the subject that is ahead among a phrase's documents."""
+    counts = docs.join(labels, "doc_id").select("subject_id", F.explode("phrases").alias("phrase")).groupBy("phrase", "subject_id").agg(F.count("*").alias("c"))
+    best = counts.groupBy("phrase").agg(F.max(F.struct("c", F.col("subject_id"))).alias("best"))
+    strength = (F.col("best.c") + 0.5) / (F.col("n") + 2)
+    return best.join(total, "phrase").select("phrase", F.col("best.subject_id").alias("subject_id"), strength.alias("strength")).where(F.col("strength") >= share)
 
 
-def _assign(edges: DataFrame, votes: DataFrame) -> DataFrame:
-    """``(sentence, subject_id)``: the subject whose verified links give a sentence enough evidence and lead."""
-    sums = edges.join(votes, "phrase").groupBy("sentence", "subject_id").agg(F.sum("weight").alias("w"))
-    top = sums.groupBy("sentence").agg(F.max(F.struct("w", "subject_id")).alias("best"), F.sum("w").alias("all"))
-    return top.where((F.col("best.w") >= EVIDENCE) & (2 * F.col("best.w") - F.col("all") >= LEAD)).select("sentence", F.col("best.subject_id").alias("subject_id"))
+def _assign(edges: DataFrame, links: DataFrame) -> DataFrame:
+    """``(sentence, subject_id)``: the subject of a sentence's strongest verified link."""
+    best = edges.join(links, "phrase").groupBy("sentence").agg(F.max(F.struct("strength", "subject_id")).alias("best"))
+    return best.select("sentence", F.col("best.subject_id").alias("subject_id"))
 
 
 def _shares(held: DataFrame, assigned: DataFrame) -> DataFrame:
     """``(doc_id, subject_id, share)`` of the documents' sentences."""
-    total = held.groupBy("doc_id").agg(F.sum("n").alias("all"))
-    per = held.join(assigned, "sentence").groupBy("doc_id", "subject_id").agg(F.sum("n").alias("n"))
-    return per.join(total, "doc_id").select("doc_id", "subject_id", (F.col("n") / F.col("all")).alias("share"))
+    return held.join(assigned, "sentence").groupBy("doc_id", "subject_id").agg((F.sum("n") / F.max("all")).alias("share"))
 
 
 def propagate(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``(doc_id, subject_id, share)`` of every document and subject with any sentence of it."""
     spark = documents.sparkSession
-    cut = stored(spark, _cut(documents), "sentences")
-    held = cut.select("doc_id", "sentence", "n")
-    every = cut.where("phrases is not null").groupBy("sentence").agg(F.first("phrases").alias("phrases"))
-    total = None
-    edges = stored(spark, every.select("sentence", F.explode("phrases").alias("phrase")), "edges")
-    total = stored(spark, edges.groupBy("phrase").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT), "phrases")
+    cut = stored(spark, _cut(documents), "cut")
+    docs = cut.select("doc_id", "phrases")
+    whole = F.aggregate("counts", F.lit(0), lambda a, x: a + x).alias("all")
+    held = cut.select("doc_id", whole, F.explode(F.arrays_zip("sentences", "counts")).alias("x")).select("doc_id", "all", F.col("x.sentences").alias("sentence"), F.col("x.counts").alias("n"))
+    fresh = cut.select(F.explode("fresh").alias("x")).select("x.*").groupBy("sentence").agg(F.first("phrases").alias("phrases"))
+    total = stored(spark, docs.select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n")).where("n > 2"), "phrases")
+    edges = stored(spark, fresh.select("sentence", F.explode("phrases").alias("phrase")).join(total.select("phrase"), "phrase"), "edges")
     seeds = labels.select("doc_id", "subject_id").where("doc_id is not null and subject_id is not null").distinct()
-    seeds = seeds.withColumn("weight", 1 / F.count("*").over(Window.partitionBy("doc_id")))
-    # round 0: phrases of labelled documents, each document once
-    near = held.join(seeds.select("doc_id").distinct(), "doc_id", "left_semi").join(edges, "sentence").select("doc_id", "phrase").distinct()
-    near = stored(spark, near, "near")
-    counts = near.join(seeds, "doc_id").groupBy("phrase", "subject_id").agg(F.sum("weight").alias("c"))
-    links = _votes(counts, near.groupBy("phrase").agg(F.count("*").alias("n")), SEED_SUPPORT, SEED_SHARE)
-    assigned = stored(spark, _assign(edges, links), "assigned")
+    seeded = docs.join(seeds.select("doc_id").distinct(), "doc_id", "left_semi").select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
+    assigned = stored(spark, _assign(edges, _links(docs, seeds, seeded, SEED_SHARE)), "assigned")
     for _ in range(rounds):
-        # clamped: seeds that the graph bears out add their documents to what a phrase links
-        trusted = seeds.join(_shares(held, assigned).where(F.col("share") >= SHARE), ["doc_id", "subject_id"], "left_semi")
-        clamped = near.join(trusted, "doc_id").groupBy("phrase", "subject_id").agg(F.count("*").alias("seeded"))
-        graph = edges.join(assigned, "sentence").groupBy("phrase", "subject_id").agg(F.count("*").alias("c"))
-        borne = graph.join(clamped, ["phrase", "subject_id"], "left").select("phrase", "subject_id", "c")
-        links = _votes(borne, total, SUPPORT, LINK_SHARE)
-        assigned = stored(spark, _assign(edges, links), "assigned")
+        about = _shares(held, assigned).where(F.col("share") >= SHARE).select("doc_id", "subject_id")
+        assigned = stored(spark, _assign(edges, _links(docs, about, total, LINK_SHARE)), "assigned")
     return _shares(held, assigned)
 
 
