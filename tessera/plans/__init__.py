@@ -1,3 +1,5 @@
 """Queries over the tables of TESTDATA.md, grouped like the operators."""
 
-MODULES: list = []
+from tessera.plans import relational
+
+MODULES = [relational]
