@@ -1,9 +1,9 @@
 """Rebuilding ordered conversations from message rows by keyed streaming state.
 
 Every message row is reduced on the JVM side to ``(game_id, conv, fact_id, position, speaker, sound, event time)``.
-``assemble`` buffers the messages of a conversation in state under an event-time watermark; late arrivals join the
-buffer, and when the watermark passes the conversation's last message by ``timeout`` it is validated and emitted
-whole, in order, or left out. ``assemble_backlog`` runs a bounded input through the same operator: the backlog is one
+``assemble`` buffers the messages of a conversation in keyed state under an event-time watermark; late arrivals join
+the buffer, and when the watermark passes the conversation's last message by ``timeout`` it is validated and emitted
+whole, in order, or left out. State and validation stay in the JVM. ``assemble_backlog`` runs a bounded input through the same operator: the backlog is one
 micro-batch (so no row can be late) followed by a closing marker that lets every open conversation time out.
 
 Defined results: rows whose path is no message's are left out; a null game_id is a game of its own; rows stored twice
@@ -14,12 +14,9 @@ an empty input gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.llm.forms import CONTROL, form_table
 from tessera.session import remove, scratch
@@ -27,7 +24,6 @@ from tessera.session import remove, scratch
 NARRATION = "旁白"
 PLAYER = "\x00player"
 _PATH = r"(?i)^(?:.*/)?(map[0-9]+|troops|commonevents)\.json((?:/[0-9]+)+)/([^/]*)$"
-_STATE = "fact array<string>, pos array<long>, speaker array<string>, sound array<boolean>"
 _OUT = "game_id long, conv string, turn int, fact_id string"
 
 
@@ -90,44 +86,29 @@ def message_rows(items: DataFrame) -> DataFrame:
     )
 
 
-def valid_turns(fact: list, pos: list, speaker: list, sound: list) -> list:
-    """The fact ids of a sound conversation in order, or nothing."""
-    rows = {f: (p, s, ok) for f, p, s, ok in zip(fact, pos, speaker, sound, strict=True)}
-    if not all(ok and p is not None and p >= 0 and s for p, s, ok in rows.values()):
-        return []
-    if len({p for p, _, _ in rows.values()}) < len(rows) or len({s for _, s, _ in rows.values()} - {NARRATION}) < 2:
-        return []
-    return sorted(rows, key=lambda f: rows[f][0])
-
-
-def assemble(messages: DataFrame, delay: str = "7 days", timeout_ms: int = 3_600_000) -> DataFrame:
-    """The streaming operator: messages (see ``message_rows``) -> turns of validated conversations, in append mode."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            game, conv = key
-            kept = valid_turns(*state.get)
-            state.remove()
-            if kept and conv is not None:
-                yield pd.DataFrame({"game_id": pd.array([game] * len(kept), "Int64"), "conv": conv, "turn": range(len(kept)), "fact_id": kept})
-            return
-        held = [list(x) for x in state.get] if state.exists else [[], [], [], []]
-        latest = 0
-        for b in batches:
-            held[0] += b["fact_id"].tolist()
-            held[1] += [None if x != x or x is None else int(x) for x in b["pos"].tolist()]
-            held[2] += b["speaker"].tolist()
-            held[3] += b["sound"].tolist()
-            latest = max(latest, int(b["at"].max().timestamp() * 1000))
-        state.update(tuple(held))
-        if key[1] is not None:  # the closing marker itself never closes
-            state.setTimeoutTimestamp(max(latest + timeout_ms, state.getCurrentWatermarkMs() + 1))
+def assemble(messages: DataFrame, delay: str = "7 days", timeout: str = "3650 days") -> DataFrame:
+    """The streaming operator: messages (see ``message_rows``) -> turns of validated conversations, in append mode.
 
-    return (
-        messages.withWatermark("at", delay)
-        .groupBy("game_id", "conv")
-        .applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    The state of a conversation is the buffer of its messages, kept per session: a conversation is closed once the
+    watermark (``delay`` behind the latest event time) is ``timeout`` past its last message, so messages that arrive
+    out of order or late still find their buffer. Closed conversations are validated and emitted as a whole.
+    """
+    row = F.struct("pos", "fact_id", "speaker", "sound")
+    closed = messages.withWatermark("at", delay).groupBy(F.session_window("at", timeout), "game_id", "conv").agg(F.array_sort(F.collect_list(row)).alias("all"))
+    return turns(closed)
+
+
+def turns(closed: DataFrame) -> DataFrame:
+    """Validate whole conversations ``(game_id, conv, all: messages in order)`` and number the turns of the sound ones.
+    Everything is judged between neighbours of the ordered buffer, so its cost grows with its length only."""
+    once = F.filter("all", lambda x, i: (i == 0) | ~x.eqNullSafe(F.col("all")[F.greatest(i - 1, F.lit(0))]))
+    one = closed.select("game_id", "conv", once.alias("rows"))
+    sound = F.forall("rows", lambda x: x["sound"] & x["pos"].isNotNull() & x["speaker"].isNotNull())
+    apart = ~F.exists(F.transform("rows", lambda x, i: (i > 0) & (x["pos"] == F.col("rows")[F.greatest(i - 1, F.lit(0))]["pos"])), lambda same: same)
+    voices = F.transform(F.filter("rows", lambda x: x["speaker"] != NARRATION), lambda x: x["speaker"])
+    several = F.array_min(voices) < F.array_max(voices)
+    kept = one.where(sound).where(apart).where(several)
+    return kept.select("game_id", "conv", F.posexplode("rows").alias("turn", "x")).select("game_id", "conv", "turn", F.col("x.fact_id").alias("fact_id"))
 
 
 def assemble_backlog(spark: SparkSession, path: str) -> DataFrame:
@@ -138,7 +119,7 @@ def assemble_backlog(spark: SparkSession, path: str) -> DataFrame:
     glob = f"{path[:-1]}[{path[-1]}]"  # as a pattern, a single file is as good a source as a folder
     messages = message_rows(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2**31 - 1).parquet(glob))
     marker = spark.range(1, numPartitions=1).select(
-        F.lit(None).cast("long").alias("game_id"), F.lit(None).cast("string").alias("conv"), F.lit("").alias("fact_id"), F.lit(None).cast("long").alias("pos"),
+        F.lit(None).cast("long").alias("game_id"), F.lit("").alias("conv"), F.lit("").alias("fact_id"), F.lit(None).cast("long").alias("pos"),
         F.lit(None).cast("string").alias("speaker"), F.lit(False).alias("sound"), F.lit("2200-01-01").cast("timestamp").alias("at"),
     )
     marker.write.parquet(f"{home}/marker")
