@@ -1,5 +1,5 @@
 """Queries over the tables of TESTDATA.md, grouped like the operators."""
 
-from tessera.plans import relational
+from tessera.plans import relational, textual
 
-MODULES = [relational]
+MODULES = [relational, textual]
