@@ -234,14 +234,11 @@ def plain_table(spark: SparkSession) -> dict[int, str]:
 def train(documents: DataFrame) -> Model:
     """A model from the bounded sample: ``SAMPLE_DOCS`` labelled documents by hash, their sentences by script."""
     table = plain_table(documents.sparkSession)
-    rows = (
-        documents.select(label_language(F.col("lang")).alias("lang"), "text", F.xxhash64("doc_id").alias("h"))
-        .where("lang is not null and text is not null and length(text) > 0")
-        .orderBy("h")
-        .limit(SAMPLE_DOCS)
-        .select("lang", "text")
-        .collect()
-    )
+    labelled = documents.select(label_language(F.col("lang")).alias("lang"), "text", F.xxhash64("doc_id").alias("h")).where("lang is not null and text is not null and length(text) > 0")
+    # a cut of the hashes that leaves about the sample, so that what reaches the driver doesn't grow with the corpus
+    share = min(1.0, 1.3 * SAMPLE_DOCS / max(1, labelled.count()))
+    cut = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
+    rows = labelled.where(F.col("h") <= F.lit(cut)).orderBy("h").limit(SAMPLE_DOCS).select("lang", "text").collect()
     texts, labels = [], []
     seen = set()
     for r in rows:
