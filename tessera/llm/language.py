@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from tessera.llm.forms import form_table
 
 LANGS = ("ja", "en", "zh", "ko", "fr", "de", "es")
-#: Bounds of the training sample: documents, and sentences of those.
+#: Bounds of the training sample: documents, sentences of one document, and sentences of all.
 SAMPLE_DOCS = 4000
-SAMPLE_SENTENCES = 40_000
+DOC_SENTENCES = 20
+SAMPLE_SENTENCES = 25_000
 BUCKETS = 1 << 18
 ORDERS = (1, 2, 3)
 #: Below this confidence a sentence takes the language of its neighbours.
@@ -190,25 +191,28 @@ def _ftrl(g: np.ndarray, o: np.ndarray, y: np.ndarray, idf: np.ndarray, epochs:
     return w[:, :BUCKETS], w[:, BUCKETS]
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 3) -> Model:
-    """Fit on labelled sentences; those whose label a first fit contradicts strongly are left out of the second."""
-    y = np.array(labels)
+def fit(texts: list[str], labels: list[int], groups: list[int], epochs: int = 3) -> Model:
+    """Fit on labelled sentences. Labels are noisy by document, so two models are fitted first, each on half of the
+    groups (documents); a sentence whose label the model of the other half contradicts is left out of the last fit."""
+    y, half = np.array(labels), np.array(groups) % 2
     g, o = _grams(texts)
     seen = np.unique(np.stack([g, o]), axis=1)[0]
     df = np.bincount(seen, minlength=BUCKETS)
     idf = np.where(df > 0, np.log((1 + len(texts)) / (1 + df)) + 1, 0).astype(np.float32)
-    rng = np.random.default_rng(3)
-    held = rng.random(len(y)) < 0.1
-    model = Model(np.zeros((len(LANGS), BUCKETS), np.float32), np.zeros(len(LANGS), np.float32), idf, 1.0)
-    good = ~held
-    for last in (False, True):
-        keep = good[o]
-        new = np.cumsum(good) - 1
-        model.weights, model.bias = _ftrl(g[keep], new[o[keep]], y[good], idf, epochs)
-        if not last:
-            p = probabilities(texts, model)
-            good = good & (p[np.arange(len(y)), y] > 0.2)
-            held = held & (p[np.arange(len(y)), y] > 0.2)
+
+    def fitted(use: np.ndarray) -> Model:
+        keep = use[o]
+        new = np.cumsum(use) - 1
+        return Model(*_ftrl(g[keep], new[o[keep]], y[use], idf, epochs), idf, 1.0)
+
+    good = np.ones(len(y), bool)
+    if len(np.unique(half)) == 2:
+        for k in (0, 1):
+            judged = np.flatnonzero(half == k)
+            p = probabilities([texts[i] for i in judged], fitted((half != k) | (np.array(groups) < 0)))
+            good[judged] = (p[np.arange(len(judged)), y[judged]] > 0.3) | (np.array(groups)[judged] < 0)
+    held = good & (np.random.default_rng(3).random(len(y)) < 0.1) & (np.array(groups) >= 0)
+    model = fitted(good & ~held)
     if held.any():
         z = _logits([t for t, h in zip(texts, held, strict=True) if h], model)
         best = (np.inf, 1.0)
@@ -239,19 +243,19 @@ def train(documents: DataFrame) -> Model:
     share = min(1.0, 1.3 * SAMPLE_DOCS / max(1, labelled.count()))
     cut = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
     rows = labelled.where(F.col("h") <= F.lit(cut)).orderBy("h").limit(SAMPLE_DOCS).select("lang", "text").collect()
-    texts, labels = [], []
+    texts, labels, groups = [], [], []
     seen = set()
-    for r in rows:
-        for s in sentences(r["text"], table):
-            if s not in seen and _fits(s, r["lang"]):
-                seen.add(s)
-                texts.append(s)
-                labels.append(LANGS.index(r["lang"]))
-    for s, lang in SEEDS:
-        texts.append(s)
-        labels.append(LANGS.index(lang))
-    pick = np.random.default_rng(5).permutation(len(texts))[:SAMPLE_SENTENCES]
-    return fit([texts[i] for i in pick], [labels[i] for i in pick])
+    rng = np.random.default_rng(5)
+    for n, r in enumerate(rows):
+        own = [s for s in sentences(r["text"], table) if s not in seen and _fits(s, r["lang"])]
+        for s in [own[i] for i in rng.permutation(len(own))[:DOC_SENTENCES]]:
+            seen.add(s)
+            texts.append(s)
+            labels.append(LANGS.index(r["lang"]))
+            groups.append(n)
+    pick = rng.permutation(len(texts))[:SAMPLE_SENTENCES]
+    own = [(texts[i], labels[i], groups[i]) for i in pick] + [(s, LANGS.index(lang), -1) for s, lang in SEEDS]
+    return fit([x[0] for x in own], [x[1] for x in own], [x[2] for x in own])
 
 
 #: One plain sentence of each language, so that every class is known even to a model of an empty table.
