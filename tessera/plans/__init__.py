@@ -1,5 +1,5 @@
 """Queries over the tables of TESTDATA.md, grouped like the operators."""
 
-from tessera.plans import relational, textual
+from tessera.plans import projects, relational, textual
 
-MODULES = [relational, textual]
+MODULES = [relational, textual, projects]
