@@ -31,6 +31,10 @@ ROUNDS = 3
 #: Smoothed share of one subject among a phrase's documents from which its links are verified: among labelled
 #: documents in the first round (three that agree), among all documents afterwards (five that agree).
 SEED_SHARE, LINK_SHARE = 0.7, 0.78
+#: Documents below which no phrase can reach LINK_SHARE.
+LEAST = 5
+#: Verified links (20 bytes each) up to which they are sent to the edges; beyond, both sides are shuffled.
+SENT_LINKS = 500_000
 
 _DIGITS = re.compile(r"\d+")
 _TOKEN = re.compile(r"(?P<hangul>[가-힣]+)|(?P<kata>[ァ-ヺー]+)|(?P<han>[一-鿿㐀-䶿々]+)|(?P<latin>[^\W\d_ぁ-ヿ㐀-鿿가-힣]+)")
@@ -110,7 +114,9 @@ def _links(docs: DataFrame, labels: DataFrame, total: DataFrame, share: float) -
 
 def _assign(edges: DataFrame, links: DataFrame) -> DataFrame:
     """``(sentence, subject_id)``: the subject of a sentence's strongest verified link."""
-    best = edges.join(links, "phrase").groupBy("sentence").agg(F.max(F.struct("strength", "subject_id")).alias("best"))
+    kept = stored(edges.sparkSession, links, "links")
+    side = F.broadcast(kept) if kept.count() <= SENT_LINKS else kept
+    best = edges.join(side, "phrase").groupBy("sentence").agg(F.max(F.struct("strength", "subject_id")).alias("best"))
     return best.select("sentence", F.col("best.subject_id").alias("subject_id"))
 
 
@@ -127,7 +133,7 @@ def propagate(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) ->
     whole = F.aggregate("counts", F.lit(0), lambda a, x: a + x).alias("all")
     held = cut.select("doc_id", whole, F.explode(F.arrays_zip("sentences", "counts")).alias("x")).select("doc_id", "all", F.col("x.sentences").alias("sentence"), F.col("x.counts").alias("n"))
     fresh = cut.select(F.explode("fresh").alias("x")).select("x.*").groupBy("sentence").agg(F.first("phrases").alias("phrases"))
-    total = stored(spark, docs.select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n")).where("n > 2"), "phrases")
+    total = stored(spark, docs.select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST), "phrases")
     edges = stored(spark, fresh.select("sentence", F.explode("phrases").alias("phrase")).join(total.select("phrase"), "phrase"), "edges")
     seeds = labels.select("doc_id", "subject_id").where("doc_id is not null and subject_id is not null").distinct()
     seeded = docs.join(seeds.select("doc_id").distinct(), "doc_id", "left_semi").select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
