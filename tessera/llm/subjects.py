@@ -29,10 +29,10 @@ from tessera.session import stored
 SHARE = 0.25
 ROUNDS = 3
 #: Smoothed share of one subject among a phrase's documents from which its links are verified: among labelled
-#: documents in the first round (three that agree), among all documents afterwards (five that agree).
-SEED_SHARE, LINK_SHARE = 0.7, 0.78
+#: documents in the first round (two that agree, to miss little), among all documents afterwards (three that agree).
+SEED_SHARE, LINK_SHARE = 0.6, 0.7
 #: Documents below which no phrase can reach LINK_SHARE.
-LEAST = 5
+LEAST = 3
 #: Verified links (20 bytes each) up to which they are sent to the edges; beyond, both sides are shuffled.
 SENT_LINKS = 500_000
 
