@@ -97,11 +97,12 @@ def set_path(value, steps: list[str | int], new: str):
 
 
 def apply_edits(docs: DataFrame, edits: DataFrame, key: str, doc: str) -> DataFrame:
-    """Edits ``(key, path, new)`` put into their documents; only changed documents come out: key, content."""
+    """Edits ``(key, path, new)`` put into their documents; only changed documents come out: key, content. An
+    edit of a document that isn't JSON is an error, one of an unknown document is left out."""
 
     def apply(k: tuple, d: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        if not d.empty and d[doc].iloc[0]:
+        if not d.empty and not e.empty and d[doc].iloc[0]:
             value = json.loads(d[doc].iloc[0])
             before = json.dumps(value, ensure_ascii=False)
             for path, new in zip(e["path"], e["new"], strict=True):

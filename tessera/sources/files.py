@@ -22,7 +22,7 @@ def content_root(project: str) -> str:
 
 def whole_files(spark: SparkSession, pattern: str) -> DataFrame:
     """Every file as one row: path, file_name, text."""
-    return spark.read.option("wholetext", True).text(pattern).select(F.input_file_name().alias("path"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file_name"), F.col("value").alias("text"))
+    return spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("path"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file_name"), F.col("value").alias("text"))
 
 
 def standard_files(spark: SparkSession, project: str) -> DataFrame:
