@@ -1,7 +1,7 @@
 """Natural language in comments and string literals of source files: where it is, which language, which share.
 
-A scanner yields the comments and string literals of JavaScript (regular expressions and template substitutions told
-apart). One Aho-Corasick pass over each span finds the function words of all spaced languages, checked at word
+The library's scanner yields the comments and string literals of JavaScript (regular expressions and template
+substitutions told apart). One Aho-Corasick pass over each span finds the function words of all spaced languages, checked at word
 boundaries; each word votes for its languages with the inverse of how many languages share it, and the ranges of the
 script settle Japanese, Chinese and Korean.
 
@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.javascript import braces_end, spans, unescape
+
 #: Function words of the spaced languages (fixed values).
 WORDS = {
     "en": "the of and to in is are was were be been being have has had do does did not no it its this that these those there here i you he she we they me him her us them my your his our their what which who whom when where why how if then than so but or nor for from with without about into onto over under before after since until while as at by on off out up down can could will would shall should may might must never ever only just once more most much many some any each every all both nothing nobody anyone someone let too very again still",
@@ -32,91 +34,6 @@ WORDS = {
 LETTERS = {c: langs for chars, langs in (("ñ¿¡áíóú", ("es",)), ("çœàèêâîôûë", ("fr",)), ("äöß", ("de",)), ("é", ("fr", "es")), ("ü", ("de", "es"))) for c in chars}
 LANGS = ("ja", "en", "zh", "ko", "fr", "de", "es")
 
-_TOKEN = re.compile(
-    r"(?P<line>//[^\n\r\u2028\u2029]*)|(?P<block>/\*.*?(?:\*/|\Z))|(?P<str>\"(?:\\(?:\r\n|.)|[^\"\\\n\r])*(?:\"|(?=[\n\r])|\Z)|'(?:\\(?:\r\n|.)|[^'\\\n\r])*(?:'|(?=[\n\r])|\Z))"
-    r"|(?P<tpl>`)|(?P<slash>/)|(?P<word>[\w$]+)|(?P<space>\s+)|(?P<other>.)",
-    re.S,
-)
-_REGEX = re.compile(r"/(?![*/])(?:\\[^\n\r]|\[(?:\\[^\n\r]|[^\]\\\n\r])*\]|[^/\\\[\n\r])+/[A-Za-z]*")
-#: Words after which a slash starts a regular expression (fixed values).
-_BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "instanceof", "yield", "await"}
-
-
-def _template_end(src: str, i: int) -> int:
-    """The place behind the template literal that opens at ``i``."""
-    n = len(src)
-    i += 1
-    while i < n:
-        c = src[i]
-        if c == "\\":
-            i += 2
-        elif c == "`":
-            return i + 1
-        elif c == "$" and src.startswith("${", i):
-            i = _braces_end(src, i + 2)
-        else:
-            i += 1
-    return n
-
-
-def _braces_end(src: str, i: int) -> int:
-    depth = 1
-    while i < len(src):
-        m = _TOKEN.match(src, i)
-        if m.lastgroup == "tpl":
-            i = _template_end(src, i)
-            continue
-        if m.lastgroup == "other":
-            depth += {"{": 1, "}": -1}.get(m.group(), 0)
-        i = m.end()
-        if depth == 0:
-            return i
-    return i
-
-
-def spans(src: str) -> Iterator[tuple[int, int, str]]:
-    """``(start, end, kind)`` of each comment (``line``, ``block``) and literal (``str``, ``tpl``), in order."""
-    i, before, n = 0, "", len(src)
-    while i < n:
-        m = _TOKEN.match(src, i)
-        kind = m.lastgroup
-        if kind == "tpl":
-            end = _template_end(src, i)
-            yield i, end, kind
-            i, before = end, "v"
-            continue
-        if kind == "slash":
-            r = _REGEX.match(src, i) if before != "v" else None
-            i, before = (r.end(), "v") if r else (m.end(), "")
-            continue
-        if kind in ("line", "block", "str"):
-            yield i, m.end(), kind
-            if kind == "str":
-                before = "v"
-        elif kind == "word":
-            before = "" if m.group() in _BEFORE_REGEX else "v"
-        elif kind == "other":
-            before = "v" if m.group() in ")]}" else ""
-        i = m.end()
-
-
-_ESCAPE = re.compile(r"\\(?:u\{([0-9A-Fa-f]+)\}|u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|(\r\n|.))", re.S)
-_SIMPLE = {"n": "\n", "t": "\t", "r": "\r", "b": " ", "f": " ", "v": " ", "0": " "}
-
-
-def unescape(body: str) -> str:
-    """What the escaped characters of a literal stand for."""
-
-    def one(m: re.Match) -> str:
-        h = m[1] or m[2] or m[3]
-        if h:
-            return chr(p) if (p := int(h, 16)) < 0x110000 else ""
-        return _SIMPLE.get(m[4], "" if m[4] in ("\n", "\r\n", "\r") else m[4])
-
-    out = _ESCAPE.sub(one, body)
-    return out.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if "\\u" in body else out
-
-
 def content(src: str, start: int, end: int, kind: str) -> str:
     """The text of a span: marks, comment frames, substitutions and escapes resolved."""
     raw = src[start:end]
@@ -133,7 +50,7 @@ def content(src: str, start: int, end: int, kind: str) -> str:
                 i = j + 2
                 continue
             out.append(body[i:j])
-            i = _braces_end(body, j + 2)
+            i = braces_end(body, j + 2)
         body = "".join([*out, body[i:]])
     return unescape(body)
 
