@@ -26,9 +26,9 @@ from tessera.functions.javascript import braces_end, spans, unescape
 #: Function words of the spaced languages (fixed values).
 WORDS = {
     "en": "the of and to in is are was were be been being have has had do does did not no it its this that these those there here i you he she we they me him her us them my your his our their what which who whom when where why how if then than so but or nor for from with without about into onto over under before after since until while as at by on off out up down can could will would shall should may might must never ever only just once more most much many some any each every all both nothing nobody anyone someone let too very again still",
-    "fr": "le la les l un une des du de d et ou où mais donc car ni que qu qui quoi dont ce cet cette ces c il elle ils elles on nous vous je j tu me m te t se s lui leur leurs mon ma mes ton ta tes son sa ses notre nos votre vos est sont était étaient été être a ont avait avoir ai as ne n pas plus rien jamais personne dans sur sous avec sans pour par chez vers entre depuis avant après quand si comme comment pourquoi aussi très bien tout toute tous toutes même autre autres encore déjà ici là y en au aux",
-    "de": "der die das den dem des ein eine einen einem einer eines und oder aber denn doch sondern nicht kein keine keinen keiner nichts ist sind war waren sein bin bist hat haben hatte habe hast wird werden wurde ich du er sie es wir ihr mich dich ihn uns euch mir dir ihm ihnen mein dein unser euer sich man wer was wie wo wann warum wenn weil dass ob als bis bei mit nach von vor zu zum zur auf an am im in ins aus über unter um durch für ohne gegen seit nur noch schon auch sehr so hier dort jetzt immer nie mehr viel viele alle alles etwas jemand niemand",
-    "es": "el la los las lo un una unos unas y e o u pero sino ni que quien quienes cual cuales cuyo este esta estos estas ese esa esos esas eso esto aquel aquella aquello yo tú él ella ellos ellas nosotros vosotros usted ustedes me te se le les nos os mi mis tu tus su sus nuestro nuestra es son era eran fue ser está están estaba he ha han había hay no nada nadie nunca ya más menos muy mucho muchos todo toda todos todas otro otra otros otras de del a al en con sin por para sobre entre hasta desde hacia antes después cuando como cómo dónde donde porque si también aquí allí solo aún todavía",
+    "fr": "le la les l un une des du de d et ou où mais donc car ni que qu qui quoi dont ce cet cette ces c il elle ils elles on nous vous je j tu me m te t se s lui leur leurs mon ma mes ton ta tes son sa ses notre nos votre vos est sont était étaient été être a ont avait avoir ai as ne n pas plus rien jamais personne dans sur sous avec sans pour par chez vers entre depuis avant après quand si comme comment pourquoi alors puis ensuite toujours selon aussi très bien tout toute tous toutes même autre autres encore déjà ici là y en au aux",
+    "de": "der die das den dem des ein eine einen einem einer eines und oder aber denn doch sondern nicht kein keine keinen keiner nichts ist sind war waren sein bin bist hat haben hatte habe hast wird werden wurde ich du er sie es wir ihr mich dich ihn uns euch mir dir ihm ihnen mein dein unser euer sich man wer was wie wo wann warum wenn weil dass ob als bis bei mit nach von vor zu zum zur auf an am im in ins aus über unter um durch für ohne gegen seit nur noch schon auch sehr so dann wieder hier dort jetzt immer nie mehr viel viele alle alles etwas jemand niemand",
+    "es": "el la los las lo un una unos unas y e o u pero sino ni que quien quienes cual cuales cuyo este esta estos estas ese esa esos esas eso esto aquel aquella aquello yo tú él ella ellos ellas nosotros vosotros usted ustedes me te se le les nos os mi mis tu tus su sus nuestro nuestra es son era eran fue ser está están estaba he ha han había hay no nada nadie nunca ya más menos muy mucho muchos todo toda todos todas otro otra otros otras de del a al en con sin por para sobre entre hasta desde hacia antes después cuando como cómo dónde donde porque si enseguida luego entonces mientras aunque además según tras también aquí allí solo aún todavía",
 }
 #: Letters that narrow the spaced languages down (fixed values).
 LETTERS = {c: langs for chars, langs in (("ñ¿¡áíóú", ("es",)), ("çœàèêâîôûë", ("fr",)), ("äöß", ("de",)), ("é", ("fr", "es")), ("ü", ("de", "es"))) for c in chars}
@@ -60,7 +60,7 @@ _JUNK = re.compile(
     r"|\$\{[^{}]*\}|(?:\.{0,2}/)?[\w.\-*]+(?:/+[\w.\-*]+)+|\b[\w\-]+\.(?:js|json|png|jpg|ogg|m4a|ttf|woff2?|otf|css|txt|webm|mp4)\b"
 )
 _CODE_SIGN = re.compile(
-    r"[;{]\s*$|^\s*\}|[=!<>]==?|&&|\|\||=>|\+\+|--(?!-)|\+=|-=|\w\s*\([^)\n]*\)\s*[;{.]|[\w\])]\.\w+\s*[(=\[]|^\s*(?:var|let|const)\s+[\w$]+|\breturn\b[^.!?]*;|\bfunction\b\s*\w*\s*\(|^\s*[\w$.\[\]]+\s*[-+*/]?=\s*[^=]|^\s*[\w$.]+\([^\n]*\);?\s*$|\bnew\s+[A-Z]\w*\(|^\s*(?:if|for|while|switch)\s*\("
+    r"\b\d+(?:\.\d+)?(?:px|pt|em|rem|vh|vw)\b|[;{]\s*$|^\s*\}|[=!<>]==?|&&|\|\||=>|\+\+|--(?!-)|\+=|-=|\w\s*\([^)\n]*\)\s*[;{.]|[\w\])]\.\w+\s*[(=\[]|^\s*(?:var|let|const)\s+[\w$]+|\breturn\b[^.!?]*;|\bfunction\b\s*\w*\s*\(|^\s*[\w$.\[\]]+\s*[-+*/]?=\s*[^=]|^\s*[\w$.]+\([^\n]*\);?\s*$|\bnew\s+[A-Z]\w*\(|^\s*(?:if|for|while|switch)\s*\("
 )
 _KANA, _HIRA, _HAN, _HANGUL = (re.compile(x) for x in ("[ぁ-ゖァ-ヺー]", "[ぁ-ゖ]", "[一-鿿㐀-䶿々]", "[가-힣]"))
 _LATIN_WORD = re.compile(r"[^\W\d_ぁ-ヿ㐀-鿿가-힣]+")

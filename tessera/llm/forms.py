@@ -132,6 +132,9 @@ def _compose(parts: Column) -> Column:
     """Join an ordered array of ``(pos, ccc, to)`` to a string, with marks ordered by class and composed."""
     flat = _pairs()
     pairs = F.create_map(*[F.lit(x) for kv in flat.items() for x in kv])
+    apart = F.create_map(*[F.lit(x) for c in flat.values() for x in (c, unicodedata.normalize("NFD", c))])
+    order = {m: unicodedata.combining(m) for c in flat.values() for m in unicodedata.normalize("NFD", c)[1:]}
+    ccc = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
 
     def with_marks(start: Column, marks: Column) -> Column:
         def step(s: Column, m: Column) -> Column:
@@ -143,8 +146,13 @@ def _compose(parts: Column) -> Column:
                 F.when(fits, s["last"]).otherwise(m["ccc"]).alias("last"),
             )
 
-        zero = F.struct(start.alias("s"), F.lit("").alias("rest"), F.lit(0).alias("last"))
-        return F.aggregate(F.array_sort(marks), zero, step, lambda s: F.concat(s["s"], s["rest"]))
+        # a composed starter gives its own marks back first, before those that follow
+        loose = F.element_at(apart, start)
+        own = F.transform(F.split(F.substr(loose, F.lit(2)), ""), lambda m: F.struct(F.element_at(ccc, m).alias("ccc"), F.lit(-1).alias("pos"), m.alias("to")))
+        both = F.when(loose.isNotNull(), F.concat(own, marks)).otherwise(marks)
+        zero = F.struct(F.coalesce(F.substr(loose, F.lit(1), F.lit(1)), start).alias("s"), F.lit("").alias("rest"), F.lit(0).alias("last"))
+        made = F.aggregate(F.array_sort(both), zero, step, lambda s: F.concat(s["s"], s["rest"]))
+        return F.when(F.size(marks) > 0, made).otherwise(start)
 
     none = F.array().cast("array<struct<ccc:int,pos:int,to:string>>")
 
