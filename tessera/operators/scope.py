@@ -14,10 +14,14 @@ PLACE = ["game_id", "location_path"]
 
 
 def latest(rows: DataFrame, key: list[str], by: str) -> DataFrame:
-    """One row per key, the one with the greatest ``by`` (nulls last): rows stored twice count once."""
-    rest = [c for c in rows.columns if c not in key]
-    best = F.max_by(F.struct(*rest), F.struct(F.col(by).isNotNull(), F.col(by)))
-    return rows.groupBy(*key).agg(best.alias("_row")).select(*key, *[F.col("_row")[c].alias(c) for c in rest]).select(*rows.columns)
+    """One row per key, the one with the greatest ``by`` (nulls last): rows stored twice count once.
+
+    Each column is its own aggregate, so columns that a query doesn't use are never read. Rows of one key that are
+    equal in ``by`` are taken to be equal.
+    """
+    order = F.struct(F.col(by).isNotNull(), F.col(by))
+    picked = [F.max_by(c, order).alias(c) for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(*picked).select(*rows.columns)
 
 
 def in_index(facts: DataFrame, index: DataFrame) -> DataFrame:
