@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 GRAM = 3
 
 
+def _gram(at, n: int):
+    return lambda _, i: F.concat(*[at(i, k) for k in range(n)])
+
+
 def contained(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str) -> DataFrame:
     """``(key, term)`` of every term that a text contains. Texts and terms meet on the term's first
     characters (an equi join that shuffles and splits like any other), the whole term is checked where it would
@@ -19,13 +23,14 @@ def contained(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str
     if not lengths:
         return texts.select(key).limit(0).withColumn("term", F.lit(None).cast("string"))
 
-    def grams_of(n: int):
-        count = F.greatest(F.length(text) - n + 1, F.lit(0))
-        return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.substr(F.col(text), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    grams = F.flatten(F.array(*[grams_of(n) for n in sorted(lengths)]))
-    some = texts.where(F.length(text) > 0).select(key, text, F.explode(F.array_distinct(grams)).alias("gram"))
-    return some.join(t.select("gram", "term"), "gram").where(F.contains(F.col(text), F.col("term"))).select(key, "term").distinct()
+    # characters once as an array, so that each place costs the same however long the text is
+    some = texts.where(F.length(text) > 0).select(key, text, F.split(text, "").alias("_chars"))
+    at = lambda i, k: F.coalesce(F.try_element_at(F.col("_chars"), i + F.lit(k + 1)), F.lit(""))
+    grams = [F.transform("_chars", _gram(at, n)) for n in sorted(lengths)]
+    some = some.select(key, F.explode(F.array_distinct(F.flatten(F.array(*grams)))).alias("gram"))
+    # candidates travel without the text, which only they meet again
+    candidates = some.join(t.select("gram", "term"), "gram").select(key, "term").distinct()
+    return candidates.join(texts.select(key, text), key).where(F.contains(F.col(text), F.col("term"))).select(key, "term").distinct()
 
 
 def tagged_by_rules(hits: DataFrame, rules: DataFrame) -> DataFrame:
