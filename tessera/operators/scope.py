@@ -123,6 +123,13 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.join(new, key, "left_anti").unionByName(new)
 
 
+def set_fingerprint(rows: DataFrame, group: list[str], member: str) -> DataFrame:
+    """A fingerprint of each group's members whatever their order: their number and the sum of 60 bits of their
+    hashes, so that it is pre-aggregated before the shuffle however large a group is."""
+    part = F.conv(F.substring(F.sha2(member, 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    return rows.groupBy(*group).agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("fingerprint"))
+
+
 def fan_out(results: DataFrame, items: DataFrame, key: list[str]) -> DataFrame:
     """A representative's result for every item of its key."""
     return items.join(results, key)

@@ -38,6 +38,27 @@ def following(rows: DataFrame, group: list[str], pos: str, anchor) -> DataFrame:
     return counted.where((F.col(pos) - F.col("anchor") == F.col("step")) & (F.col("step") > 0)).drop("step")
 
 
+def numbered(rows: DataFrame, group: list[str], order: str, name: str, parts: int = 16) -> DataFrame:
+    """Number the rows of each group from 1 in order. A group is cut into ranges of the order (their bounds
+    by quantiles of all rows' keys), numbered within and shifted by the sizes of the ranges before, so that a group
+    with a third of all rows is spread over tasks."""
+    h = rows.withColumn("_key", F.col(order).cast("string"))
+    bounds = sorted({r["_key"] for r in h.select("_key").where(F.rand(7) < _share(h, 200 * parts)).collect()})
+    cuts = bounds[:: max(1, len(bounds) // parts)][1:]
+    bucket = F.lit(0)
+    for c in cuts:
+        bucket = bucket + (F.col("_key") >= c).cast("int")
+    cut = h.withColumn("_part", bucket)
+    sizes = cut.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_n")).drop("_n")
+    row = F.row_number().over(Window.partitionBy(*group, "_part").orderBy("_key"))
+    return cut.withColumn("_row", row).join(before, [*group, "_part"]).withColumn(name, (F.col("_before") + F.col("_row")).cast("long")).drop("_key", "_part", "_row", "_before")
+
+
+def _share(rows: DataFrame, wanted: int) -> float:
+    return min(1.0, wanted / max(1, rows.count()))
+
+
 def batches(items: DataFrame, group: list[str], order: str, size: str, limit: int, extend: int = 0, speaker: str | None = None) -> DataFrame:
     """Fold the rows of each group in order into batches: one closes when its estimated size reaches the
     limit; the rest of the same speaker's lines, up to ``extend``, still joins it. Adds batch and sequence."""

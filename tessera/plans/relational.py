@@ -273,10 +273,9 @@ def a23_run_counters(spark, sf):
     return R.items(spark, sf).groupBy((F.col("game_id") % 10).alias("run_id")).agg(F.count("*").alias("sent"), F.count_if(done).alias("completed"), F.count_if((F.col("answer") != F.col("raw_text")) & done).alias("succeeded"), F.count_if(F.col("answer") == F.col("raw_text")).alias("failed"))
 
 
-@query("select domain,sha256(string_agg(fact_id,'|' order by fact_id)) as fingerprint from facts where domain in ('nonstandard_data','plugin_config') group by 1")
+@query("select domain,count(*) as n,sum(('0x'||substr(sha256(fact_id),1,15))::bigint)::varchar as fingerprint from facts group by 1")
 def a24_set_fingerprint(spark, sf):
-    f = R.facts(spark, sf).where("domain in ('nonstandard_data', 'plugin_config')")
-    return f.groupBy("domain").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("fact_id")), "|"), 256).alias("fingerprint"))
+    return scope.set_fingerprint(R.facts(spark, sf), ["domain"], "fact_id")
 
 
 @query("""select speaker,count(distinct path) as places,min(raw_text) as sample,speaker not in ('','旁白') as requires_name from items where item_type='long_text' group by 1""")

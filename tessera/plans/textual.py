@@ -400,10 +400,9 @@ def w03_following_lines(spark, sf):
     return sequence.following(_messages(spark, sf), ["game_id", "list_key"], "pos", F.col("speaker") != "").select("game_id", "list_key", "pos", "anchor")
 
 
-@query(f"""select speaker,count(*) as n,string_agg(fact_id,'|' order by fact_id) as facts from {MSG} where speaker<>'' group by 1""")
+@query(f"""select speaker,row_number() over (partition by speaker order by fact_id)::bigint as seq,fact_id,raw_text as line from {MSG} where speaker<>''""")
 def a16_lines_by_speaker(spark, sf):
-    m = _messages(spark, sf).where("speaker <> ''")
-    return m.groupBy("speaker").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("fact_id")), "|").alias("facts"))
+    return sequence.numbered(_messages(spark, sf).where("speaker <> ''"), ["speaker"], "fact_id", "seq").select("speaker", "seq", "fact_id", F.col("raw_text").alias("line"))
 
 
 @query(None)
