@@ -63,26 +63,28 @@ def batches(items: DataFrame, group: list[str], order: str, size: str, limit: in
     """Fold the rows of each group in order into batches: one closes when its estimated size reaches the
     limit; the rest of the same speaker's lines, up to ``extend``, still joins it. Adds batch and sequence."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        batch, total, seq, more = 0, 0, 0, 0
-        out = []
-        who = pdf[speaker].tolist() if speaker else [None] * len(pdf)
-        for i, n in enumerate(pdf[size]):
-            if total >= limit:
-                same = speaker and who[i] == who[i - 1] and more < extend
-                if same:
-                    more += 1
-                else:
-                    batch, total, seq, more = batch + 1, 0, 0, 0
-            total += int(n)
-            seq += 1
-            out.append((batch, seq))
-        pdf["batch"], pdf["sequence"] = [x for x, _ in out], [x for _, x in out]
-        return pdf
-
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = object(), None
+        batch = total = seq = more = 0
+        for b in parts:
+            keys = list(zip(*[b[g] for g in group], strict=True))
+            who = b[speaker].tolist() if speaker else [None] * len(b)
+            out = []
+            for k, w, n in zip(keys, who, b[size], strict=True):
+                if k != key:
+                    key, batch, total, seq, more = k, 0, 0, 0, 0
+                elif total >= limit:
+                    if speaker and w == last and more < extend:
+                        more += 1
+                    else:
+                        batch, total, seq, more = batch + 1, 0, 0, 0
+                total, seq, last = total + int(n), seq + 1, w
+                out.append((batch, seq))
+            yield b.assign(batch=[x for x, _ in out], sequence=[x for _, x in out])
+
+    # the fold runs over sorted rows as they stream by: no group is ever held in memory
     kinds = ", ".join(f"`{n}` {t}" for n, t in items.dtypes)
-    return items.groupBy(*group).applyInPandas(fold, f"{kinds}, batch int, sequence int")
+    return items.repartition(*group).sortWithinPartitions(*group, order).mapInPandas(fold, f"{kinds}, batch int, sequence int")
 
 
 _WORD = re.compile(r"[A-Za-z][A-Za-z0-9'’_-]*")
