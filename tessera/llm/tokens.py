@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import scratch
+from tessera.session import scratch, stored
 
 #: Where the public tokenizer files lie, and the one used here.
 TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS", "/opt/tokenizers")
@@ -192,8 +192,17 @@ def build_lexicon(texts: DataFrame, vocabulary: str | None = None, size: int = L
     """Count the words of all texts, compile the ``size`` most frequent and store the transducer; returns its path."""
     spark = texts.sparkSession
     vocabulary = vocabulary or f"{TOKENIZERS}/{VOCABULARY}"
-    counts = texts.select("text").mapInPandas(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    top = counts.orderBy(F.desc("n"), "word").limit(size).select("word").toPandas()["word"]
+    counts = stored(spark, texts.select("text").mapInPandas(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
+    # the count that leaves at most ``size`` words, from a histogram of eighths of powers of two: no sort, and no more
+    # than the lexicon itself reaches the driver
+    step = F.floor(F.log2("n") * 8)
+    left, least = size, None
+    for r in counts.groupBy(step.alias("b")).agg(F.count("*").alias("words")).orderBy(F.desc("b")).collect():
+        left -= r["words"]
+        if left < 0:
+            break
+        least = r["b"]
+    top = [] if least is None else counts.where(step >= least).select("word").toPandas()["word"]
     entries = sorted({w.encode(): merge(w.encode(), vocabulary) for w in top}.items())
     path = scratch(spark, "lexicon")
     jvm = spark.sparkContext._jvm
