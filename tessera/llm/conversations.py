@@ -24,6 +24,7 @@ from tessera.session import remove, scratch
 NARRATION = "旁白"
 PLAYER = "\x00player"
 _PATH = r"(?i)^(?:.*/)?(map[0-9]+|troops|commonevents)\.json((?:/[0-9]+)+)/([^/]*)$"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _OUT = "game_id long, conv string, turn int, fact_id string"
 
 
@@ -124,15 +125,21 @@ def assemble_backlog(spark: SparkSession, path: str) -> DataFrame:
     )
     marker.write.parquet(f"{home}/marker")
     closing = spark.readStream.schema(marker.schema).parquet(f"{home}/marker")
-    query = (
-        assemble(messages.unionByName(closing))
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", f"{home}/out")
-        .option("checkpointLocation", f"{home}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    # state on disk, not in the heap: a backlog may be larger than the executors' memory
+    provider = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = (
+            assemble(messages.unionByName(closing))
+            .writeStream.outputMode("append")
+            .format("parquet")
+            .option("path", f"{home}/out")
+            .option("checkpointLocation", f"{home}/state")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(_PROVIDER) if provider is None else spark.conf.set(_PROVIDER, provider)
     remove(spark, f"{home}/state")
     return spark.read.schema(_OUT).parquet(f"{home}/out")
