@@ -216,7 +216,7 @@ def fit(texts: list[str], labels: list[int], groups: list[int], epochs: int = 3)
     if held.any():
         z = _logits([t for t, h in zip(texts, held, strict=True) if h], model)
         best = (np.inf, 1.0)
-        for t in np.geomspace(0.05, 5, 40):
+        for t in np.geomspace(0.3, 5, 40):
             q = z / t
             q = q - q.max(1, keepdims=True)
             nll = -(q[np.arange(len(q)), y[held]] - np.log(np.exp(q).sum(1))).mean()
