@@ -1,7 +1,6 @@
 """Subject areas of each document by label propagation over the graph that documents form through their phrases.
 
-Two documents are linked by the phrases both hold (words and word pairs of spaced languages, character runs of the
-others). A link carries labels only once it is verified: enough documents hold the phrase, and one subject is clearly
+Two documents are linked by the phrases both hold (words of spaced languages, character runs of the others). A link carries labels only once it is verified: enough documents hold the phrase, and one subject is clearly
 ahead among them. Labels that people gave seed the graph; each round propagates by joins from documents to phrases,
 from phrases to sentences and from those back to the documents, over all documents. Seeds that the graph bears out
 stay clamped, those it contradicts lose their trust. A sentence takes the subject of its strongest link, a document
@@ -43,21 +42,16 @@ _SPEAKER = re.compile(r"^\s*(?:[-*•]\s*|\d+\)\s*)?[^\s:：「]{1,20}\s*(?::\s|
 
 
 def phrases(sentence: str) -> set[str]:
-    """The phrases of a sentence: words and pairs of words, katakana runs, Han pairs and triples, Han next to
+    """The phrases of a sentence: words of spaced languages, katakana runs, Han pairs and triples, Han next to
     hiragana, and the heads of Korean words."""
     s = _SPEAKER.sub("", sentence).lower()
-    out, last = set(_MIXED.findall(s)), ""
+    out = set(_MIXED.findall(s))
     for m in _TOKEN.finditer(s):
         w, kind = m.group(), m.lastgroup
         if kind == "latin":
             if len(w) > 2:
                 out.add(w)
-                if last:
-                    out.add(f"{last} {w}")
-                last = w
-            continue
-        last = ""
-        if kind == "hangul":
+        elif kind == "hangul":
             out |= {w[:2], w[:3]} if len(w) > 1 else set()
         elif kind == "kata":
             if len(w) > 1:
@@ -77,31 +71,30 @@ def _hash(x: str) -> int:
 
 
 def _cut(documents: DataFrame) -> DataFrame:
-    """``(doc_id, sentences, counts, phrases, fresh)``: each document's distinct sentences and phrases as hashes;
-    ``fresh`` has the phrases of sentences where a batch first meets them."""
+    """``(doc_id, sentences)``: each document's distinct sentences with their number and hashed phrases."""
     sent = documents.sparkSession.sparkContext.broadcast(plain_table(documents.sparkSession))
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes: dict[str, int] = {}
         for b in batches:
-            for start in range(0, len(b), 1000):
-                part = b.iloc[start : start + 1000]
-                known: dict[str, tuple[int, list[int]]] = {}
+            for start in range(0, len(b), 500):
+                part = b.iloc[start : start + 500]
+                known: dict[str, list[int]] = {}
                 rows = []
                 for doc, text in zip(part["doc_id"], part["text"], strict=True):
                     own: dict[str, int] = {}
                     for s in sentences(text, sent.value) if text else []:
-                        k = _DIGITS.sub("0", s.strip()).lower()
+                        k = _DIGITS.sub("0", s.strip())
                         own[k] = own.get(k, 0) + 1
-                    fresh = []
                     for k in own:
                         if k not in known:
-                            known[k] = (_hash(k), [_hash(p) for p in phrases(k)])
-                            fresh.append({"sentence": known[k][0], "phrases": known[k][1]})
-                    rows.append((doc, [known[k][0] for k in own], list(own.values()), list({p for k in own for p in known[k][1]}), fresh))
-                yield pd.DataFrame(rows, columns=["doc_id", "sentences", "counts", "phrases", "fresh"])
+                            known[k] = [h if (h := hashes.get(p)) is not None else hashes.setdefault(p, _hash(p)) for p in phrases(k)]
+                    rows.append((doc, [{"n": n, "phrases": known[k]} for k, n in own.items()]))
+                if len(hashes) > 200_000:
+                    hashes.clear()
+                yield pd.DataFrame(rows, columns=["doc_id", "sentences"])
 
-    kind = "doc_id long, sentences array<long>, counts array<int>, phrases array<long>, fresh array<struct<sentence:long,phrases:array<long>>>"
-    return documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(step, kind)
+    return documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(step, "doc_id long, sentences array<struct<n:int,phrases:array<long>>>")
 
 
 def _links(docs: DataFrame, labels: DataFrame, total: DataFrame, share: float) -> DataFrame:
@@ -112,36 +105,30 @@ def _links(docs: DataFrame, labels: DataFrame, total: DataFrame, share: float) -
     return best.join(total, "phrase").select("phrase", F.col("best.subject_id").alias("subject_id"), strength.alias("strength")).where(F.col("strength") >= share)
 
 
-def _assign(edges: DataFrame, links: DataFrame) -> DataFrame:
-    """``(sentence, subject_id)``: the subject of a sentence's strongest verified link."""
-    kept = stored(edges.sparkSession, links, "links")
+def _shares(held: DataFrame, links: DataFrame) -> DataFrame:
+    """``(doc_id, subject_id, share)`` of the documents' sentences; a sentence takes the subject of its strongest link."""
+    kept = stored(held.sparkSession, links, "links")
     side = F.broadcast(kept) if kept.count() <= SENT_LINKS else kept
-    best = edges.join(side, "phrase").groupBy("sentence").agg(F.max(F.struct("strength", "subject_id")).alias("best"))
-    return best.select("sentence", F.col("best.subject_id").alias("subject_id"))
-
-
-def _shares(held: DataFrame, assigned: DataFrame) -> DataFrame:
-    """``(doc_id, subject_id, share)`` of the documents' sentences."""
-    return held.join(assigned, "sentence").groupBy("doc_id", "subject_id").agg((F.sum("n") / F.max("all")).alias("share"))
+    met = held.select("doc_id", "all", "i", "n", F.explode("phrases").alias("phrase")).join(side, "phrase")
+    each = met.groupBy("doc_id", "i").agg(F.max(F.struct("strength", "subject_id")).alias("best"), F.first("n").alias("n"), F.first("all").alias("all"))
+    return each.groupBy("doc_id", F.col("best.subject_id").alias("subject_id")).agg((F.sum("n") / F.first("all")).alias("share"))
 
 
 def propagate(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``(doc_id, subject_id, share)`` of every document and subject with any sentence of it."""
     spark = documents.sparkSession
     cut = stored(spark, _cut(documents), "cut")
-    docs = cut.select("doc_id", "phrases")
-    whole = F.aggregate("counts", F.lit(0), lambda a, x: a + x).alias("all")
-    held = cut.select("doc_id", whole, F.explode(F.arrays_zip("sentences", "counts")).alias("x")).select("doc_id", "all", F.col("x.sentences").alias("sentence"), F.col("x.counts").alias("n"))
-    fresh = cut.select(F.explode("fresh").alias("x")).select("x.*").groupBy("sentence").agg(F.first("phrases").alias("phrases"))
+    docs = cut.select("doc_id", F.array_distinct(F.flatten(F.transform("sentences", lambda x: x["phrases"]))).alias("phrases"))
+    whole = F.aggregate("sentences", F.lit(0), lambda a, x: a + x["n"]).alias("all")
+    held = cut.select("doc_id", whole, F.posexplode("sentences").alias("i", "x")).select("doc_id", "all", "i", "x.n", "x.phrases")
     total = stored(spark, docs.select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST), "phrases")
-    edges = stored(spark, fresh.select("sentence", F.explode("phrases").alias("phrase")).join(total.select("phrase"), "phrase"), "edges")
     seeds = labels.select("doc_id", "subject_id").where("doc_id is not null and subject_id is not null").distinct()
     seeded = docs.join(seeds.select("doc_id").distinct(), "doc_id", "left_semi").select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
-    assigned = stored(spark, _assign(edges, _links(docs, seeds, seeded, SEED_SHARE)), "assigned")
+    found = _shares(held, _links(docs, seeds, seeded, SEED_SHARE))
     for _ in range(rounds):
-        about = _shares(held, assigned).where(F.col("share") >= SHARE).select("doc_id", "subject_id")
-        assigned = stored(spark, _assign(edges, _links(docs, about, total, LINK_SHARE)), "assigned")
-    return _shares(held, assigned)
+        about = stored(spark, found.where(F.col("share") >= SHARE).select("doc_id", "subject_id"), "about")
+        found = _shares(held, _links(docs, about, total, LINK_SHARE))
+    return found
 
 
 def subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
