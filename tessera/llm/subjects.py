@@ -98,11 +98,13 @@ def _cut(documents: DataFrame) -> DataFrame:
 
 
 def _links(docs: DataFrame, labels: DataFrame, total: DataFrame, share: float) -> DataFrame:
-    """Verified links ``(phrase, subject_id, strength)``: the subject that is ahead among a phrase's documents."""
+    """Verified links ``(phrase, link)``: the subject that is ahead among a phrase's documents, with its strength."""
     counts = docs.join(labels, "doc_id").select("subject_id", F.explode("phrases").alias("phrase")).groupBy("phrase", "subject_id").agg(F.count("*").alias("c"))
-    best = counts.groupBy("phrase").agg(F.max(F.struct("c", F.col("subject_id"))).alias("best"))
-    strength = (F.col("best.c") + 0.5) / (F.col("n") + 2)
-    return best.join(total, "phrase").select("phrase", F.col("best.subject_id").alias("subject_id"), strength.alias("strength")).where(F.col("strength") >= share)
+    best = counts.groupBy("phrase").agg(F.max_by("subject_id", "c").alias("subject_id"), F.max("c").alias("c"))
+    strength = (F.col("c") + 0.5) / (F.col("n") + 2)
+    # strength (in millionths) and subject in one number, so that the strongest is a plain maximum
+    coded = F.shiftleft((strength * 1_000_000).cast("long"), 31) + F.col("subject_id")
+    return best.join(total, "phrase").where(strength >= share).select("phrase", coded.alias("link"))
 
 
 def _shares(held: DataFrame, links: DataFrame) -> DataFrame:
@@ -110,8 +112,9 @@ def _shares(held: DataFrame, links: DataFrame) -> DataFrame:
     kept = stored(held.sparkSession, links, "links")
     side = F.broadcast(kept) if kept.count() <= SENT_LINKS else kept
     met = held.select("doc_id", "all", "i", "n", F.explode("phrases").alias("phrase")).join(side, "phrase")
-    each = met.groupBy("doc_id", "i").agg(F.max(F.struct("strength", "subject_id")).alias("best"), F.first("n").alias("n"), F.first("all").alias("all"))
-    return each.groupBy("doc_id", F.col("best.subject_id").alias("subject_id")).agg((F.sum("n") / F.first("all")).alias("share"))
+    each = met.groupBy("doc_id", "i").agg(F.max("link").alias("link"), F.max("n").alias("n"), F.max("all").alias("all"))
+    subject = F.col("link").bitwiseAND(F.lit(2**31 - 1)).cast("int")
+    return each.groupBy("doc_id", subject.alias("subject_id")).agg((F.sum("n") / F.max("all")).alias("share"))
 
 
 def propagate(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
