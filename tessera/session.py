@@ -56,3 +56,16 @@ def stored(spark: SparkSession, df, name: str):
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df):
+    """``df`` over all cores where a scan of few splits would leave most of them idle before costly Python work.
+
+    Only a plain scan is spread, and only one with fewer splits than cores: that bounds what is moved by the size of a
+    split times the number of cores, however large the corpora are that need no spreading.
+    """
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in plan or "Join" in plan or "Aggregate" in plan or df.isStreaming:
+        return df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
