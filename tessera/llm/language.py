@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.forms import form_table
+from tessera.session import spread
 
 LANGS = ("ja", "en", "zh", "ko", "fr", "de", "es")
 #: Bounds of the training sample: documents, sentences of one document, and sentences of all.
@@ -311,8 +312,8 @@ def segment(records: DataFrame, model: Model, mislabelled: bool = False) -> Data
 
 def records(documents: DataFrame, items: DataFrame, settings: DataFrame) -> DataFrame:
     """Documents and long_text items as records; an item's label is its game's source language."""
-    docs = documents.where("doc_id is not null").select(F.lit("document").alias("record_kind"), F.col("doc_id").cast("string").alias("record_key"), "text", label_language(F.col("lang")).alias("label"))
+    docs = spread(documents.where("doc_id is not null").select("doc_id", "text", "lang")).select(F.lit("document").alias("record_kind"), F.col("doc_id").cast("string").alias("record_key"), "text", label_language(F.col("lang")).alias("label"))
     games = settings.groupBy("game_id").agg(F.first(label_language(F.col("source_language")), ignorenulls=True).alias("label"))
-    texts = items.where("item_type = 'long_text' and fact_id is not null").select("game_id", F.col("fact_id").alias("record_key"), F.array_join("original_lines", "\n").alias("text"))
+    texts = spread(items.where("item_type = 'long_text' and fact_id is not null").select("game_id", F.col("fact_id").alias("record_key"), F.array_join("original_lines", "\n").alias("text")))
     lines = texts.join(games, "game_id", "left").select(F.lit("item").alias("record_kind"), "record_key", "text", "label")
     return docs.unionByName(lines)

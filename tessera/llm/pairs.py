@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import stored
+from tessera.session import spread, stored
 
 #: Characters of context, longest first, that an ending is judged by.
 ORDERS = (8, 5, 3, 2)
@@ -175,7 +175,7 @@ def _open_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def defects(items: DataFrame) -> DataFrame:
     """``translation_items`` -> ``(fact_id, defects)``: every defect type triggered, in the rules' order."""
-    rows = items.where("fact_id is not null").select("fact_id", F.array_join("original_lines", "\n").alias("o"), F.array_join("translation_lines", "\n").alias("t"), F.col("item_type").alias("kind"))
+    rows = spread(items.where("fact_id is not null").select("fact_id", F.array_join("original_lines", "\n").alias("o"), F.array_join("translation_lines", "\n").alias("t"), F.col("item_type").alias("kind")))
     judged = stored(items.sparkSession, rows.mapInPandas(_judged, "fact_id string, defects array<string>, tail string").dropDuplicates(["fact_id"]), "judged")
     grams = rows.select("t").mapInPandas(_endings, "gram string, seen long, ends long").groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
     open_ = judged.where("tail <> ''").select("fact_id", "tail").mapInPandas(_open_contexts, "fact_id string, k int, gram string")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.language import plain_table, sentences
-from tessera.session import stored
+from tessera.session import spread, stored
 
 #: Share of a document's sentences from which it is about a subject.
 SHARE = 0.25
@@ -94,7 +94,7 @@ def _cut(documents: DataFrame) -> DataFrame:
                     hashes.clear()
                 yield pd.DataFrame(rows, columns=["doc_id", "sentences"])
 
-    return documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(step, "doc_id long, sentences array<struct<n:int,phrases:array<long>>>")
+    return spread(documents.where("doc_id is not null").select("doc_id", "text")).mapInPandas(step, "doc_id long, sentences array<struct<n:int,phrases:array<long>>>")
 
 
 def _links(docs: DataFrame, labels: DataFrame, total: DataFrame, share: float) -> DataFrame:

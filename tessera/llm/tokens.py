@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import scratch, stored
+from tessera.session import scratch, spread, stored
 
 #: Where the public tokenizer files lie, and the one used here.
 TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS", "/opt/tokenizers")
@@ -192,7 +192,7 @@ def build_lexicon(texts: DataFrame, vocabulary: str | None = None, size: int = L
     """Count the words of all texts, compile the ``size`` most frequent and store the transducer; returns its path."""
     spark = texts.sparkSession
     vocabulary = vocabulary or f"{TOKENIZERS}/{VOCABULARY}"
-    counts = stored(spark, texts.select("text").mapInPandas(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
+    counts = stored(spark, spread(texts.select("text")).mapInPandas(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
     # the count that leaves at most ``size`` words, from a histogram of eighths of powers of two: no sort, and no more
     # than the lexicon itself reaches the driver
     step = F.floor(F.log2("n") * 8)
@@ -294,7 +294,7 @@ def encode(documents: DataFrame, lexicon: str, vocabulary: str | None = None) ->
                 at, ids = enc.encode(texts[i:j])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(step, "doc_id long, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(step, "doc_id long, ids array<int>")
 
 
 def token_counts(documents: DataFrame, lexicon: str, vocabulary: str | None = None) -> DataFrame:
@@ -309,4 +309,4 @@ def token_counts(documents: DataFrame, lexicon: str, vocabulary: str | None = No
                 at, _ = enc.encode(texts[i:j])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(np.diff(at), pa.int64())], names=["doc_id", "tokens"])
 
-    return documents.select("doc_id", "text").mapInArrow(step, "doc_id long, tokens long")
+    return spread(documents.select("doc_id", "text")).mapInArrow(step, "doc_id long, tokens long")
