@@ -115,7 +115,8 @@ def first_n(rows: DataFrame, key: list[str], order: list[Column], n: int) -> Dat
 def total_and_samples(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     """How many there are, and the first ``n`` as an ordered list."""
     top = rows.orderBy(*order).limit(n).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda x: x[order[0]]), "|").alias("samples"))
-    return rows.agg(F.count("*").alias("total")).crossJoin(top)
+    one = F.lit(1).alias("one")
+    return rows.agg(F.count("*").alias("total")).select(one, "total").join(top.select(one, "samples"), "one").drop("one")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

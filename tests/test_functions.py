@@ -145,6 +145,32 @@ def test_stitching(spark):
     assert {(r.g, r.pos) for r in sequence.following(df, ["g"], "pos", F.col("who") != "").collect()} == {(1, 1)}
 
 
+def test_numbered_spreads_hot_groups(spark):
+    rows = [("hot", f"{i:05d}") for i in range(3000)] + [("cold", f"x{i}") for i in range(7)] + [(None, "z")]
+    df = spark.createDataFrame(rows, "g string, k string")
+    got = {(r.g, r.k): r.seq for r in sequence.numbered(df.where("g is not null"), ["g"], "k", "seq", parts=8).collect()}
+    assert all(got["hot", f"{i:05d}"] == i + 1 for i in range(3000)) and sorted(v for (g, _), v in got.items() if g == "cold") == list(range(1, 8))
+    assert sequence.numbered(df.limit(0), ["g"], "k", "seq").count() == 0
+
+
+def test_set_fingerprint_ignores_order(spark):
+    a = spark.createDataFrame([("g", x) for x in "abc"], "g string, m string")
+    b = spark.createDataFrame([("g", x) for x in "cab"], "g string, m string")
+    c = spark.createDataFrame([("g", x) for x in "abd"], "g string, m string")
+    f = [scope.set_fingerprint(x, ["g"], "m").head() for x in (a, b, c)]
+    assert f[0] == f[1] != f[2]
+
+
+def test_session_helpers(spark):
+    from tessera.session import spread, stored
+
+    df = spark.range(100, numPartitions=1)
+    assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    agg = df.groupBy("id").count()
+    assert spread(agg) is agg
+    assert stored(spark, df, "x").count() == 100
+
+
 def test_batches(spark):
     df = spark.createDataFrame([(1, i, 40, "A" if i < 4 else "B") for i in range(6)], "g int, i int, size int, who string")
     got = {r.i: (r.batch, r.sequence) for r in sequence.batches(df, ["g"], "i", "size", 80, 1, "who").collect()}
