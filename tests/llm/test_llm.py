@@ -91,6 +91,32 @@ def test_conversations_equal_brute_force(spark, tmp_path):
     assert got == _brute(rows, forms.form_table(spark)) and got
 
 
+def test_late_messages_join_their_conversation(spark, tmp_path):
+    import datetime as dt
+    import os
+    import time
+
+    t0 = dt.datetime(2025, 1, 1)
+    kind = "game_id long, conv string, fact_id string, pos long, speaker string, sound boolean, at timestamp"
+    files = [
+        [(1, "X", "x0", 0, "A", True, t0), (1, "X", "x2", 2, "A", True, t0 + dt.timedelta(hours=1)), (1, "Y", "y0", 0, "A", True, t0)],
+        [(1, "X", "x1", 1, "B", True, t0 + dt.timedelta(minutes=30))],
+        [(1, "Z", "z0", 0, "A", True, t0 + dt.timedelta(days=9)), (1, "Z", "z1", 1, "B", True, t0 + dt.timedelta(days=9))],
+    ]
+    source = tmp_path / "in"
+    for n, rows in enumerate(files):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(source))
+        for f in source.glob("*.parquet"):
+            if not f.name.startswith("batch"):
+                f.rename(source / f"batch{n}.parquet")
+                os.utime(source / f"batch{n}.parquet", (time.time() + n, time.time() + n))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(source))
+    q = conversations.assemble(stream, "1 day", "2 days").writeStream.outputMode("append").format("memory").queryName("talks").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    # X is closed by the watermark with its late message; Y has one speaker; Z is still open
+    assert [(r.conv, r.turn, r.fact_id) for r in spark.table("talks").orderBy("turn").collect()] == [("X", 0, "x0"), ("X", 1, "x1"), ("X", 2, "x2")]
+
+
 def test_conversation_paths_and_names(spark):
     rows = [
         _item("a", "www/data\\map012.json\\3\\0\\1", role=None, o=["【Ｋai】", "x"]), _item("b", "Map012.json//3/0/2", role="", o=["\\C[1]\\n<Mo>hi"]), _item("c", "CommonEvents.json/7/4", role=" ", o=["Ned「hi」"]),
