@@ -119,6 +119,14 @@ def total_and_samples(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     return rows.agg(F.count("*").alias("total")).select(one, "total").join(top.select(one, "samples"), "one").drop("one")
 
 
+def limited(rows: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
+    """Ordered rows, at most ``limit`` (None for all); a limit that isn't positive is an error."""
+    if limit is not None and limit <= 0:
+        raise ValueError("limit must be positive")
+    ordered = rows.orderBy(*order)
+    return ordered if limit is None else ordered.limit(limit)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """``old`` with the rows of ``new`` put in place of those of the same key."""
     return old.join(new, key, "left_anti").unionByName(new)

@@ -316,3 +316,92 @@ def r09_name_box_rules(spark, sf):
 @query("select * from (values (1::bigint,'config_width_pattern_invalid','width'),(2,'config_required_pattern_matches_empty','required')) t(rule_index,code,field)")
 def r10_config_patterns(spark, sf):
     return _fixed(spark, "config_patterns", [{"required": "[ぁ-ん]+", "width": r"\S"}, {"width": "("}, {"required": "a*"}])
+
+
+CODE = "'" + r"\\[A-Za-z]+\[[0-9]+\]" + "'"
+
+
+@query(f"select fact_id,list_sort(regexp_extract_all(answer,{CODE}))=list_sort(regexp_extract_all(raw_text,{CODE})) as equal from items")
+def u08_equal_control_multisets(spark, sf):
+    p = F.lit(r"\\[A-Za-z]+\[[0-9]+\]")
+    counts = lambda c: F.array_sort(F.regexp_extract_all(c, p, F.lit(0)))
+    return R.items(spark, sf).select("fact_id", (counts("answer") == counts("raw_text")).alias("equal"))
+
+
+@query(r"select fact_id,(len(regexp_extract_all(raw_text,'\\n'))-len(regexp_extract_all(raw_text,'\\n[A-Za-z<\[]')))::bigint as marks from items")
+def x14_line_break_marks(spark, sf):
+    return R.items(spark, sf).select("fact_id", X.line_break_marks(F.col("raw_text")).alias("marks"))
+
+
+@query("select fact_id,regexp_replace(raw_text,'【[^】]*】',' ','g') as masked from items")
+def x38_masked_structures(spark, sf):
+    return R.items(spark, sf).select("fact_id", X.mask_structures(F.col("raw_text"), "【[^】]*】").alias("masked"))
+
+
+@query("select fact_id,case when contains(path,'/note/') then 'note' when starts_with(lower(path),'plugins.js/') then 'nested' when item_type in ('long_text','array') and regexp_matches(path,'/[0-9]+$') then 'commands' else 'field' end as protocol from items")
+def x44_write_protocols(spark, sf):
+    return R.items(spark, sf).select("fact_id", X.write_protocol(F.col("path"), F.col("item_type")).alias("protocol"))
+
+
+@query("select o_orderkey,count(*) as valid from orders join lineitem on l_orderkey=o_orderkey group by 1")
+def x21_valid_paths(spark, sf):
+    return x20_nested_leaves(spark, sf).where(X.valid_path(F.col("path"))).groupBy("o_orderkey").agg(F.count("*").alias("valid"))
+
+
+@query("""select file_id||':'||start_index as key,replace(ast_context,'"call_name": "Error"','"call_name": "Warning"') as content from (select distinct file_id,start_index,ast_context from plugin_source_candidates) where contains(ast_context,'"call_name": "Error"')""")
+def x50_nested_set(spark, sf):
+    c = _cands(spark, sf).select("file_id", "start_index", "ast_context").distinct().withColumn("id", F.concat_ws(":", "file_id", "start_index"))
+    hit = F.contains(F.col("ast_context"), F.lit('"call_name": "Error"'))
+    edits = c.where(hit).select(F.col("id").alias("key"), F.lit("$['call_name']").alias("path"), F.lit("Warning").alias("new"))
+    return J.apply_edits(c, edits, "id", "ast_context")
+
+
+@query("select fact_id,array_to_string(list_filter(translation_lines,lambda x: x is not null),chr(10)) as lines from items where item_type='long_text' and len(original_lines)>0 and len(list_filter(translation_lines,lambda x: x is not null))>0")
+def x51_edited_commands(spark, sf):
+    def step(batches):
+        for b in batches:
+            out = []
+            for k, o, t in zip(b["fact_id"], b["original_lines"], b["translation_lines"], strict=True):
+                rows = [{"code": 101}, *({"code": 401, "parameters": [x]} for x in o)]
+                done = layout.edit_commands(rows, [x for x in t if x is not None], list(range(1, len(o) + 1)), 401)
+                out.append((k, "\n".join(r["parameters"][0] for r in done[1:])))
+            yield pd.DataFrame(out, columns=["fact_id", "lines"])
+
+    lines = F.filter("translation_lines", lambda x: x.isNotNull())
+    i = R.items(spark, sf).where((F.col("item_type") == "long_text") & (F.size("original_lines") > 0) & (F.size(lines) > 0))
+    return i.select("fact_id", "original_lines", "translation_lines").mapInPandas(step, "fact_id string, lines string")
+
+
+@query(None)
+def w13_word_runs(spark, sf):
+    from tessera.operators.sequence import token_runs
+
+    @F.pandas_udf("array<string>")
+    def soft(s: pd.Series) -> pd.Series:
+        return s.map(token_runs)
+
+    return R.items(spark, sf).where(F.col("answer").rlike("[A-Za-z]")).select("fact_id", F.array_join(soft("answer"), "|").alias("runs"))
+
+
+@query("select fact_id,answer as restored from items")
+def x19_restored_answers(spark, sf):
+    i = R.items(spark, sf)
+    masked = controls.masked_rows(i, text="answer", answer="raw_text")
+    return masked.select(F.col("key").alias("fact_id"), "restored")
+
+
+@query("select fact_id,raw_text,speaker from items where item_type='short_text'")
+def k10_pretty_json(spark, sf):
+    i = R.items(spark, sf).where("item_type = 'short_text'")
+    pretty = i.select(F.to_json(F.struct("fact_id", "raw_text", "speaker"), {"pretty": "true"}).alias("doc"))
+    return pretty.select(F.from_json("doc", "fact_id string, raw_text string, speaker string").alias("x")).select("x.*")
+
+
+@query("select run_id,fact_id from errors where run_id=1")
+def t08_cleared_errors(spark, sf):
+    path = scratch(spark, "errors")
+    e = R.errors(spark, sf).select("run_id", "fact_id")
+    e.write.parquet(path)
+    files.clear_runs(spark, e.schema, path)
+    e.where("run_id = 1").write.mode("append").parquet(path)
+    return spark.read.schema(e.schema).parquet(path)

@@ -335,7 +335,7 @@ def o01_ordered_facts(spark, sf):
 
 @query("select fact_id,location_path from facts order by location_path,fact_id limit 50")
 def o02_limited_facts(spark, sf):
-    return R.facts(spark, sf).select("fact_id", "location_path").orderBy("location_path", "fact_id").limit(50)
+    return scope.limited(R.facts(spark, sf).select("fact_id", "location_path"), [F.col("location_path"), F.col("fact_id")], 50)
 
 
 @query(f"select fact_id from ({PENDING}) order by source_file,location_path,fact_id limit 100")

@@ -104,3 +104,33 @@ def replace_runs(spark: SparkSession, df: DataFrame, path: str) -> None:
 def report(df: DataFrame, path: str) -> None:
     """Rows as JSON lines."""
     df.write.mode("overwrite").json(path)
+
+
+def replace_files(contents: dict[str, str], backup: str) -> None:
+    """New contents in place of files (on the driver's machine, where projects lie): each old file is kept under
+    ``backup``; if any write fails, all files are put back as they were."""
+    os.makedirs(backup, exist_ok=True)
+    done: list[tuple[str, str | None]] = []
+    try:
+        for n, (path, text) in enumerate(contents.items()):
+            kept = None
+            if os.path.exists(path):
+                kept = os.path.join(backup, f"{n}-{os.path.basename(path)}")
+                with open(path, "rb") as old, open(kept, "wb") as new:
+                    new.write(old.read())
+            done.append((path, kept))
+            with open(f"{path}.new", "w", encoding="utf-8", newline="") as f:
+                f.write(text)
+            os.replace(f"{path}.new", path)
+    except OSError:
+        for path, kept in reversed(done):
+            if kept:
+                os.replace(kept, path)
+            elif os.path.exists(path):
+                os.remove(path)
+        raise
+
+
+def clear_runs(spark: SparkSession, schema, path: str) -> None:
+    """Starting a run clears what earlier runs reported."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)

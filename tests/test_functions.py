@@ -284,6 +284,23 @@ def test_versioned_tables_and_runs(spark, tmp_path):
     assert sorted((r.run_id, r.x) for r in spark.read.parquet(path).collect()) == [(1, "c"), (2, "b")]
 
 
+def test_replace_files_rolls_back(tmp_path):
+    a, b = tmp_path / "a.json", tmp_path / "b.json"
+    a.write_text("old")
+    files.replace_files({str(a): "new", str(b): "made"}, str(tmp_path / "kept"))
+    assert a.read_text() == "new" and b.read_text() == "made" and (tmp_path / "kept/0-a.json").read_text() == "old"
+    with pytest.raises(OSError):
+        files.replace_files({str(a): "newer", str(tmp_path / "none/c.json"): "x"}, str(tmp_path / "kept"))
+    assert a.read_text() == "new"
+
+
+def test_limits(spark):
+    df = spark.range(5)
+    assert scope.limited(df, [F.col("id")], 2).count() == 2 and scope.limited(df, [F.col("id")], None).count() == 5
+    with pytest.raises(ValueError):
+        scope.limited(df, [F.col("id")], 0)
+
+
 def test_shells(spark):
     df = spark.createDataFrame([('say "hi"\n',), ("plain",), ("",)], "t string")
     r = df.select("t", X.decode_shells(X.encode_shell(X.encode_shell(F.trim("t")))).alias("d"), X.encode_shell(F.col("t")).alias("e")).collect()
