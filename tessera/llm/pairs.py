@@ -98,7 +98,8 @@ def judge(original: str, answer: str, kind: str | None) -> tuple[list[str], str]
         found.append("refusal")
     language = _has_language(bo)
     ko, kt = _key(bo), _key(bt)
-    if language and ko and kt.endswith(ko) and (len(kt) == len(ko) or (len(kt) - len(ko) <= 24 and re.match(r"[^:]{1,30}:", bt.lstrip()))):
+    # the whole original again, with at most a short heading or closing around it
+    if language and ko and ko in kt and len(kt) - len(ko) <= (24 if re.match(r"[^:]{1,30}:", bt.lstrip()) else 12):
         found.append("copy")
     han, kana, hira, hangul, latin = (len(x.findall(bt)) for x in (_HAN, _KANA, _HIRA, _HANGUL, _LATIN))
     words = len(_WORD.findall(bt))
