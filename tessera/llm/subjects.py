@@ -2,9 +2,10 @@
 
 Two documents are linked by the phrases both hold (words of spaced languages, character runs of the others). A link carries labels only once it is verified: enough documents hold the phrase, and one subject is clearly
 ahead among them. Labels that people gave seed the graph; each round propagates by joins from documents to phrases,
-from phrases to sentences and from those back to the documents, over all documents. Seeds that the graph bears out
-stay clamped, those it contradicts lose their trust. A sentence takes the subject of its strongest link, a document
-every subject that holds at least a quarter of its sentences, so several subjects are kept.
+from phrases to sentences and from those back to the documents, over all documents. Seeds that the graph bears out in
+any round (a quarter of the sentences) are trusted and stay clamped: they feed every later round and are kept in the
+result, until other subjects leave them less than a quarter of the sentences. A sentence takes the subject of its
+strongest link, a document every subject that holds at least a quarter of its sentences, so several subjects are kept.
 
 Defined results: null and empty texts and texts without words have no subject; labels of unknown documents or with
 null fields are ignored, repeated ones count once; without labels no document has a subject; texts of any length are
@@ -117,8 +118,24 @@ def _shares(held: DataFrame, links: DataFrame) -> DataFrame:
     return each.groupBy("doc_id", subject.alias("subject_id")).agg((F.sum("n") / F.max("all")).alias("share"))
 
 
+def _about(found: DataFrame) -> DataFrame:
+    return found.where(F.col("share") >= SHARE).select("doc_id", "subject_id")
+
+
+def _trusted(seeds: DataFrame, found: DataFrame, before: DataFrame | None) -> DataFrame:
+    """The seeds that ``found`` bears out, and of those trusted before the ones that it leaves room for."""
+    borne = seeds.join(_about(found), ["doc_id", "subject_id"], "left_semi")
+    if before is None:
+        return borne
+    own = before.join(found, ["doc_id", "subject_id"], "left").select("doc_id", "subject_id", F.coalesce("share", F.lit(0.0)).alias("share"))
+    taken = found.groupBy("doc_id").agg(F.sum("share").alias("taken"))
+    room = 1 - F.coalesce("taken", F.lit(0.0)) + F.col("share")
+    left = own.join(taken, "doc_id", "left").where(room >= SHARE - 1e-9).select("doc_id", "subject_id")
+    return borne.unionByName(left).distinct()
+
+
 def propagate(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``(doc_id, subject_id, share)`` of every document and subject with any sentence of it."""
+    """``(doc_id, subject_id, share, clamped)`` of every document and subject with any sentence of it or a trusted seed."""
     spark = documents.sparkSession
     cut = stored(spark, _cut(documents), "cut")
     docs = cut.select("doc_id", F.array_distinct(F.flatten(F.transform("sentences", lambda x: x["phrases"]))).alias("phrases"))
@@ -128,13 +145,18 @@ def propagate(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) ->
     seeds = labels.select("doc_id", "subject_id").where("doc_id is not null and subject_id is not null").distinct()
     seeded = docs.join(seeds.select("doc_id").distinct(), "doc_id", "left_semi").select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
     found = _shares(held, _links(docs, seeds, seeded, SEED_SHARE))
+    trusted = None
     for _ in range(rounds):
-        about = stored(spark, found.where(F.col("share") >= SHARE).select("doc_id", "subject_id"), "about")
+        found = stored(spark, found, "shares")
+        trusted = stored(spark, _trusted(seeds, found, trusted), "trusted")
+        about = stored(spark, _about(found).unionByName(trusted).distinct(), "about")
         found = _shares(held, _links(docs, about, total, LINK_SHARE))
-    return found
+    found = stored(spark, found, "shares")
+    clamped = _trusted(seeds, found, trusted).withColumn("clamped", F.lit(True))
+    return found.join(clamped, ["doc_id", "subject_id"], "full").select("doc_id", "subject_id", F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("clamped", F.lit(False)).alias("clamped"))
 
 
 def subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
     """``(doc_id, subject_id)``: the subject areas of each document."""
     found = propagate(documents, labels.join(areas.select("subject_id").distinct(), "subject_id", "left_semi"))
-    return found.where(F.col("share") >= SHARE).select("doc_id", "subject_id")
+    return found.where((F.col("share") >= SHARE) | F.col("clamped")).select("doc_id", "subject_id")

@@ -366,6 +366,31 @@ def test_subjects(spark):
     assert subjects.subjects(df.limit(0), lab, areas).count() == 0
 
 
+def _about(found):
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.doc_id, set()).add(r.subject_id)
+    return got
+
+
+def test_subjects_clamps_trusted_seeds(spark):
+    # too few documents hold the phrases of subject 1 for a link of the later rounds
+    docs = [(1, "Alembic boiled slowly. Rain stopped early."), (2, "Alembic cooled again. Nobody knows why.")]
+    docs += [(10 + i, f"Verdict pleased lawyer {i}. Lawyer praised verdict.") for i in range(20)]
+    # documents that speak of subject 2 throughout bear its seed out; the label 1 of the last is contradicted
+    labels = [(1, 1), (2, 1)] + [(10 + i, 2) for i in range(8)] + [(29, 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    areas = spark.createDataFrame([(1,), (2,)], "subject_id int")
+    got = _about(subjects.subjects(df, spark.createDataFrame(labels, "doc_id long, subject_id int"), areas))
+    assert got[1] == {1} and got[2] == {1}
+    assert got[29] == {2}
+    found = spark.createDataFrame([(1, 1, 0.2), (1, 2, 0.8), (2, 2, 0.5)], "doc_id long, subject_id int, share double")
+    seeds = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 1)], "doc_id long, subject_id int")
+    before = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, subject_id int")
+    # 0.8 of document 1 is another subject's, document 2 leaves room, document 3 was never borne out
+    assert {tuple(r) for r in subjects._trusted(seeds, found, before).collect()} == {(1, 2), (2, 1)}
+
+
 # -- the queries
 
 
