@@ -1,7 +1,8 @@
 """Subject areas of each document by label propagation over the graph that documents form through their phrases.
 
 Two documents are linked by the phrases both hold (words of spaced languages, character runs of the others). A link carries labels only once it is verified: enough documents hold the phrase, and one subject is clearly
-ahead among them. Labels that people gave seed the graph; each round propagates by joins from documents to phrases,
+ahead among them; a phrase whose first subjects are level links nothing. Copies of a text are one document of the
+graph, which takes the labels of all of them and gives them its subjects. Labels that people gave seed the graph; each round propagates by joins from documents to phrases,
 from phrases to sentences and from those back to the documents, over all documents. Seeds that the graph bears out in
 any round (a quarter of the sentences) are trusted and stay clamped: they feed every later round and are kept in the
 result, until other subjects leave them less than a quarter of the sentences. A sentence takes the subject of its
@@ -19,11 +20,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.language import plain_table, sentences
-from tessera.session import spread, stored
+from tessera.session import stored
 
 #: Share of a document's sentences from which it is about a subject.
 SHARE = 0.25
@@ -71,8 +72,13 @@ def _hash(x: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _same() -> Column:
+    return F.unhex(F.md5("text")).alias("same")
+
+
 def _cut(documents: DataFrame) -> DataFrame:
-    """``(doc_id, sentences)``: each document's distinct sentences with their number and hashed phrases."""
+    """``(doc_id, same, sentences)``: each distinct text's distinct sentences with their number and hashed phrases, under
+    the least id of its documents; ``same`` tells texts apart."""
     sent = documents.sparkSession.sparkContext.broadcast(plain_table(documents.sparkSession))
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,7 +88,7 @@ def _cut(documents: DataFrame) -> DataFrame:
                 part = b.iloc[start : start + 500]
                 known: dict[str, list[int]] = {}
                 rows = []
-                for doc, text in zip(part["doc_id"], part["text"], strict=True):
+                for doc, same, text in zip(part["doc_id"], part["same"], part["text"], strict=True):
                     own: dict[str, int] = {}
                     for s in sentences(text, sent.value) if text else []:
                         k = _DIGITS.sub("0", s.strip())
@@ -90,18 +96,24 @@ def _cut(documents: DataFrame) -> DataFrame:
                     for k in own:
                         if k not in known:
                             known[k] = [h if (h := hashes.get(p)) is not None else hashes.setdefault(p, _hash(p)) for p in phrases(k)]
-                    rows.append((doc, [{"n": n, "phrases": known[k]} for k, n in own.items()]))
+                    rows.append((doc, same, [{"n": n, "phrases": known[k]} for k, n in own.items()]))
                 if len(hashes) > 200_000:
                     hashes.clear()
-                yield pd.DataFrame(rows, columns=["doc_id", "sentences"])
+                yield pd.DataFrame(rows, columns=["doc_id", "same", "sentences"])
 
-    return spread(documents.where("doc_id is not null").select("doc_id", "text")).mapInPandas(step, "doc_id long, sentences array<struct<n:int,phrases:array<long>>>")
+    # copies meet within each task before anything is shuffled
+    texts = documents.where("doc_id is not null and text <> ''").groupBy(_same()).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    return texts.mapInPandas(step, "doc_id long, same binary, sentences array<struct<n:int,phrases:array<long>>>")
 
 
 def _links(docs: DataFrame, labels: DataFrame, total: DataFrame, share: float) -> DataFrame:
-    """Verified links ``(phrase, link)``: the subject that is ahead among a phrase's documents, with its strength."""
+    """Verified links ``(phrase, link)``: the subject that is ahead among a phrase's documents, with its strength; none
+    where two are level."""
     counts = docs.join(labels, "doc_id").select("subject_id", F.explode("phrases").alias("phrase")).groupBy("phrase", "subject_id").agg(F.count("*").alias("c"))
-    best = counts.groupBy("phrase").agg(F.max_by("subject_id", "c").alias("subject_id"), F.max("c").alias("c"))
+    # count and subject in one number, once with the subjects in reverse: level subjects give different ones
+    top, rest = F.shiftleft("c", 31), F.lit(2**31 - 1)
+    best = counts.groupBy("phrase").agg(F.max(top + F.col("subject_id")).alias("up"), F.max(top + rest - F.col("subject_id")).alias("down"), F.max("c").alias("c"))
+    best = best.withColumn("subject_id", F.col("up").bitwiseAND(rest)).where(F.col("subject_id") == rest - F.col("down").bitwiseAND(rest))
     strength = (F.col("c") + 0.5) / (F.col("n") + 2)
     # strength (in millionths) and subject in one number, so that the strongest is a plain maximum
     coded = F.shiftleft((strength * 1_000_000).cast("long"), 31) + F.col("subject_id")
@@ -142,7 +154,10 @@ def propagate(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) ->
     whole = F.aggregate("sentences", F.lit(0), lambda a, x: a + x["n"]).alias("all")
     held = cut.select("doc_id", whole, F.posexplode("sentences").alias("i", "x")).select("doc_id", "all", "i", "x.n", "x.phrases")
     total = stored(spark, docs.select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST), "phrases")
-    seeds = labels.select("doc_id", "subject_id").where("doc_id is not null and subject_id is not null").distinct()
+    # every document with the one that stands for its text
+    stands = stored(spark, documents.where("doc_id is not null and text <> ''").select(F.col("doc_id").alias("copy"), _same()).join(cut.select("doc_id", "same"), "same").select("copy", "doc_id"), "copies")
+    given = labels.select(F.col("doc_id").alias("copy"), "subject_id").where("copy is not null and subject_id is not null")
+    seeds = stored(spark, given.join(stands, "copy").select("doc_id", "subject_id").distinct(), "seeds")
     seeded = docs.join(seeds.select("doc_id").distinct(), "doc_id", "left_semi").select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
     found = _shares(held, _links(docs, seeds, seeded, SEED_SHARE))
     trusted = None
@@ -153,10 +168,11 @@ def propagate(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) ->
         found = _shares(held, _links(docs, about, total, LINK_SHARE))
     found = stored(spark, found, "shares")
     clamped = _trusted(seeds, found, trusted).withColumn("clamped", F.lit(True))
-    return found.join(clamped, ["doc_id", "subject_id"], "full").select("doc_id", "subject_id", F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("clamped", F.lit(False)).alias("clamped"))
+    every = found.join(clamped, ["doc_id", "subject_id"], "full").join(stands, "doc_id")
+    return every.select(F.col("copy").alias("doc_id"), "subject_id", F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("clamped", F.lit(False)).alias("clamped"))
 
 
 def subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
     """``(doc_id, subject_id)``: the subject areas of each document."""
     found = propagate(documents, labels.join(areas.select("subject_id").distinct(), "subject_id", "left_semi"))
-    return found.where((F.col("share") >= SHARE) | F.col("clamped")).select("doc_id", "subject_id")
+    return found.where((F.col("share") >= SHARE) | F.col("clamped")).select("doc_id", "subject_id").distinct()

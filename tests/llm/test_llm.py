@@ -391,6 +391,22 @@ def test_subjects_clamps_trusted_seeds(spark):
     assert {tuple(r) for r in subjects._trusted(seeds, found, before).collect()} == {(1, 2), (2, 1)}
 
 
+def test_subjects_counts_copies_once_and_leaves_ties(spark):
+    docs = [(i, f"Telescope magnet {w}. Magnet telescope again.") for i, w in enumerate("red blue green black white brown".split())]
+    docs += [(20 + i, f"Verdict lawyer {w}. Lawyer verdict again.") for i, w in enumerate("one two three four five six".split())]
+    # copies of a text with both subjects: what only they hold is no evidence for either
+    docs += [(100 + i, "Telescope quixotic magnet. Verdict zanzibar lawyer.") for i in range(40)]
+    labels = [(i, 1) for i in range(6)] + [(20 + i, 2) for i in range(6)] + [(100 + i, s) for i in range(5) for s in (1, 2)]
+    areas = spark.createDataFrame([(1,), (2,)], "subject_id int")
+    got = _about(subjects.subjects(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject_id int"), areas))
+    assert all(got[d] == {1, 2} for d in range(100, 140))
+    assert got[0] == {1} and got[20] == {2}
+    held = spark.createDataFrame([(1, [7, 8]), (2, [7, 8]), (3, [7, 8]), (4, [8])], "doc_id long, phrases array<long>")
+    about = spark.createDataFrame([(d, s) for d in (1, 2, 3) for s in (1, 2)] + [(4, 2)], "doc_id long, subject_id int")
+    total = spark.createDataFrame([(7, 3), (8, 4)], "phrase long, n long")
+    assert [(r.phrase, r.link & (2**31 - 1)) for r in subjects._links(held, about, total, 0.7).collect()] == [(8, 2)]
+
+
 # -- the queries
 
 
