@@ -10,32 +10,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def stitch(commands: DataFrame, group: list[str], pos: str, opens: str, text: str, closes: str | None = None) -> DataFrame:
+def _order(pos: str, tie: str | None) -> list[str]:
+    return [pos, tie] if tie else [pos]
+
+
+def stitch(commands: DataFrame, group: list[str], pos: str, opens: str, text: str, closes: str | None = None, tie: str | None = None) -> DataFrame:
     """Dialogue blocks: a row that opens starts one, rows that don't open follow the block before them (rows
-    before any opening belong to none), a closing row ends it. Returns group, block, first_pos, n, lines in order."""
-    w = Window.partitionBy(*group).orderBy(pos)
-    seen = w.rowsBetween(Window.unboundedPreceding, 0)
-    marked = commands.withColumn("block", F.last(F.when(F.col(opens), F.col(pos)), ignorenulls=True).over(seen))
+    before any opening belong to none), a closing row ends it. Rows of one position are in the order of ``tie``.
+    Returns group, block (the position that opened it), n, lines in order."""
+    place = F.struct(*_order(pos, tie))
+    seen = Window.partitionBy(*group).orderBy(*_order(pos, tie)).rowsBetween(Window.unboundedPreceding, 0)
+    marked = commands.withColumn("_open", F.last(F.when(F.col(opens) & F.col(pos).isNotNull(), place), ignorenulls=True).over(seen))
     if closes:
-        last_close = F.last(F.when(F.col(closes), F.col(pos)), ignorenulls=True).over(seen)
-        marked = marked.withColumn("block", F.when(last_close.isNull() | (last_close < F.col("block")), F.col("block"))).where(~F.col(closes))
-    blocks = marked.where("block is not null").groupBy(*group, "block").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(pos, text))).alias("rows"))
-    return blocks.select(*group, "block", "n", F.array_join(F.transform("rows", lambda x: x[text]), "\n").alias("lines"))
+        last_close = F.last(F.when(F.col(closes), place), ignorenulls=True).over(seen)
+        marked = marked.withColumn("_open", F.when(last_close.isNull() | (last_close < F.col("_open")), F.col("_open"))).where(~F.col(closes))
+    blocks = marked.where("_open is not null").groupBy(*group, "_open").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(*_order(pos, tie), text))).alias("rows"))
+    return blocks.select(*group, F.col("_open")[pos].alias("block"), "n", F.array_join(F.transform("rows", lambda x: x[text]), "\n").alias("lines"))
 
 
 def islands(rows: DataFrame, group: list[str], pos: str, keep) -> DataFrame:
-    """Maximal runs of consecutive positions among the rows to keep: group, first, last, n."""
+    """Maximal runs of consecutive positions among the rows to keep, rows of one position in the same run: group,
+    first, last, n."""
     kept = rows.where(keep)
-    run = F.col(pos) - F.row_number().over(Window.partitionBy(*group).orderBy(pos))
+    run = F.col(pos) - F.dense_rank().over(Window.partitionBy(*group).orderBy(pos))
     return kept.withColumn("run", run).groupBy(*group, "run").agg(F.min(pos).alias("first"), F.max(pos).alias("last"), F.count("*").alias("n")).drop("run")
 
 
-def following(rows: DataFrame, group: list[str], pos: str, anchor) -> DataFrame:
-    """Rows that follow an anchor without a gap, with the anchor's position."""
-    w = Window.partitionBy(*group).orderBy(pos)
-    marked = rows.withColumn("anchor", F.last(F.when(anchor, F.col(pos)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    counted = marked.where("anchor is not null").withColumn("step", F.row_number().over(Window.partitionBy(*group, "anchor").orderBy(pos)) - 1)
-    return counted.where((F.col(pos) - F.col("anchor") == F.col("step")) & (F.col("step") > 0)).drop("step")
+def following(rows: DataFrame, group: list[str], pos: str, anchor, tie: str | None = None) -> DataFrame:
+    """Rows that follow an anchor without a gap, with the anchor's position. Rows of one position are in the order
+    of ``tie``."""
+    w = Window.partitionBy(*group).orderBy(*_order(pos, tie))
+    place = F.struct(*_order(pos, tie))
+    marked = rows.withColumn("_anchor", F.last(F.when(anchor & F.col(pos).isNotNull(), place), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    after = Window.partitionBy(*group, "_anchor")
+    counted = marked.where("_anchor is not null").withColumn("step", F.dense_rank().over(after.orderBy(pos)) - 1).withColumn("_row", F.row_number().over(after.orderBy(*_order(pos, tie))))
+    counted = counted.withColumn("anchor", F.col("_anchor")[pos])
+    return counted.where((F.col(pos) - F.col("anchor") == F.col("step")) & (F.col("_row") > 1)).drop("step", "_row", "_anchor")
 
 
 def numbered(rows: DataFrame, group: list[str], order: str, name: str, parts: int = 16) -> DataFrame:

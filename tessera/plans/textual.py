@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import controls, javascript
@@ -377,17 +377,29 @@ POS = "try_cast(regexp_extract(path,'/([0-9]+)$',1) as bigint)"
 MSG = f"(select game_id,regexp_replace(path,'/[^/]*$','') as list_key,{POS} as pos,speaker,raw_text,item_type,fact_id from items where regexp_matches(path,'^(Map[0-9]+|Troops)\\.json/[0-9]+/[0-9]+/[0-9]+$') qualify row_number() over (partition by game_id,list_key,pos order by fact_id)=1)"
 
 
+_COMMAND = r"(?i)^(?:.*/)?(map[0-9]+|troops|commonevents)\.json((?:/[0-9]+)+)/([^/]*)$"
+
+
+def _commands(items: DataFrame) -> DataFrame:
+    """Rows of the command lists with their list and position: of a map's or troop's page, or of a common event, in any
+    folder and spelling of the path."""
+    path = F.regexp_replace(F.translate(F.trim("location_path"), "\\", "/"), "/+", "/")
+    stem, middle, last = (F.regexp_extract(path, _COMMAND, k) for k in (1, 2, 3))
+    file = F.when(F.lower(stem).startswith("map"), F.concat(F.lit("Map"), F.substring(stem, 4, 100))).when(F.lower(stem) == "troops", "Troops").otherwise("CommonEvents")
+    depth = F.length(middle) - F.length(F.replace(middle, F.lit("/"), F.lit("")))
+    listed = (stem != "") & (depth == F.when(F.lower(stem) == "commonevents", 1).otherwise(2))
+    pos = F.when(F.trim(last).rlike("^[0-9]+$"), F.trim(last)).try_cast("long")
+    return items.where(listed & pos.isNotNull()).withColumn("list_key", F.concat(file, F.lit(".json"), middle)).withColumn("pos", pos)
+
+
 def _messages(spark: SparkSession, sf: str) -> DataFrame:
-    i = R.items(spark, sf).where(F.col("path").rlike(r"^(Map[0-9]+|Troops)\.json/[0-9]+/[0-9]+/[0-9]+$"))
-    m = i.select("game_id", F.regexp_replace("path", "/[^/]*$", "").alias("list_key"), F.regexp_extract("path", "/([0-9]+)$", 1).try_cast("long").alias("pos"), "speaker", "raw_text", "item_type", "fact_id")
-    w = Window.partitionBy("game_id", "list_key", "pos").orderBy("fact_id")
-    return m.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    return _commands(R.items(spark, sf)).select("game_id", "list_key", "pos", "speaker", "raw_text", "item_type", "fact_id")
 
 
 @query(f"""select game_id,list_key,block,count(*) as n,string_agg(raw_text,chr(10) order by pos) as lines from (select *,last_value(case when speaker<>'' then pos end ignore nulls) over (partition by game_id,list_key order by pos rows between unbounded preceding and current row) as block from {MSG}) where block is not null group by all""")
 def w01_dialogue_blocks(spark, sf):
     m = _messages(spark, sf).withColumn("opens", F.col("speaker") != "")
-    return sequence.stitch(m, ["game_id", "list_key"], "pos", "opens", "raw_text")
+    return sequence.stitch(m, ["game_id", "list_key"], "pos", "opens", "raw_text", tie="fact_id")
 
 
 @query(f"""select game_id,list_key,min(pos) as first,max(pos) as last,count(*) as n from (select *,pos-row_number() over (partition by game_id,list_key order by pos) as run from {MSG} where item_type='long_text') group by game_id,list_key,run""")
@@ -397,7 +409,7 @@ def w02_consecutive_runs(spark, sf):
 
 @query(f"""select game_id,list_key,pos,anchor from (select *,row_number() over (partition by game_id,list_key,anchor order by pos)-1 as step from (select *,last_value(case when speaker<>'' then pos end ignore nulls) over (partition by game_id,list_key order by pos rows between unbounded preceding and current row) as anchor from {MSG}) where anchor is not null) where pos-anchor=step and step>0""")
 def w03_following_lines(spark, sf):
-    return sequence.following(_messages(spark, sf), ["game_id", "list_key"], "pos", F.col("speaker") != "").select("game_id", "list_key", "pos", "anchor")
+    return sequence.following(_messages(spark, sf), ["game_id", "list_key"], "pos", F.col("speaker") != "", tie="fact_id").select("game_id", "list_key", "pos", "anchor")
 
 
 @query(f"""select speaker,row_number() over (partition by speaker order by fact_id)::bigint as seq,fact_id,raw_text as line from {MSG} where speaker<>''""")

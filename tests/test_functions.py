@@ -11,6 +11,8 @@ from tessera.functions import controls, javascript, layout
 from tessera.functions import json as J
 from tessera.functions import text as X
 from tessera.operators import scope, sequence, terms
+from tessera.plans import projects, textual
+from tessera.plans import relations as R
 from tessera.rules import validate
 from tessera.sources import files
 from tessera.streaming import runs
@@ -315,3 +317,15 @@ def test_packages_are_separate():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "tessera.llm" not in p.read_text(), p
+
+
+def test_commands_of_every_list_and_spelling(spark):
+    paths = ["CommonEvents.json/5/0", "www/data/Map1.json/1/0/3", "Map1.json//1/0/4", "map1.json/1/0/4", "Troops.json/2/0/x", "CommonEvents.json/5/0/0", "Map1.json/1/0", "Items.json/1/0/0"]
+    rows = spark.createDataFrame([(f"f{i}", p) for i, p in enumerate(paths)], "fact_id string, location_path string")
+    got = {r.fact_id: (r.list_key, r.pos) for r in textual._commands(rows).collect()}
+    assert got == {"f0": ("CommonEvents.json/5", 0), "f1": ("Map1.json/1/0", 3), "f2": ("Map1.json/1/0", 4), "f3": ("Map1.json/1/0", 4)}
+    said = spark.createDataFrame([(1, 0, "a", "A", "x"), (1, 1, "c", "", "z"), (1, 1, "b", "", "y"), (1, 2, "d", "", "w"), (1, 4, "e", "", "v")], "g int, pos long, id string, who string, text string")
+    opened = said.withColumn("opens", F.col("who") != "")
+    assert [tuple(r) for r in sequence.stitch(opened, ["g"], "pos", "opens", "text", tie="id").collect()] == [(1, 0, 5, "x\ny\nz\nw\nv")]
+    assert sorted((r.first, r.last, r.n) for r in sequence.islands(said, ["g"], "pos", F.lit(True)).select(F.col("first"), F.col("last"), "n").collect()) == [(0, 2, 4), (4, 4, 1)]
+    assert sorted(r.id for r in sequence.following(said, ["g"], "pos", F.col("who") != "", tie="id").collect()) == ["b", "c", "d"]
