@@ -36,7 +36,7 @@ def j20_names_in_documents(spark, sf):
 @query("select i.fact_id,t.term from items i join (select distinct speaker as term from items where speaker<>'' and item_type='long_text' and length(speaker)>2) t on contains(i.raw_text,t.term)")
 def j15_speakers_in_texts(spark, sf):
     i = R.items(spark, sf)
-    who = i.where("speaker <> '' and item_type = 'long_text' and length(speaker) > 2")
+    who = i.where("speaker <> '' and item_type = 'long_text'")
     return terms.contained(i, "fact_id", "raw_text", who, "speaker")
 
 

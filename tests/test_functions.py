@@ -329,3 +329,11 @@ def test_commands_of_every_list_and_spelling(spark):
     assert [tuple(r) for r in sequence.stitch(opened, ["g"], "pos", "opens", "text", tie="id").collect()] == [(1, 0, 5, "x\ny\nz\nw\nv")]
     assert sorted((r.first, r.last, r.n) for r in sequence.islands(said, ["g"], "pos", F.lit(True)).select(F.col("first"), F.col("last"), "n").collect()) == [(0, 2, 4), (4, 4, 1)]
     assert sorted(r.id for r in sequence.following(said, ["g"], "pos", F.col("who") != "", tie="id").collect()) == ["b", "c", "d"]
+
+
+def test_speakers_of_any_length_are_searched(spark, sf):
+    i = R.items(spark, sf).select("fact_id", "raw_text", "speaker", "item_type").collect()
+    names = {r.speaker for r in i if r.item_type == "long_text" and r.speaker}
+    want = {(r.fact_id, n) for r in i for n in names if n in r.raw_text}
+    assert any(len(n) < 3 for _, n in want)
+    assert {tuple(r) for r in projects.j15_speakers_in_texts(spark, sf).collect()} == want
