@@ -3,17 +3,22 @@
 Every message row is reduced on the JVM side to ``(game_id, conv, fact_id, position, speaker, sound, event time)``.
 ``assemble`` buffers the messages of a conversation in keyed state under an event-time watermark; late arrivals join
 the buffer, and when the watermark passes the conversation's last message by ``timeout`` it is validated and emitted
-whole, in order, or left out. State and validation stay in the JVM. ``assemble_backlog`` runs a bounded input through the same operator: the backlog is one
-micro-batch (so no row can be late) followed by a closing marker that lets every open conversation time out.
+whole, in order, or left out. State and validation stay in the JVM. ``assemble_backlog`` runs a stored table through the
+same operator in micro-batches of bounded size. Its rows lie in no order of time, so the delay and the timeout are the
+time the table spans: no row is late, whichever batch it comes in. Once all batches are taken the end of the input is
+streamed as one event beyond all others, at which every open conversation times out.
 
 Defined results: rows whose path is no message's are left out; a null game_id is a game of its own; rows stored twice
 count once; a null or non-numeric position, two messages at one position, an invisible message, a message without
 speaker, a line count that differs from the path count, or fewer than two speakers leave the whole conversation out;
-an empty input gives no rows. Extra columns are ignored.
+a message without any time takes the earliest time of the table; an empty input gives no rows. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +53,14 @@ def _fold_names(table: dict[int, str]):
     return names
 
 
-def message_rows(items: DataFrame) -> DataFrame:
-    """``translation_items`` rows -> one row per message with what validation needs (no texts)."""
+def event_time(otherwise: Column | None = None) -> Column:
+    """When a message was said: saved, else loaded, else the time given."""
+    return F.coalesce("saved_at", "loaded_at", *([] if otherwise is None else [otherwise])).cast("timestamp")
+
+
+def message_rows(items: DataFrame, otherwise: Column | None = None) -> DataFrame:
+    """``translation_items`` rows -> one row per message with what validation needs (no texts); a message without any
+    time takes ``otherwise``."""
     spark = items.sparkSession
     path = F.regexp_replace(F.translate(F.trim("location_path"), "\\", "/"), "/+", "/")
     stem = F.regexp_extract(path, _PATH, 1)
@@ -66,7 +77,7 @@ def message_rows(items: DataFrame) -> DataFrame:
     marked = F.coalesce(
         *[
             F.nullif(F.regexp_extract(first, p, 1), F.lit(""))
-            for p in (r"^\\[nN]<([^<>]+)>", r"^【([^【】]+)】", r"^([^\s「」『』。、，,！？!?（）()]{1,30}) ?[「『]", r"^([^\s:：。、，,！？!?「」\\]{1,20})[:：]")
+            for p in (r"^\\[nN]<([^<>]+)>", r"^【([^【】]+)】", r"^([^\s「」『』。、，,！？!?（）()]+) ?[「『]", r"^([^\s:：。、，,！？!?「」\\]+)[:：]")
         ]
     )
     blank = r"[^\s\p{Z}\p{C}]"
@@ -82,12 +93,12 @@ def message_rows(items: DataFrame) -> DataFrame:
             F.when(last.rlike(r"^[0-9]{1,18}$"), last).try_cast("long").alias("pos"),
             F.nullif(speaker, F.lit("")).alias("speaker"),
             (visible & counts).alias("sound"),
-            F.coalesce("saved_at", "loaded_at", F.lit("1970-01-01").cast("timestamp_ntz")).cast("timestamp").alias("at"),
+            event_time(otherwise).alias("at"),
         )
     )
 
 
-def assemble(messages: DataFrame, delay: str = "7 days", timeout: str = "3650 days") -> DataFrame:
+def assemble(messages: DataFrame, delay: str = "7 days", timeout: str = "30 days") -> DataFrame:
     """The streaming operator: messages (see ``message_rows``) -> turns of validated conversations, in append mode.
 
     The state of a conversation is the buffer of its messages, kept per session: a conversation is closed once the
@@ -112,33 +123,38 @@ def turns(closed: DataFrame) -> DataFrame:
     return kept.select("game_id", "conv", F.posexplode("rows").alias("turn", "x")).select("game_id", "conv", "turn", F.col("x.fact_id").alias("fact_id"))
 
 
-def assemble_backlog(spark: SparkSession, path: str) -> DataFrame:
-    """All conversations of the stored table at ``path``: a stream that takes the backlog in one micro-batch, closes it
-    with a marker beyond every event time and writes to the shared folder, from which the result is read."""
+def assemble_backlog(spark: SparkSession, path: str, batch_bytes: int | None = None) -> DataFrame:
+    """All conversations of the stored table at ``path``: a stream of micro-batches of at most ``batch_bytes`` of files
+    (by default what the cores take in one wave of splits), then of the end of the input, written to the shared folder,
+    from which the result is read."""
     home = scratch(spark, "conversations")
-    schema = spark.read.parquet(path).schema
+    table = spark.read.parquet(path)
+    first, last = table.select(F.min(event_time()), F.max(event_time())).head()
+    if last is None:  # no row has a time: any one will do
+        first = last = dt.datetime(2000, 1, 1)
+    span = f"{(last - first).days + 1} days"
+    if batch_bytes is None:
+        batch_bytes = 128 * 2**20 * spark.sparkContext.defaultParallelism
     glob = f"{path[:-1]}[{path[-1]}]"  # as a pattern, a single file is as good a source as a folder
-    messages = message_rows(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2**31 - 1).parquet(glob))
-    marker = spark.range(1, numPartitions=1).select(
+    ends = f"{home}/ends"
+    end = spark.range(1, numPartitions=1).select(
         F.lit(None).cast("long").alias("game_id"), F.lit("").alias("conv"), F.lit("").alias("fact_id"), F.lit(None).cast("long").alias("pos"),
-        F.lit(None).cast("string").alias("speaker"), F.lit(False).alias("sound"), F.lit("2200-01-01").cast("timestamp").alias("at"),
+        F.lit(None).cast("string").alias("speaker"), F.lit(False).alias("sound"), (F.lit(last).cast("timestamp") + F.expr(f"interval {3 * ((last - first).days + 2)} days")).alias("at"),
     )
-    marker.write.parquet(f"{home}/marker")
-    closing = spark.readStream.schema(marker.schema).parquet(f"{home}/marker")
+    end.limit(0).write.parquet(ends)
     # state on disk, not in the heap: a backlog may be larger than the executors' memory
     provider = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        query = (
-            assemble(messages.unionByName(closing))
-            .writeStream.outputMode("append")
-            .format("parquet")
-            .option("path", f"{home}/out")
-            .option("checkpointLocation", f"{home}/state")
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
+        rows = spark.readStream.schema(table.schema).option("maxBytesPerTrigger", batch_bytes).parquet(glob)
+        messages = message_rows(rows, F.lit(first).cast("timestamp_ntz")).unionByName(spark.readStream.schema(end.schema).parquet(ends))
+        query = assemble(messages, span, span).writeStream.outputMode("append").format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").start()
+        try:
+            query.processAllAvailable()
+            end.write.mode("append").parquet(ends)
+            query.processAllAvailable()
+        finally:
+            query.stop()
     finally:
         spark.conf.unset(_PROVIDER) if provider is None else spark.conf.set(_PROVIDER, provider)
     remove(spark, f"{home}/state")

@@ -197,7 +197,7 @@ def canonical_texts(texts: DataFrame, key: list[str], text: str = "text", to: st
 
 
 #: Control codes of the message language: a backslash with a name and an optional argument, or with one sign.
-CONTROL = r"\\\\(?:[A-Za-z]+(?:\\[[^\\]]*\\]|<[^>]*>)?|[^A-Za-z])"
+CONTROL = r"\\(?:[A-Za-z]+(?:\[[^\]]*\]|<[^>]*>)?|[^A-Za-z])"
 
 
 def visible(text: Column) -> Column:

@@ -45,6 +45,12 @@ def test_form_keeps_what_differs(spark):
         assert forms.fold(a, table) == forms.fold(b, table)
 
 
+def test_control_codes_are_invisible(spark):
+    texts = {r"\C[0]": False, r"\!\.": False, r"\n<Ab>": False, r"\V[1] ": False, r"\C[0]a": True, "C[0]": True, "": False}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.v for r in df.select("t", forms.visible(F.col("t")).alias("v")).collect()} == texts
+
+
 def test_same_looking_pairs(spark):
     rows = [_item("a", o=["カ ab"], t=["x"]), _item("b", o=["力　ab"], t=["x"]), _item("b", o=["力　ab"], t=["x"]), _item("c", o=["カ", None], t=None), _item("d", o=["カ ab"]), _item("e", o=[]), _item("f", o=None), _item("g", o=["​"]), _item("h", o=["　"])]
     df = spark.createDataFrame(rows, ITEM).withColumn("form", F.lit(1)).withColumn("h", F.lit("clash"))
@@ -60,6 +66,11 @@ def _brute(rows, table):
     import collections
     import re
 
+    def seen(text):
+        for code in (r"\C[0]", r"\n<Ab>", r"\!", r"\."):
+            text = text.replace(code, "")
+        return text.strip()
+
     convs = collections.defaultdict(dict)
     for r in rows:
         m = re.fullmatch(r"Map001\.json/(\d+)/(\d+)/(.*)", r[2])
@@ -69,7 +80,7 @@ def _brute(rows, table):
     for (g, c), facts in convs.items():
         ms = [(int(p) if p.isascii() and p.isdigit() else None, f, r) for f, (p, r) in facts.items()]
         who = ["player" if r[3] == "array" else forms.fold(r[4] or "", table).strip() for _, _, r in ms]
-        ok = all(p is not None and w and forms.fold("".join(x for x in r[5] or [] if x), table).strip() and (r[3] != "long_text" or len(r[5]) == len(r[6])) for (p, _, r), w in zip(ms, who, strict=True))
+        ok = all(p is not None and w and seen(forms.fold("".join(x for x in r[5] or [] if x), table)) and (r[3] != "long_text" or len(r[5]) == len(r[6])) for (p, _, r), w in zip(ms, who, strict=True))
         if ok and len({p for p, _, _ in ms}) == len(ms) and len(set(who) - {"旁白"}) > 1:
             out |= {(g, c, i, f) for i, (_, f, _) in enumerate(sorted(ms))}
     return out
@@ -82,13 +93,32 @@ def test_conversations_equal_brute_force(spark, tmp_path):
         for e in range(12):
             for p in range(rng.randint(1, 6)):
                 pos = rng.choice([str(p)] * 12 + ["x", "", f"0{p}", "-1"])
-                r = _item(f"f{g}-{e}-{p}", f"Map001.json/{e}/0/{pos}", rng.choice(["long_text"] * 5 + ["array"]), rng.choice(["A", "B", "Ａ", "B​", "旁白", "A "] * 4 + [None, " "]), rng.choice([["hi"]] * 15 + [[" "], []]), game=g, paths=rng.choice([["p"]] * 15 + [["p", "q"]]))
+                r = _item(f"f{g}-{e}-{p}", f"Map001.json/{e}/0/{pos}", rng.choice(["long_text"] * 5 + ["array"]), rng.choice(["A", "B", "Ａ", "B​", "旁白", "A "] * 4 + [None, " "]), rng.choice([["hi"], ["\\C[0]hi"]] * 9 + [[" "], [], ["\\C[0]"], ["\\!\\.", "\\n<Ab>"]]), game=g, paths=rng.choice([["p"]] * 15 + [["p", "q"]]))
                 rows += [r] * rng.choice([1, 1, 1, 2])
     rng.shuffle(rows)
     path = f"{tmp_path}/items.parquet"
     spark.createDataFrame(rows, ITEM).withColumn("conv", F.lit("clash")).withColumn("pos", F.lit(1)).write.parquet(path)
-    got = {(r.game_id, r.conv, r.turn, r.fact_id) for r in conversations.assemble_backlog(spark, path).collect()}
-    assert got == _brute(rows, forms.form_table(spark)) and got
+    for batch in (None, 1):  # in one micro-batch, and a file at a time
+        got = {(r.game_id, r.conv, r.turn, r.fact_id) for r in conversations.assemble_backlog(spark, path, batch).collect()}
+        assert got == _brute(rows, forms.form_table(spark)) and got
+
+
+def test_backlog_takes_files_of_any_time(spark, tmp_path):
+    import datetime as dt
+
+    def said(fact, pos, role, year):
+        r = list(_item(fact, f"Map001.json/1/0/{pos}", role=role))
+        r[-2:] = [None if year is None else dt.datetime(year, 1, 1)] * 2
+        return tuple(r)
+
+    # decades apart, newest first, and without any time
+    path = f"{tmp_path}/items.parquet"
+    for r in (said("a", 0, "A", 2199), said("b", 1, "B", 1971), said("c", 2, "A", None), said("d", 3, "B", 2030)):
+        spark.createDataFrame([r], ITEM).coalesce(1).write.mode("append").parquet(path)
+    assert [(r.turn, r.fact_id) for r in conversations.assemble_backlog(spark, path, 1).orderBy("turn").collect()] == list(enumerate("abcd"))
+    undated = f"{tmp_path}/undated.parquet"
+    spark.createDataFrame([said("a", 0, "A", None), said("b", 1, "B", None)], ITEM).write.parquet(undated)
+    assert conversations.assemble_backlog(spark, undated).count() == 2
 
 
 def test_late_messages_join_their_conversation(spark, tmp_path):
