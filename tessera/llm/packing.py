@@ -130,8 +130,9 @@ def by_patterns(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
             yield pd.DataFrame({"budget_id": b["budget_id"], "doc_id": b["doc_id"], "piece": b["piece"], "pieces": b["pieces"], "tokens": b["tokens"], "container": [f"p{x}" for x in where]})
 
     packed = numbered.mapInPandas(place, "budget_id int, doc_id long, piece int, pieces int, tokens long, container string")
-    full = cut.where("tokens >= capacity").select("budget_id", "doc_id", "piece", "pieces", "tokens", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("-"), F.col("piece").cast("string")).alias("container"))
-    return packed.unionByName(full)
+    # a full piece is a container of its own; by rank, as a doc_id may be repeated
+    full, _ = ranked(cut.where("tokens >= capacity"), ["budget_id"])
+    return packed.unionByName(full.select("budget_id", "doc_id", "piece", "pieces", "tokens", F.concat(F.lit("f"), F.col("rank").cast("string")).alias("container")))
 
 
 def harmonic(sizes: DataFrame, budgets: DataFrame) -> DataFrame:

@@ -1,10 +1,10 @@
 """Broken original/translation pairs: ordered rules that emit every triggered defect type.
 
-Rules, in order: ``empty``, ``refusal`` (phrases of seven languages), ``copy`` (the original again, perhaps behind a
-heading), ``wrong_language`` (script mismatch), ``truncated`` (unclosed delimiters, a broken control code or a dash at
+Rules, in order: ``empty``, ``refusal`` (phrases of seven languages), ``copy`` (the original again, alone, behind a
+short heading or as at least half of the answer), ``wrong_language`` (script mismatch), ``truncated`` (unclosed delimiters, a broken control code or a dash at
 the end, fewer sentences than the original, or an abrupt ending). Whether an ending without a stop is abrupt is
 decided by the corpus itself: how often the last characters stand before a stop among all their occurrences in
-finished translations.
+finished translations; an ending that the corpus doesn't know stays undecided and is no defect.
 
 Defined results: a pair whose original has no visible text is no case; null lists and null lines are empty; rows
 stored twice count once; texts of any length are judged whole; an empty table gives no rows.
@@ -86,7 +86,8 @@ def _tail(bare: str) -> str:
 
 
 def judge(original: str, answer: str, kind: str | None) -> tuple[list[str], str]:
-    """All rules but the corpus one: the defect types triggered, in order, and the ending still to be judged."""
+    """All rules but the corpus one: the defect types triggered, in order, and the ending still to be judged. An empty
+    answer can trigger no other rule, and only an answer in Chinese can break off before its end."""
     o, t = _plain(original), _plain(answer)
     bo, bt = _CODE.sub("", o), _CODE.sub("", t)
     if not any(c.isprintable() and not c.isspace() for c in bo):
@@ -98,15 +99,15 @@ def judge(original: str, answer: str, kind: str | None) -> tuple[list[str], str]
         found.append("refusal")
     language = _has_language(bo)
     ko, kt = _key(bo), _key(bt)
-    # the whole original again, with at most a short heading or closing around it
-    if language and ko and ko in kt and len(kt) - len(ko) <= (24 if re.match(r"[^:]{1,30}:", bt.lstrip()) else 12):
+    # the whole original again: alone, behind a heading, or as the greater part of the answer
+    if language and ko and ko in kt and len(kt) - len(ko) <= max(24 if re.match(r"[^:]{1,30}:", bt.lstrip()) else 12, len(ko)):
         found.append("copy")
     han, kana, hira, hangul, latin = (len(x.findall(bt)) for x in (_HAN, _KANA, _HIRA, _HANGUL, _LATIN))
     words = len(_WORD.findall(bt))
     if language and ((hira > 1 and hira + kana > 0.3 * (hira + kana + han)) or hangul > han or kana > han + 1 or (words > 1 and latin > 2 * han)):
         found.append("wrong_language")
     tail = ""
-    if han and not found:
+    if han and "wrong_language" not in found:
         end = bt.rstrip()
         o_end = bo.rstrip()
         cut = _CUT_CODE.search(end) if not _CUT_CODE.search(o_end) else None
@@ -178,18 +179,22 @@ def defects(items: DataFrame) -> DataFrame:
     """``translation_items`` -> ``(fact_id, defects)``: every defect type triggered, in the rules' order."""
     rows = spread(items.where("fact_id is not null").select("fact_id", F.array_join("original_lines", "\n").alias("o"), F.array_join("translation_lines", "\n").alias("t"), F.col("item_type").alias("kind")))
     judged = stored(items.sparkSession, rows.mapInPandas(_judged, "fact_id string, defects array<string>, tail string").dropDuplicates(["fact_id"]), "judged")
-    grams = rows.select("t").mapInPandas(_endings, "gram string, seen long, ends long").groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
+    # a row stored twice is one occurrence
+    once = rows.where("t <> ''").groupBy(F.unhex(F.md5("fact_id")).alias("h")).agg(F.first("t").alias("t")).select("t")
+    grams = once.mapInPandas(_endings, "gram string, seen long, ends long").groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
     open_ = judged.where("tail <> ''").select("fact_id", "tail").mapInPandas(_open_contexts, "fact_id string, k int, gram string")
     best = (
         open_.join(grams, "gram")
         .where(F.col("seen") >= SEEN)
         .groupBy("fact_id")
         .agg(F.max(F.struct("k", (F.col("ends") / F.col("seen")).alias("share"))).alias("best"))
-        .where(F.col("best.share") >= WHOLE_SHARE)
+        .where(F.col("best.share") < WHOLE_SHARE)
         .select("fact_id")
     )
-    abrupt = judged.where("tail <> ''").join(best, "fact_id", "left_anti").select("fact_id", F.array(F.lit("truncated")).alias("defects"))
-    return judged.where("size(defects) > 0").select("fact_id", "defects").unionByName(abrupt)
+    abrupt = judged.where("tail <> ''").join(best, "fact_id").select("fact_id", F.concat("defects", F.array(F.lit("truncated"))).alias("defects"))
+    rest = judged.where("size(defects) > 0").join(abrupt.select("fact_id"), "fact_id", "left_anti").select("fact_id", "defects")
+    return rest.unionByName(abrupt)
+
 
 
 def first_defect(found: DataFrame) -> DataFrame:

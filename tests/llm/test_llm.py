@@ -182,10 +182,19 @@ def test_pair_rules(o, t, kind, want):
     assert (found[0] if found else None) == want
 
 
+def test_every_triggered_type_is_emitted():
+    assert pairs.judge("雨がやんだら。\n行こう。", "抱歉，我无法翻译这段内容", "long_text")[0] == ["refusal", "truncated"]
+    assert pairs.judge("行こう。", "번역할 수 없습니다.", "long_text")[0] == ["refusal", "wrong_language"]
+    assert pairs.judge("雨がやんだら、北の塔へ向かおう。", "雨がやんだら、北の塔へ向かおう。", "long_text")[0] == ["copy", "wrong_language"]
+    # a heading and a closing of any length, as long as the original is the greater part
+    long = "雨がやんだら、北の塔へ向かおう。" * 4
+    assert "copy" in pairs.judge(long, f"以下是按照要求给出的这一段话的完整译文内容请您查收一下{long}", "long_text")[0]
+
+
 def test_abrupt_endings_are_learned(spark):
     full = ["雨停了我们就去北边的塔吧。", "好像有人在桥的另一边等着。", "请把这段旋律演奏得再慢一些。"]
     rows = [_item(f"n{i}", o=["雨がやんだら。"], t=[full[i % 3]]) for i in range(30)]
-    rows += [_item("whole", o=["雨がやんだら。"], t=["雨停了我们就去北边的塔吧"]), _item("cut", o=["雨がやんだら。"], t=["雨停了我们就去北"]), _item("cut", o=["雨がやんだら。"], t=["雨停了我们就去北"]), _item("e", o=["行こう。"], t=None), _item("z", o=None, t=None)]
+    rows += [_item("whole", o=["雨がやんだら。"], t=["雨停了我们就去北边的塔吧"]), _item("cut", o=["雨がやんだら。"], t=["雨停了我们就去北"]), _item("cut", o=["雨がやんだら。"], t=["雨停了我们就去北"]), _item("unknown", o=["雨がやんだら。"], t=["龙鳞闪耀金光"]), _item("e", o=["行こう。"], t=None), _item("z", o=None, t=None)]
     df = spark.createDataFrame(rows, ITEM).withColumn("defects", F.lit("clash")).withColumn("tail", F.lit(1))
     got = {r.fact_id: r.defect for r in pairs.first_defect(pairs.defects(df)).collect()}
     assert got == {"cut": "truncated", "e": "empty"}
@@ -358,6 +367,14 @@ def test_plan_equals_best_fit_decreasing():
             assert sum(x[3] * x[4] for x in own) == n and [x[1] for x in own] == sorted(x[1] for x in own)
 
 
+def test_packing_repeated_ids(spark):
+    df = spark.createDataFrame([(7, 200), (7, 200), (7, 64), (7, 64), (7, 3)], "doc_id long, tokens long")
+    budgets = spark.createDataFrame([(1, 64)], "budget_id int, capacity_tokens int")
+    for pack in (packing.by_patterns, packing.harmonic):
+        used = pack(df, budgets).groupBy("container").agg(F.sum("tokens").alias("n")).collect()
+        assert sum(r.n for r in used) == 531 and max(r.n for r in used) <= 64
+
+
 def test_packing_of_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, tokens long")
     budgets = spark.createDataFrame([(1, 64)], "budget_id int, capacity_tokens int")
