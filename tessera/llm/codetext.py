@@ -64,9 +64,9 @@ _CODE_SIGN = re.compile(
 )
 _KANA, _HIRA, _HAN, _HANGUL = (re.compile(x) for x in ("[ぁ-ゖァ-ヺー]", "[ぁ-ゖ]", "[一-鿿㐀-䶿々]", "[가-힣]"))
 _LATIN_WORD = re.compile(r"[^\W\d_ぁ-ヿ㐀-鿿가-힣]+")
-#: Votes from which a text of a spaced language counts as natural, and the words it needs.
+#: Votes from which a text of a spaced language counts as natural, and the words of two letters or more that make a phrase.
 LEAST_VOTES = 1.0
-LEAST_WORDS = 3
+LEAST_WORDS = 2
 
 
 @functools.cache
@@ -124,7 +124,7 @@ def language(text: str) -> str | None:
     if (c := _cjk(body)) is not None:
         return c
     words = _LATIN_WORD.findall(body)
-    if len(words) < LEAST_WORDS or sum(len(w) > 1 for w in words) < LEAST_WORDS - 1:
+    if sum(len(w) > 1 for w in words) < LEAST_WORDS:
         return None
     v = votes(body)
     best = max(v, key=lambda k: v[k])

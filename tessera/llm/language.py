@@ -29,7 +29,9 @@ LANGS = ("ja", "en", "zh", "ko", "fr", "de", "es")
 SAMPLE_DOCS = 4000
 DOC_SENTENCES = 20
 SAMPLE_SENTENCES = 25_000
+#: Features: the first few stand for the scripts, the others for hashed n-grams.
 BUCKETS = 1 << 18
+SCRIPTS = 4
 ORDERS = (1, 2, 3)
 #: Below this confidence a sentence takes the language of its neighbours.
 SURE = 0.5
@@ -54,6 +56,7 @@ _NOISE = re.compile(
 )
 _SPLIT = re.compile(r"\n+|(?<=[。！？!?])|(?<=\.)(?=\s|[^\x00-\x7f])")
 _LOWER = re.compile(r"(?<![^\W_])[a-zß-öø-ÿœ][a-zß-öø-ÿœ'’]+")
+_NUMBER = re.compile(r"[0-9０-９.,:/%]*[0-9０-９]+")
 _HIRA, _HAN, _HANGUL, _LATIN = (re.compile(x) for x in ("[ぁ-ゖ]", "[一-鿿㐀-䶿々]", "[가-힣]", "[A-Za-zÀ-ÖØ-öø-ÿœŒ]"))
 _FOLD = re.compile("[̀-ͯͰ-ӿᄀ-ᇿ -‏ - ⁠-⁯⺀-⿟゙゚豈-﫿︀-️﻿＀-￯\U000e0100-\U000e01ef\xa0\xad]")
 
@@ -76,23 +79,13 @@ def sentences(text: str, table: dict[int, str]) -> list[str]:
 
 
 def _script(s: str) -> int:
-    """Which languages the script of a sentence leaves open, as an index into MASKS."""
-    if _HANGUL.search(s):
-        hangul = len(_HANGUL.findall(s))
-        if hangul > len(_LATIN.findall(s)) / 2:
-            return 1
-    hira = len(_HIRA.findall(s))
-    han = len(_HAN.findall(s))
-    latin = len(_LATIN.findall(s))
+    """Which script a sentence is mainly written in: hiragana beside Han, Hangul, Han alone, Latin letters."""
+    hangul, hira, han, latin = (len(x.findall(s)) for x in (_HANGUL, _HIRA, _HAN, _LATIN))
+    if hangul > latin / 2:
+        return 1
     if hira > 0 and hira + han > latin / 3:
         return 0
-    if han > latin / 3:
-        return 2
-    return 3
-
-
-#: ja by hiragana, ko by Hangul, Han without hiragana, Latin letters.
-MASKS = np.array([[1, 0, 0, 0, 0, 0, 0], [0, 0, 0, 1, 0, 0, 0], [1, 0, 1, 0, 0, 0, 0], [0, 1, 0, 0, 1, 1, 1]], bool)
+    return 2 if han > latin / 3 else 3
 
 
 @dataclass
@@ -101,16 +94,18 @@ class Model:
     bias: np.ndarray
     idf: np.ndarray
     temperature: float
+    noise: float = 0.0  # share of the held-out labels that were drawn at random
+    last: int = -(2**63)  # greatest document hash of the training sample
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of all texts and each one's text; those that cross a text's end are left out."""
-    joined = "\x02" + "\x02".join(f" {t.strip().lower()} " for t in texts)
+    """Hashed n-grams of all texts, and a feature of each one's script, with each one's text; n-grams that cross a
+    text's end are left out."""
+    joined = "\x02" + "\x02".join(f" {_NUMBER.sub('0', t.strip().lower())} " for t in texts)
     c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.cumsum(c == 2, dtype=np.int32) - 1
     c = c.astype(np.uint64)
-    c[(c >= 48) & (c <= 57)] = 48
-    grams, owners = [], []
+    grams, owners = [np.array([_script(t) for t in texts], np.int64)], [np.arange(len(texts), dtype=np.int32)]
     h = np.zeros(len(c), np.uint64)
     inside = np.ones(len(c), bool)
     for n in range(1, max(ORDERS) + 1):
@@ -120,7 +115,7 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h = (h[:m] + c[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
         inside = inside[:m] & (c[n - 1 :] != 2)
         if n in ORDERS:
-            grams.append(((h[inside] ^ (h[inside] >> np.uint64(29))) >> np.uint64(20)).astype(np.int64) % BUCKETS)
+            grams.append(((h[inside] ^ (h[inside] >> np.uint64(29))) >> np.uint64(20)).astype(np.int64) % (BUCKETS - SCRIPTS) + SCRIPTS)
             owners.append(owner[:m][inside])
     g, o = np.concatenate(grams), np.concatenate(owners)
     order = np.argsort(o, kind="stable")
@@ -139,7 +134,7 @@ def _logits(texts: list[str], model: Model) -> np.ndarray:
 
 
 def probabilities(texts: list[str], model: Model) -> np.ndarray:
-    """Calibrated probabilities of the languages that the script of each text leaves open."""
+    """Calibrated probabilities of the languages of each text."""
     out = []
     start, size = 0, 0
     for i, t in enumerate(texts):
@@ -147,7 +142,6 @@ def probabilities(texts: list[str], model: Model) -> np.ndarray:
         if size > 200_000 or i == len(texts) - 1:
             part = texts[start : i + 1]
             z = _logits(part, model) / model.temperature
-            z[~MASKS[[_script(x) for x in part]]] = -1e9
             z -= z.max(1, keepdims=True)
             e = np.exp(z)
             out.append(e / e.sum(1, keepdims=True))
@@ -197,7 +191,7 @@ def fit(texts: list[str], labels: list[int], groups: list[int], epochs: int = 3)
     groups (documents); a sentence whose label the model of the other half contradicts is left out of the last fit."""
     y, half = np.array(labels), np.array(groups) % 2
     g, o = _grams(texts)
-    seen = np.unique(np.stack([g, o]), axis=1)[0]
+    seen = np.unique(o.astype(np.int64) * BUCKETS + g) % BUCKETS
     df = np.bincount(seen, minlength=BUCKETS)
     idf = np.where(df > 0, np.log((1 + len(texts)) / (1 + df)) + 1, 0).astype(np.float32)
 
@@ -212,23 +206,24 @@ def fit(texts: list[str], labels: list[int], groups: list[int], epochs: int = 3)
             judged = np.flatnonzero(half == k)
             p = probabilities([texts[i] for i in judged], fitted((half != k) | (np.array(groups) < 0)))
             good[judged] = (p[np.arange(len(judged)), y[judged]] > 0.3) | (np.array(groups)[judged] < 0)
-    held = good & (np.random.default_rng(3).random(len(y)) < 0.1) & (np.array(groups) >= 0)
+    held = (np.random.default_rng(3).random(len(y)) < 0.1) & (np.array(groups) >= 0)
     model = fitted(good & ~held)
     if held.any():
-        z = _logits([t for t, h in zip(texts, held, strict=True) if h], model)
-        best = (np.inf, 1.0)
-        for t in np.geomspace(0.3, 5, 40):
-            q = z / t
-            q = q - q.max(1, keepdims=True)
-            nll = -(q[np.arange(len(q)), y[held]] - np.log(np.exp(q).sum(1))).mean()
-            best = min(best, (float(nll), float(t)))
-        model.temperature = best[1]
+        model.temperature, model.noise = _calibrate(_logits([t for t, h in zip(texts, held, strict=True) if h], model), y[held])
     return model
 
 
-def _fits(s: str, lang: str) -> bool:
-    m = _script(s)
-    return MASKS[m][LANGS.index(lang)] and not (m == 2 and lang == "ja")
+def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The temperature of greatest likelihood on held-out rows, all of them. Their labels are noisy, so the share of
+    labels drawn at random is estimated along with it; otherwise wrong labels would pass for unsure predictions."""
+    best = (np.inf, 1.0, 0.0)
+    for t in np.geomspace(0.05, 5, 60):
+        q = np.exp(z / t - (z / t).max(1, keepdims=True))
+        p = (q / q.sum(1, keepdims=True))[np.arange(len(y)), y]
+        for noise in (0.0, *np.geomspace(0.002, 0.5, 24)):
+            nll = -np.log((1 - noise) * p + noise / z.shape[1] + 1e-12).mean()
+            best = min(best, (float(nll), float(t), float(noise)))
+    return best[1], best[2]
 
 
 def plain_table(spark: SparkSession) -> dict[int, str]:
@@ -243,20 +238,25 @@ def train(documents: DataFrame) -> Model:
     # a cut of the hashes that leaves about the sample, so that what reaches the driver doesn't grow with the corpus
     share = min(1.0, 1.3 * SAMPLE_DOCS / max(1, labelled.count()))
     cut = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
-    rows = labelled.where(F.col("h") <= F.lit(cut)).orderBy("h").limit(SAMPLE_DOCS).select("lang", "text").collect()
+    rows = labelled.where(F.col("h") <= F.lit(cut)).orderBy("h").limit(SAMPLE_DOCS).select("lang", "text", "h").collect()
     texts, labels, groups = [], [], []
     seen = set()
     rng = np.random.default_rng(5)
     for n, r in enumerate(rows):
-        own = [s for s in sentences(r["text"], table) if s not in seen and _fits(s, r["lang"])]
+        own = [s for s in sentences(r["text"], table) if s not in seen]
         for s in [own[i] for i in rng.permutation(len(own))[:DOC_SENTENCES]]:
             seen.add(s)
             texts.append(s)
             labels.append(LANGS.index(r["lang"]))
             groups.append(n)
-    pick = rng.permutation(len(texts))[:SAMPLE_SENTENCES]
+    # an equal bound for every language, so that a common one doesn't draw the others' sentences to itself
+    pick = rng.permutation(len(texts))
+    of = np.array(labels, int)[pick]
+    pick = np.concatenate([pick[of == k][: SAMPLE_SENTENCES // len(LANGS)] for k in range(len(LANGS))]) if len(pick) else pick
     own = [(texts[i], labels[i], groups[i]) for i in pick] + [(s, LANGS.index(lang), -1) for s, lang in SEEDS]
-    return fit([x[0] for x in own], [x[1] for x in own], [x[2] for x in own])
+    model = fit([x[0] for x in own], [x[1] for x in own], [x[2] for x in own])
+    model.last = max((r["h"] for r in rows), default=model.last)
+    return model
 
 
 #: One plain sentence of each language, so that every class is known even to a model of an empty table.
@@ -291,7 +291,7 @@ def runs(texts: list[str | None], model: Model, table: dict[int, str]) -> list[l
 
 
 def segment(records: DataFrame, model: Model, mislabelled: bool = False) -> DataFrame:
-    """``(record_kind, record_key, text, label)`` with normal labels -> one row per run: seg, lang, confidence.
+    """``(record_kind, record_key, text, label)`` with normal labels -> one row per run: label, seg, lang, confidence.
     ``mislabelled`` keeps only records whose label doesn't name exactly the language of their only run."""
     spark = records.sparkSession
     sent = spark.sparkContext.broadcast((model, plain_table(spark)))
@@ -304,16 +304,28 @@ def segment(records: DataFrame, model: Model, mislabelled: bool = False) -> Data
                 rows = []
                 for kind, key, label, found in zip(part["record_kind"], part["record_key"], part["label"], runs(part["text"].tolist(), m, table), strict=True):
                     if not mislabelled or (found and not (len(found) == 1 and found[0][0] == label)):
-                        rows += [(kind, key, i, lang, c) for i, (lang, c) in enumerate(found)]
-                yield pd.DataFrame(rows, columns=["record_kind", "record_key", "seg", "lang", "confidence"])
+                        rows += [(kind, key, label, i, lang, c) for i, (lang, c) in enumerate(found)]
+                yield pd.DataFrame(rows, columns=["record_kind", "record_key", "label", "seg", "lang", "confidence"])
 
-    return records.select("record_kind", "record_key", "text", "label").mapInPandas(step, "record_kind string, record_key string, seg int, lang string, confidence double")
+    return records.select("record_kind", "record_key", "text", "label").mapInPandas(step, "record_kind string, record_key string, label string, seg int, lang string, confidence double")
 
 
-def records(documents: DataFrame, items: DataFrame, settings: DataFrame) -> DataFrame:
-    """Documents and long_text items as records; an item's label is its game's source language."""
+def records(documents: DataFrame, items: DataFrame | None, settings: DataFrame | None) -> DataFrame:
+    """Documents and long_text items (if any) as records; an item's label is its game's source language."""
     docs = spread(documents.where("doc_id is not null").select("doc_id", "text", "lang")).select(F.lit("document").alias("record_kind"), F.col("doc_id").cast("string").alias("record_key"), "text", label_language(F.col("lang")).alias("label"))
+    if items is None:
+        return docs
     games = settings.groupBy("game_id").agg(F.first(label_language(F.col("source_language")), ignorenulls=True).alias("label"))
     texts = spread(items.where("item_type = 'long_text' and fact_id is not null").select("game_id", F.col("fact_id").alias("record_key"), F.array_join("original_lines", "\n").alias("text")))
     lines = texts.join(games, "game_id", "left").select(F.lit("item").alias("record_kind"), "record_key", "text", "label")
     return docs.unionByName(lines)
+
+
+def confidence_error(documents: DataFrame, model: Model) -> DataFrame:
+    """How far the confidence can be believed: labelled documents outside the training sample, each with one run, by
+    twentieths of their confidence: their number, mean confidence, and the share whose label names the run's language
+    (which wrong labels keep below the confidence). No rows where the sample took all documents."""
+    held = documents.where(F.xxhash64("doc_id") > F.lit(model.last))
+    one = segment(records(held, None, None), model).groupBy("record_key", "label").agg(F.count("*").alias("runs"), F.first("lang").alias("lang"), F.first("confidence").alias("confidence"))
+    step = F.least(F.floor(F.col("confidence") * 20), F.lit(19)).cast("int")
+    return one.where("runs = 1 and label is not null").groupBy(step.alias("twentieth")).agg(F.count("*").alias("documents"), F.avg("confidence").alias("confidence"), F.avg((F.col("label") == F.col("lang")).cast("int")).alias("agreed"))

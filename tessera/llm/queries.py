@@ -20,6 +20,17 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.dropDuplicates(["record_kind", "record_key", "seg"]).select("record_kind", "record_key", "seg", "lang")
 
 
+def p1_runs(spark: SparkSession, sf: str) -> DataFrame:
+    documents = _t(spark, sf, "documents")
+    records = language.records(documents, _t(spark, sf, "translation_items"), _t(spark, sf, "language_settings"))
+    return language.segment(records, language.train(documents)).dropDuplicates(["record_kind", "record_key", "seg"])
+
+
+def p1_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    documents = _t(spark, sf, "documents")
+    return language.confidence_error(documents, language.train(documents))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.assemble_backlog(spark, f"{sf}/translation_items.parquet")
 
@@ -28,6 +39,10 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.first_defect(pairs.defects(_t(spark, sf, "translation_items")))
 
 
+def p3_defects(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.defects(_t(spark, sf, "translation_items")).select("fact_id", F.posexplode("defects").alias("rank", "defect"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return forms.same_looking_pairs(_t(spark, sf, "translation_items"), ["original_lines", "translation_lines"])
 

@@ -232,6 +232,31 @@ def test_language_accuracy_and_calibration(model):
     assert np.allclose(p.sum(1), 1) and 0 < model.temperature <= 5 and (model.weights == 0).mean() > 0.5
 
 
+def test_temperature_is_fitted_despite_wrong_labels():
+    rng = np.random.default_rng(8)
+    z = rng.normal(size=(20_000, 7)) * 2
+    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    y = np.array([rng.choice(7, p=x) for x in p])
+    wrong = rng.random(len(y)) < 0.15
+    y[wrong] = rng.integers(0, 7, wrong.sum())
+    t, noise = language._calibrate(3 * z, y)  # logits three times too sure
+    assert abs(t - 3) < 0.4 and abs(noise - 0.15) < 0.07
+
+
+def test_japanese_in_han_alone_and_korean_are_decided_by_the_model():
+    texts = ["第一章開始", "第二章終了", "第三章準備"] * 300 + ["第一章开始", "第二章结束", "第三章准备"] * 300 + ["비가 그치면", "문은 열린다고"] * 300
+    labels = [0] * 900 + [2] * 900 + [3] * 600
+    m = language.fit(texts, labels, [i // 6 for i in range(2400)], epochs=3)
+    assert [language.LANGS[i] for i in language.probabilities(["第一章開始", "第二章结束", "문은 그치면"], m).argmax(1)] == ["ja", "zh", "ko"]
+
+
+def test_confidence_error(model, spark):
+    rows = [(i, SAMPLES["ja" if i % 2 else "en"][i % 3], "ja" if i % 2 or i < 10 else "en") for i in range(100)] + [(200, None, "ja"), (201, SAMPLES["ja"][0], None), (202, SAMPLES["ja"][0] + SAMPLES["ko"][0], "ja")]
+    got = language.confidence_error(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()
+    assert sum(r.documents for r in got) == 100 and round(sum(r.agreed * r.documents for r in got)) == 95
+    assert all(r.twentieth / 20 <= r.confidence <= (r.twentieth + 1) / 20 + 1e-6 for r in got)
+
+
 def test_language_runs(model, spark):
     t = language.plain_table(spark)
     text = "ネハ: 雨がやんだら、北の塔へ向かおう。 (3/7)\\C[1]この扉は鍵でしか開かないんだ。\nThis door only opens with a key. 0x7F data/Map001.json HP 12\nネハ\nThere was nothing here long ago."
@@ -274,6 +299,10 @@ def test_code_is_no_language(code):
     assert codetext.language(code) is None
 
 
+def test_two_words_are_a_phrase():
+    assert codetext.language("the sword") == "en" and codetext.language("the") is None and codetext.language("a,b,c,7") is None
+
+
 def test_votes_need_word_boundaries():
     assert sum(codetext.votes("otherness_of thesis").values()) == 0
     assert codetext.votes("The house and the garden")["en"] > 2
