@@ -205,13 +205,16 @@ def visible(text: Column) -> Column:
     return F.regexp_replace(text, CONTROL, "").rlike(r"[^\s\p{Z}\p{C}]")
 
 
-def same_looking_pairs(items: DataFrame, fields: list[str], key: str = "fact_id") -> DataFrame:
-    """Pairs ``(field, fact_a, fact_b)`` of rows whose joined lines look the same but are not the same characters.
+#: Parts that the rows of one text are joined in, so that a text which a third of all rows hold is no task of its own.
+SALTS = 16
+
 
-    Every distinct text is brought to its form once; classes with one spelling end there. Spellings of a class are
-    paired with each other (never the rows within one spelling), and rows join those pairs by the text's hash, so a
-    sentence stored a million times in one spelling costs one row until its partners are known. Rows stored twice
-    count once; null lines are dropped, a null or invisible text has no pair.
+def look_alikes(items: DataFrame, fields: list[str], key: str = "fact_id") -> DataFrame:
+    """Rows ``(field, fact, h, form)`` whose joined lines belong to a class of several spellings: ``form`` tells classes
+    apart, ``h`` spellings.
+
+    Every distinct text is brought to its form once, and classes with one spelling end there. Rows stored twice count
+    once; null lines are dropped, a null or invisible text has no class.
     """
     long = None
     for f in fields:
@@ -222,9 +225,33 @@ def same_looking_pairs(items: DataFrame, fields: list[str], key: str = "fact_id"
     forms = canonical_texts(texts, ["h"]).where(visible(F.col("form"))).select("h", F.unhex(F.md5("form")).alias("form"))
     spelled = stored(items.sparkSession, forms, "forms")
     several = spelled.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
-    classes = spelled.join(several, "form", "left_semi")
-    pairs = classes.alias("a").join(classes.alias("b"), F.col("a.form") == F.col("b.form")).where("a.h <> b.h").select(F.col("a.h").alias("h"), F.col("b.h").alias("other"))
-    rows = long.select("field", "fact", "h").join(classes.select("h"), "h", "left_semi").distinct()
-    left = rows.join(pairs, "h").select("field", F.col("fact").alias("fact_a"), F.col("other").alias("h"))
-    right = rows.select(F.col("field").alias("f2"), F.col("fact").alias("fact_b"), "h")
-    return left.join(right, "h").where("field = f2 and fact_a < fact_b").select("field", "fact_a", "fact_b")
+    spellings = spelled.join(several, "form", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = long.select("field", "fact", "h", F.pmod(F.xxhash64("fact"), F.lit(SALTS)).cast("int").alias("salt"))
+    return rows.join(spellings, ["h", "salt"]).groupBy("field", "fact", "h").agg(F.first("form").alias("form"))
+
+
+def same_looking_classes(items: DataFrame, fields: list[str], key: str = "fact_id") -> DataFrame:
+    """One row per field and row of a class of several spellings in that field: class and spelling (hashes), and
+    ``links``, the rows of the class that are spelled otherwise. No pair is made."""
+    rows = stored(items.sparkSession, look_alikes(items, fields, key), "alike")
+    spelling = rows.groupBy("field", "form", "h").agg(F.count("*").alias("own"))
+    whole = spelling.groupBy("field", "form").agg(F.sum("own").alias("all"), F.count("*").alias("spellings")).where("spellings > 1")
+    counts = spelling.join(whole, ["field", "form"]).select("field", "form", "h", (F.col("all") - F.col("own")).alias("links"))
+    salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = rows.withColumn("salt", F.pmod(F.xxhash64("fact"), F.lit(SALTS)).cast("int")).join(salted, ["field", "form", "h", "salt"])
+    return placed.select("field", F.col("fact").alias(key), F.hex("form").alias("class"), F.hex("h").alias("spelling"), "links")
+
+
+def same_looking_pairs(items: DataFrame, fields: list[str], key: str = "fact_id") -> DataFrame:
+    """Pairs ``(field, fact_a, fact_b)`` of rows whose joined lines look the same but are not the same characters.
+
+    A view on ``look_alikes``: spellings of a class are paired with each other, never the rows within one spelling,
+    and rows meet along those pairs of spellings.
+    """
+    rows = stored(items.sparkSession, look_alikes(items, fields, key), "alike")
+    spelled = rows.groupBy("field", "form", "h").agg(F.count("*").alias("n"))
+    other = spelled.select("field", "form", F.col("h").alias("other"))
+    pairs = spelled.join(other, ["field", "form"]).where("h <> other").select("field", "h", "other")
+    left = rows.join(pairs, ["field", "h"]).select("field", F.col("fact").alias("fact_a"), F.col("other").alias("h"))
+    right = rows.select("field", F.col("fact").alias("fact_b"), "h")
+    return left.join(right, ["field", "h"]).where("fact_a < fact_b").select("field", "fact_a", "fact_b")

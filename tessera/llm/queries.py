@@ -47,6 +47,10 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return forms.same_looking_pairs(_t(spark, sf, "translation_items"), ["original_lines", "translation_lines"])
 
 
+def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return forms.same_looking_classes(_t(spark, sf, "translation_items"), ["original_lines", "translation_lines"])
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return codetext.natural_spans(_t(spark, sf, "plugin_source_files")).select("file_id", "start_index", "lang")
 

@@ -57,6 +57,13 @@ def test_same_looking_pairs(spark):
     got = sorted((r.field, r.fact_a, r.fact_b) for r in forms.same_looking_pairs(df, ["original_lines", "translation_lines"]).collect())
     assert got == [("original_lines", "a", "b"), ("original_lines", "b", "d")]
     assert forms.same_looking_pairs(df.limit(0), ["original_lines"]).count() == 0
+    rows = forms.same_looking_classes(df, ["original_lines", "translation_lines"]).collect()
+    assert sorted((r.field, r.fact_id, r.links) for r in rows) == [("original_lines", "a", 1), ("original_lines", "b", 2), ("original_lines", "d", 1)]
+    assert len({r["class"] for r in rows}) == 1 and len({r.spelling for r in rows}) == 2
+    # a text that most rows hold, beside one other spelling
+    hot = spark.createDataFrame([_item(f"h{i}", o=["カ ab"], t=None) for i in range(300)] + [_item("x", o=["力 ab"], t=None)], ITEM)
+    assert forms.same_looking_pairs(hot, ["original_lines"]).count() == 300
+    assert {(r.links, r.n) for r in forms.same_looking_classes(hot, ["original_lines"]).groupBy("links").agg(F.count("*").alias("n")).collect()} == {(1, 300), (300, 1)}
 
 
 # -- p2: conversations
