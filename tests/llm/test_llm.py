@@ -467,11 +467,41 @@ def test_subjects_clamps_trusted_seeds(spark):
     got = _about(subjects.subjects(df, spark.createDataFrame(labels, "doc_id long, subject_id int"), areas))
     assert got[1] == {1} and got[2] == {1}
     assert got[29] == {2}
-    found = spark.createDataFrame([(1, 1, 0.2), (1, 2, 0.8), (2, 2, 0.5)], "doc_id long, subject_id int, share double")
-    seeds = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 1)], "doc_id long, subject_id int")
-    before = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, subject_id int")
-    # 0.8 of document 1 is another subject's, document 2 leaves room, document 3 was never borne out
-    assert {tuple(r) for r in subjects._trusted(seeds, found, before).collect()} == {(1, 2), (2, 1)}
+
+
+def test_seeds_are_clamped_while_labels_spread(spark):
+    # a chain 1-2-3-4 of similar documents, and one (5) labelled 2 among neighbours of 1
+    links = spark.createDataFrame([(1, 2, 0.5), (2, 3, 0.5), (3, 4, 0.5), (5, 1, 0.5), (5, 2, 0.5)], "doc_id long, centre long, sim double")
+    seeds = spark.createDataFrame([(1, [1]), (2, [1, 2]), (5, [3]), (9, [1])], "doc_id long, seeds array<int>")
+    about, trusted = subjects.spread_labels(links, seeds, [1, 2, 3])
+    # the seed of 5 is contradicted, that of 9 has no neighbour to bear it out; both subjects of 2 are kept and reach 4
+    assert {r.doc_id: r.seeds for r in trusted.collect()} == {1: [1], 2: [1]}
+    got = {r.doc_id: r.about for r in about.collect()}
+    assert got[1] == [1] and got[4] == [1] and 1 in got[5] and 3 not in got[5] and 9 not in got
+
+
+def test_graph_is_verified_and_bounded(spark):
+    rng = random.Random(9)
+    own = {d: sorted({rng.randrange(g * 100, g * 100 + 30) for _ in range(12)}) for g in range(6) for d in range(g * 60, g * 60 + 60)}
+    own |= {d: [9001, 9002, 9003] for d in range(1000, 1700)}  # a group of the same phrases, larger than a star
+    own |= {5000: [], 5001: [42_000_000]}
+    cut = spark.createDataFrame([(d, b"x", [1] if d % 10 == 0 else [], [{"n": 1, "phrases": [subjects._hash(str(p)) for p in ps]}] if ps else []) for d, ps in own.items()], "doc_id long, same binary, seeds array<int>, sentences array<struct<n:int,phrases:array<long>>>")
+    every = np.ones(subjects.BUCKETS, bool)
+    texts = subjects._described(cut, (every, every)).cache()
+    assert {r.doc_id: sorted(r.core) for r in texts.collect()} == {d: sorted(subjects._hash(str(p)) for p in ps) for d, ps in own.items()}
+    links = subjects.graph(texts).collect()
+    degree, near = {}, {d: {d} for d in own}
+    for r in links:
+        a, b = set(own[r.doc_id]), set(own[r.centre])
+        assert abs(r.sim - len(a & b) / len(a | b)) < 1e-9 and r.sim >= subjects.SIMILAR
+        near[r.doc_id].add(r.centre)
+        near[r.centre].add(r.doc_id)
+        degree[r.centre] = degree.get(r.centre, 0) + 1
+    assert len(links) <= subjects.HASHES * len(own) and max(degree.values()) <= 2 * subjects.STAR * subjects.HASHES
+    # pairs of an exact run that the graph joins within two links
+    pairs_ = [(a, b) for a in range(360) for b in range(a) if len(set(own[a]) & set(own[b])) / len(set(own[a]) | set(own[b])) >= 0.5]
+    assert pairs_ and sum(bool(near[a] & near[b]) for a, b in pairs_) / len(pairs_) > 0.85
+    assert 5000 not in degree and near[5001] == {5001}
 
 
 def test_subjects_counts_copies_once_and_leaves_ties(spark):
@@ -484,10 +514,9 @@ def test_subjects_counts_copies_once_and_leaves_ties(spark):
     got = _about(subjects.subjects(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject_id int"), areas))
     assert all(got[d] == {1, 2} for d in range(100, 140))
     assert got[0] == {1} and got[20] == {2}
-    held = spark.createDataFrame([(1, [7, 8]), (2, [7, 8]), (3, [7, 8]), (4, [8])], "doc_id long, phrases array<long>")
-    about = spark.createDataFrame([(d, s) for d in (1, 2, 3) for s in (1, 2)] + [(4, 2)], "doc_id long, subject_id int")
-    total = spark.createDataFrame([(7, 3), (8, 4)], "phrase long, n long")
-    assert [(r.phrase, r.link & (2**31 - 1)) for r in subjects._links(held, about, total, 0.7).collect()] == [(8, 2)]
+    texts = spark.createDataFrame([(1, [7, 8]), (2, [7, 8]), (3, [7, 8]), (4, [8])], "doc_id long, phrases array<long>")
+    about = spark.createDataFrame([(d, [1, 2]) for d in (1, 2, 3)] + [(4, [2])], "doc_id long, about array<int>")
+    assert [(r.phrase, r.link & (2**31 - 1)) for r in subjects._links(subjects._phrase_counts(texts, about)).collect()] == [(8, 2)]
 
 
 # -- the queries
