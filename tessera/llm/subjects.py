@@ -27,7 +27,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -92,32 +91,38 @@ def _cut(documents: DataFrame, labels: DataFrame) -> DataFrame:
     and hashed phrases, under the least id of its documents; ``same`` tells texts apart."""
     sent = documents.sparkSession.sparkContext.broadcast(plain_table(documents.sparkSession))
 
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[str, int] = {}
+        known: dict[str, list[int]] = {}  # sentences come again and again
         for b in batches:
             for start in range(0, len(b), 500):
-                part = b.iloc[start : start + 500]
-                known: dict[str, list[int]] = {}
-                rows = []
-                for doc, same, seeds, text in zip(part["doc_id"], part["same"], part["seeds"], part["text"], strict=True):
+                part = b.slice(start, 500)
+                sizes, numbers, lengths, held = [0], [], [0], []
+                for text in part.column("text").to_pylist():
                     own: dict[str, int] = {}
                     for s in sentences(text, sent.value) if text else []:
                         k = _DIGITS.sub("0", s.strip())
                         own[k] = own.get(k, 0) + 1
-                    for k in own:
-                        if k not in known:
-                            known[k] = [h if (h := hashes.get(p)) is not None else hashes.setdefault(p, _hash(p)) for p in phrases(k)]
-                    rows.append((doc, same, seeds, [{"n": n, "phrases": known[k]} for k, n in own.items()]))
-                if len(hashes) > 200_000:
+                    for k, n in own.items():
+                        if (found := known.get(k)) is None:
+                            found = known[k] = [h if (h := hashes.get(p)) is not None else hashes.setdefault(p, _hash(p)) for p in phrases(k)]
+                        numbers.append(n)
+                        held += found
+                        lengths.append(len(held))
+                    sizes.append(len(numbers))
+                if len(hashes) > 200_000 or len(known) > 50_000:
                     hashes.clear()
-                yield pd.DataFrame(rows, columns=["doc_id", "same", "seeds", "sentences"])
+                    known.clear()
+                inner = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(held, pa.int64()))
+                said = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), inner], ["n", "phrases"]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("same"), part.column("seeds"), said], names=["doc_id", "same", "seeds", "sentences"])
 
     # copies meet within each task before anything is shuffled; labels find their text by its hash
     whole = documents.where("doc_id is not null and text <> ''")
     texts = whole.groupBy(_same()).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
     given = whole.select("doc_id", _same()).join(labels, "doc_id").groupBy("same").agg(F.array_sort(F.collect_set("subject_id")).alias("seeds"))
     both = texts.join(given, "same", "left").select("doc_id", "same", F.coalesce("seeds", F.array().cast("array<int>")).alias("seeds"), "text")
-    return both.mapInPandas(step, "doc_id long, same binary, seeds array<int>, sentences array<struct<n:int,phrases:array<long>>>")
+    return both.mapInArrow(step, "doc_id long, same binary, seeds array<int>, sentences array<struct<n:int,phrases:array<long>>>")
 
 
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
