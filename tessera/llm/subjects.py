@@ -46,7 +46,7 @@ HASHES, STAR, SIMILAR = 8, 64, 0.2
 #: Share of a document's neighbours that gives it a subject, and that bears a seed out.
 HELD, BORNE = 0.35, 0.2
 #: Share of changed documents at which rounds end, and the most rounds there are.
-CHANGED, ROUNDS = 0.001, 12
+CHANGED, ROUNDS = 0.01, 12
 #: Smoothed share of one subject among a phrase's documents from which the phrase stands for it, and how often the
 #: sentences are counted (the second time with the subjects that the first found).
 LINK_SHARE, COUNTS = 0.7, 2
@@ -249,18 +249,18 @@ def spread_labels(links: DataFrame, seeds: DataFrame, areas: list[int]) -> tuple
         sums = met.groupBy(F.col("dst").alias("doc_id")).agg(F.sum("sim").alias("all"), *[F.sum(F.col("sim") * F.col("weights")[i]).alias(f"s{i}") for i in range(len(areas))])
         return sums.select("doc_id", F.array(*[F.col(f"s{i}") / F.col("all") for i in range(len(areas))]).alias("weights"))
 
-    def over(least: float) -> Column:
-        return F.filter(subject, lambda x, i: F.col("weights")[i] >= least)
+    def over(least: float, weights: str = "weights") -> Column:
+        return F.filter(subject, lambda x, i: F.col(weights)[i] >= least)
 
     first = voted(ones(seeds))
     trusted = stored(spark, seeds.join(first, "doc_id").select("doc_id", F.array_intersect("seeds", over(BORNE)).alias("seeds")).where("size(seeds) > 0"), "trusted")
-    clamped = ones(trusted)
-    state = clamped
+    state = ones(trusted).withColumn("own", F.col("weights"))  # what a clamped document keeps
     for _ in range(ROUNDS):
-        new = stored(spark, voted(state).join(clamped.withColumnRenamed("weights", "own"), "doc_id", "full").select("doc_id", F.coalesce("own", "weights").alias("weights")), "weights")
-        old = state.select("doc_id", over(HELD).alias("old"))
-        changed, n = new.select("doc_id", over(HELD).alias("about")).join(old, "doc_id", "full").select(F.sum((~F.col("about").eqNullSafe(F.col("old"))).cast("long")), F.count("*")).head()
-        state = new
+        new = voted(state.select("doc_id", "weights")).withColumnRenamed("weights", "new").join(state.withColumnRenamed("weights", "old"), "doc_id", "full")
+        new = new.select("doc_id", F.coalesce("own", "new", "old").alias("weights"), "own", "old")
+        state = stored(spark, new.withColumn("changed", F.col("old").isNull() | (over(HELD) != over(HELD, "old"))), "weights")
+        changed, n = state.select(F.sum(F.col("changed").cast("int")), F.count("*")).head()
+        state = state.select("doc_id", "weights", "own")
         if (changed or 0) <= CHANGED * n:
             break
     return state.select("doc_id", over(HELD).alias("about")).where("size(about) > 0"), trusted
