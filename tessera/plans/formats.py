@@ -333,9 +333,10 @@ def x14_line_break_marks(spark, sf):
     return R.items(spark, sf).select("fact_id", X.line_break_marks(F.col("raw_text")).alias("marks"))
 
 
-@query("select fact_id,regexp_replace(raw_text,'【[^】]*】',' ','g') as masked from items")
+@query("select fact_id,regexp_replace(raw_text,'【([^】]*[^】\\s\\p{Z}][^】]*)】',' \\1 ','g') as masked from items")
 def x38_masked_structures(spark, sf):
-    return R.items(spark, sf).select("fact_id", X.mask_structures(F.col("raw_text"), "【[^】]*】").alias("masked"))
+    masked = X.mask_structures(F.col("raw_text"), "【(?P<name>[^】]*)】", "name", ["【", "】"])
+    return R.items(spark, sf).select("fact_id", masked.alias("masked"))
 
 
 @query("select fact_id,case when contains(path,'/note/') then 'note' when starts_with(lower(path),'plugins.js/') then 'nested' when item_type in ('long_text','array') and regexp_matches(path,'/[0-9]+$') then 'commands' else 'field' end as protocol from items")

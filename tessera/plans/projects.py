@@ -91,15 +91,24 @@ def x31_wrapped_lines(spark, sf):
     return layout.wrapped_rows(R.items(spark, sf), "fact_id", "answer", 26).select(F.col("key").alias("fact_id"), F.array_join("lines", "\n").alias("text"))
 
 
-@query(r"select fact_id,len(regexp_extract_all(regexp_replace(regexp_replace(answer," + _q(X.CONTROLS) + r",'','g'),'\\[A-Za-z]+(?:\[[^\]\r\n]{0,64}\]|<[^<>]*>)','','g'),'(\\.?)'))::bigint as stray from items")
+@query(f"select fact_id,len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(answer,{_q(X.CONTROLS)},' ','g'),{_q(X.RAW_CONTROL)},' ','g'),{_q(X.RAW_BARE)},' ','g'),'(?s)\\\\.?'))::bigint as stray from items")
 def x34_stray_escapes(spark, sf):
     return R.items(spark, sf).select("fact_id", F.size(X.stray_escapes(F.col("answer"))).cast("long").alias("stray"))
 
 
-@query(r"select file_id,start_index,case when text like '%eval(%' then 'eval' when regexp_matches(text,'^\^.*\$$') then 'regex' when regexp_matches(text," + _q(X.JA_REQUIRED) + ") or regexp_matches(text,'[A-Za-z]{2,} [A-Za-z]{2,}') then 'visible' else 'unknown' end as class from (select distinct file_id,start_index,text from plugin_source_candidates where text is not null)")
+_SHOWN = " or ".join(f"ends_with(call,{_q(x)})" for x in X.STRONG_CALLS)
+_REGEX = " or ".join(f"contains(raw,{_q(x)})" for x in X.REGEX_CLASSES + X.REGEX_GROUPS)
+
+
+@query(f"""select file_id,start_index,class,case when class='user_visible_candidate' then 'blocking' else 'warning' end as severity from (select file_id,start_index,case when call='eval' or ends_with(call,'.eval') then 'eval_code'
+ when contains(flat,'function(p,a,c,k,e') or contains(flat,'function(p,h,e') or (contains(flat,'eval(function(') and contains(flat,'.split(''|'')')) then 'packer_code'
+ when {_REGEX} or (contains(raw,'[') and contains(raw,']') and regexp_matches(raw,'[*+?{{]')) then 'regex_pattern' when key in ({",".join(map(_q, X.STRONG_KEYS))}) or {_SHOWN} then 'user_visible_candidate' else 'unknown' end as class
+ from (select distinct file_id,start_index,raw_text as raw,lower(regexp_replace(raw_text,'\\s','','g')) as flat,coalesce(json_extract_string(ast_context,'$.call_name'),'') as call,coalesce(json_extract_string(ast_context,'$.property_key'),'') as key from plugin_source_candidates where raw_text is not null))""")
 def x45_literal_class(spark, sf):
-    c = _cands(spark, sf).where("text is not null").select("file_id", "start_index", "text").distinct()
-    return c.select("file_id", "start_index", X.literal_class(F.col("text"), F.lit("")).alias("class"))
+    at = lambda k: F.coalesce(F.get_json_object("ast_context", f"$.{k}"), F.lit(""))
+    c = _cands(spark, sf).where("raw_text is not null").select("file_id", "start_index", "raw_text", at("call_name").alias("call"), at("property_key").alias("key")).distinct()
+    kind = c.select("file_id", "start_index", X.literal_class(F.col("raw_text"), F.col("call"), F.col("key")).alias("class"))
+    return kind.withColumn("severity", F.when(F.col("class") == "user_visible_candidate", "blocking").otherwise("warning"))
 
 
 @query(r"select distinct file_id,start_index,regexp_replace(text,'(^|[^A-Za-z0-9_.\-])fonts/main-15\.woff($|[^A-Za-z0-9_\-])','\1fonts/new.woff\2','g') as text from plugin_source_candidates where contains(text,'fonts/')")

@@ -54,7 +54,7 @@ def _unwrapped(x: str) -> str:
 
 def _noise(x: str) -> str:
     s = f"trim(regexp_replace({x},{_q(X.CONTROLS)},'','g'),' ')"
-    parts = [f"{s}=''", f"lower({s}) in ({','.join(map(_q, X.KEYWORDS))})", f"regexp_matches({s},{_q(X.NUMBER)})"]
+    parts = [f"{s}=''", f"lower({s}) in ({','.join(map(_q, X.KEYWORDS))})", f"regexp_matches({s},{_q(X.NUMBER_LIKE)})"]
     parts += [f"regexp_matches({'lower(' + s + ')' if n.startswith('asset') else s},{_q(p)})" for n, p in X.PROTOCOL_NOISE.items()]
     parts.append(f"(regexp_matches({s},{_q(X.OPERATOR)}) and len(regexp_extract_all({s},'[A-Za-z]{{2,}}'))<2)")
     parts.append(f"((contains({s},'/') or contains({s},'\\')) and regexp_matches({s},{_q(X.PATH_ONLY)}))")
@@ -146,7 +146,24 @@ def x09_unwrapped(spark, sf):
     return R.items(spark, sf).select("fact_id", X.unwrap(F.col("raw_text"), X.PAIRS).alias("bare"))
 
 
-@query(f"select fact_id,unnest(regexp_extract_all(raw_text,{_q(X.CONTROLS)})) as original from items")
+#: Control sequences and spelled-out escapes for the SQL side, longest form first.
+SPANS = r"(?i:\\(?:V|N|P|C|I|PX|PY|FS)\[[0-9]+\])|\\[{}\\$.|!><^]|%[0-9]+|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\[0-7]{1,3}|\\[\"'/?abfnrtvGg]"
+
+
+def _masked(x: str) -> str:
+    """The text with placeholders as SQL: one replacement a control sequence; a backslash pair comes first."""
+    x = f"replace({x},'\\\\','[RMMZ_BACKSLASH]')"
+    for code, name in controls.INDEXED.items():
+        x = f"regexp_replace({x},'(?i)\\\\{code}\\[([0-9]+)\\]','[RMMZ_{name}_\\1]','g')"
+    for sign, name in controls.SYMBOLS.items():
+        x = x if sign == "\\" else f"replace({x},'\\{sign}','[RMMZ_{name}]')"
+    for sign, name in controls.LITERALS.items():
+        x = f"replace({x},'\\{sign if sign != chr(39) else chr(39) * 2}','[RMMZ_LITERAL_{name}]')"
+    x = f"regexp_replace({x},'\\\\[Gg]','[RMMZ_CURRENCY_UNIT]','g')"
+    return f"regexp_replace({x},'%([0-9]+)','[RMMZ_MESSAGE_ARGUMENT_\\1]','g')"
+
+
+@query(f"select fact_id,unnest(regexp_extract_all(raw_text,{_q(SPANS)})) as original from items")
 def x10_control_spans(spark, sf):
     return controls.spans_of(R.items(spark, sf)).select(F.col("key").alias("fact_id"), "original")
 
@@ -156,9 +173,9 @@ def x15_without_controls(spark, sf):
     return R.items(spark, sf).select("fact_id", X.without_controls(F.col("raw_text")).alias("bare"))
 
 
-@query("select fact_id,raw_text as restored from items")
+@query(f"select fact_id,{_masked('raw_text')} as masked,raw_text as restored from items")
 def x16_mask_and_restore(spark, sf):
-    return controls.masked_rows(R.items(spark, sf)).select(F.col("key").alias("fact_id"), "restored")
+    return controls.masked_rows(R.items(spark, sf)).select(F.col("key").alias("fact_id"), "masked", "restored")
 
 
 @query(None)
@@ -215,19 +232,50 @@ def x29_display_lines(spark, sf):
     return R.items(spark, sf).select("fact_id", F.explode(F.split(F.replace("answer", F.lit("\\n"), F.lit("\n")), "\n")).alias("line"))
 
 
-@query(f"""select fact_id,n as line_no,w as width from (select fact_id,generate_subscripts(translation_lines,1)-1 as n,unnest(translation_lines) as line,coalesce(list_max(list_transform(original_lines,lambda x: len(regexp_extract_all(regexp_replace(coalesce(x,''),{_q(X.CONTROLS)},'','g'),{_q(X.WIDE)})))),0) as longest from items),
- lateral (select len(regexp_extract_all(regexp_replace(coalesce(line,''),{_q(X.CONTROLS)},'','g'),{_q(X.WIDE)}))::bigint as w) where line is not null and w>greatest(26,longest)""")
+def _width(x: str) -> str:
+    return f"len(regexp_extract_all(regexp_replace(regexp_replace({x},{_q(X.CONTROLS)},'','g'),{_q(X.PLACEHOLDER)},'','g'),{_q(X.WIDE)}))::bigint"
+
+
+_SHOWN = "string_split(replace({0},'\\n',chr(10)),chr(10))"
+
+
+@query(f"""select fact_id,i-1 as line_no,{_width('line')} as width,allowed from (select fact_id,unnest(shown) as line,generate_subscripts(shown,1) as i,allowed from (
+ select fact_id,case when item_type='long_text' then list_transform(translation_lines,lambda x: coalesce(x,'')) else {_SHOWN.format("coalesce(translation_lines[1],'')")} end as shown,
+ case when item_type='short_text' and len(original_lines)>0 then greatest(26,list_max(list_transform({_SHOWN.format("coalesce(original_lines[1],'')")},lambda x: {_width('x')}))) else 26 end as allowed
+ from items where item_type='long_text' or (item_type='short_text' and len(translation_lines)>0 and (regexp_matches(array_to_string(original_lines,chr(10)),'\\n|\\\\n') or regexp_matches(coalesce(translation_lines[1],''),'\\n|\\\\n')))
+ )) where {_width('line')}>allowed""")
 def x30_over_wide_lines(spark, sf):
-    longest = F.coalesce(F.array_max(F.transform("original_lines", lambda x: X.width(F.coalesce(x, F.lit(""))))), F.lit(0))
-    lines = R.items(spark, sf).select("fact_id", longest.alias("longest"), F.posexplode("translation_lines").alias("line_no", "line")).where("line is not null")
-    return lines.withColumn("width", X.width(F.col("line"))).where(F.col("width") > F.greatest(F.lit(26), F.col("longest"))).select("fact_id", F.col("line_no").cast("long").alias("line_no"), "width")
+    wide = X.over_wide(F.col("original_lines"), F.col("translation_lines"), F.col("item_type"), 26)
+    return R.items(spark, sf).select("fact_id", F.explode(wide).alias("x")).select("fact_id", "x.*")
 
 
-@query("""select fact_id,case when len(list_filter(translation_lines,lambda x: regexp_matches(trim(x,' '),'^(译文|翻译)[：:]')))>0 then 'explaining_prefix' end as prefix,
- (item_type='short_text' and len(translation_lines)<>1) as line_count from items where translation_lines is not null""")
+def _strip(x: str) -> str:
+    return f"regexp_replace({x},'^[\\s\\p{{Z}}\\x{{85}}]+|[\\s\\p{{Z}}\\x{{85}}]+$','','g')"
+
+
+def _empty(x: str) -> str:
+    return f"len(list_filter({x},lambda l: {_strip('l')}=''))"
+
+
+_STRAY = f"list_filter(list_transform(a,lambda l: regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(l,{_q(X.CONTROLS)},' ','g'),{_q(X.RAW_CONTROL)},' ','g'),{_q(X.RAW_BARE)},' ','g'),'(?s)\\\\.?')),lambda l: len(l)>0)"
+_COUNT = "(length({0})-length(replace({0},{1},'')))"
+
+
+@query(f"""select fact_id,array_to_string(list_filter([
+ case when location_path<>'' and contains(t,location_path) then 'location_leak' end, f,
+ case when item_type='long_text' and {_empty('a')}>{_empty('o')} then 'unexpected_empty_line' end,
+ case when item_type='long_text' and len(list_filter(a,lambda l: regexp_matches(regexp_replace(l,'^[\\s\\p{{Z}}\\x{{85}}]+',''),{_q(X.BROKEN_N)})))>0 then 'broken_n_prefix' end,
+ case when item_type='long_text' and len(list_filter(flatten(s),lambda l: length(l)>1))>0 then 'stray_escape' end,
+ case when item_type='long_text' and len(list_filter(flatten(s),lambda l: length(l)=1))>0 then 'trailing_backslash' end,
+ case when item_type='short_text' and len(a)<>1 then 'line_count' end,
+ case when item_type='short_text' and len(a)=1 and {_COUNT.format("array_to_string(o,chr(10))", "chr(10)")}<>{_COUNT.format("t", "chr(10)")} then 'real_line_breaks' end,
+ case when item_type='short_text' and len(a)=1 and {_COUNT.format("array_to_string(o,chr(10))", "chr(92)||'n'")}<>{_COUNT.format("t", "chr(92)||'n'")} then 'literal_line_breaks' end
+ ],lambda l: l is not null),'|') as codes from (select *,array_to_string(a,chr(10)) as t,{_STRAY} as s,list_filter(list_transform(a,lambda l: case when regexp_matches({_strip('l')},{_q(X.EXPLAINING)}) then 'explaining_prefix' when contains(l,{_q(X.EXPLAINED)}) then 'explaining_text' when regexp_matches({_strip('l')},{_q(X.PROTOCOL_KEY)}) then 'protocol_key' end),lambda l: l is not null)[1] as f
+ from (select fact_id,item_type,location_path,list_filter(translation_lines,lambda l: l is not null) as a,list_filter(coalesce(original_lines,[]),lambda l: l is not null) as o from items where translation_lines is not null))""")
 def x33_structure_errors(spark, sf):
-    e = R.items(spark, sf).where("translation_lines is not null").withColumn("e", X.structure_errors(F.col("original_lines"), F.filter("translation_lines", lambda x: x.isNotNull()), F.col("item_type")))
-    return e.select("fact_id", F.when(F.array_contains("e", "explaining_prefix"), "explaining_prefix").alias("prefix"), ((F.col("item_type") == "short_text") & (F.size("translation_lines") != 1)).alias("line_count"))
+    lines = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull())
+    e = X.structure_errors(lines(F.col("original_lines")), lines(F.col("translation_lines")), F.col("item_type"), F.col("location_path"))
+    return R.items(spark, sf).where("translation_lines is not null").select("fact_id", F.array_join(e, "|").alias("codes"))
 
 
 @query(None)
@@ -247,10 +295,14 @@ def x39_language_class(spark, sf):
     return R.items(spark, sf).select("fact_id", X.language_class(F.col("raw_text")).alias("class"))
 
 
-@query(f"select class,count(*) as n,sum(case when class in ('ja','mixed') then 1 else 0 end)::bigint as ja_score,sum(case when class in ('en','mixed') then 1 else 0 end)::bigint as en_score from (select case when regexp_matches({BARE},{_q(X.JA_REQUIRED)}) and regexp_matches({BARE},{_q(X.EN_REQUIRED)}) then 'mixed' when regexp_matches({BARE},{_q(X.JA_REQUIRED)}) then 'ja' when regexp_matches({BARE},{_q(X.EN_REQUIRED)}) then 'en' else 'other' end as class from items) group by 1")
+@query(f"""select *,case when visible=0 or e+j=0 or (en=0 and ja=0) then 'uncertain' when e>=greatest(5,3*j) or (j<greatest(5,3*e) and e>=greatest(3,2*j)) then 'en' when j>=greatest(5,3*e) or j>=greatest(3,2*e) then 'ja' else 'uncertain' end as language,
+ case when visible=0 or e+j=0 or (en=0 and ja=0) then 'low' when e>=greatest(5,3*j) or j>=greatest(5,3*e) then 'high' when e>=greatest(3,2*j) or j>=greatest(3,2*e) then 'medium' else 'low' end as confidence from (select *,en+mixed as e,ja+mixed as j from (
+ select game_id,count(*) as visible,count_if(class='ja')::bigint as ja,count_if(class='en')::bigint as en,count_if(class='mixed')::bigint as mixed from (select game_id,case when regexp_matches({BARE},{_q(X.JA_REQUIRED)}) and regexp_matches({BARE},{_q(X.EN_REQUIRED)}) then 'mixed' when regexp_matches({BARE},{_q(X.JA_REQUIRED)}) then 'ja' when regexp_matches({BARE},{_q(X.EN_REQUIRED)}) then 'en' else 'other' end as class from items where trim(raw_text,' ')<>'') group by 1))""".replace("select *,case", "select game_id,visible,ja,en,mixed,case", 1))
 def a13_language_probe(spark, sf):
-    c = R.items(spark, sf).select(X.language_class(F.col("raw_text")).alias("class"))
-    return c.groupBy("class").agg(F.count("*").alias("n"), F.sum(F.col("class").isin("ja", "mixed").cast("long")).alias("ja_score"), F.sum(F.col("class").isin("en", "mixed").cast("long")).alias("en_score"))
+    visible = R.items(spark, sf).where(F.trim("raw_text") != "").select("game_id", X.language_class(F.col("raw_text")).alias("class"))
+    counts = visible.groupBy("game_id").agg(F.count("*").alias("visible"), *[F.count_if(F.col("class") == c).alias(c) for c in ("ja", "en", "mixed")])
+    language, confidence = X.recommended_language(*map(F.col, ("visible", "ja", "en", "mixed")))
+    return counts.select("game_id", "visible", "ja", "en", "mixed", language.alias("language"), confidence.alias("confidence"))
 
 
 NAME = "^【([^【】]+)】|^([^\\s「」]{1,20})「"
@@ -274,21 +326,28 @@ def x43_replace_unique_tag(spark, sf):
     return R.table(spark, sf, "documents").where(F.regexp_count("text", F.lit("<pad>")) == 1).select("doc_id", F.regexp_replace("text", "<pad>", "<pad:1>").alias("text"))
 
 
-@query("""select file_id,start_index,case when ends_with(api,'addText') or ends_with(api,'drawText') or ends_with(api,'drawTextEx') or ends_with(api,'setText') or ends_with(api,'addCommand') or ends_with(api,'$gameMessage.add') or key in ('caption','description','help','label','message','name','text','title') then 'strong' when length(text)>=8 then 'medium' else 'weak' end as strength from (select distinct file_id,start_index,api,key,text from plugin_source_candidates where text is not null)""")
+_ENDS = " or ".join(f"ends_with(coalesce(api,''),{_q(x)})" for x in X.STRONG_CALLS)
+_KEYS = ",".join(map(_q, X.STRONG_KEYS))
+_PLACED = " or ".join(f"coalesce(json_extract_string(ast_context,'$.{k}'),'') not in ('','[]')" for k in ("return_function_name", "assignment_name", "property_path"))
+
+
+@query(f"""select file_id,start_index,array_to_string(list_filter([case when num then 'number_like' end,case when res then 'resource_path_like' end,case when ident then 'identifier_or_path_like' end],lambda x: x is not null),'|') as flags,
+ case when num or res then 'weak' when {_ENDS} or coalesce(key,'') in ({_KEYS}) then 'strong' when ({_PLACED}) or (length(text)>=8 and not ident) then 'medium' else 'weak' end as strength
+ from (select distinct file_id,start_index,api,key,text,ast_context,regexp_matches(text,{_q(X.NUMBER_LIKE)}) as num,regexp_matches(text,{_q(X.RESOURCE_FILE)}) as res,regexp_matches(text,{_q(X.IDENTIFIER_OR_PATH)}) and (contains(text,'_') or contains(text,'/')) as ident from plugin_source_candidates where text is not null)""")
 def x46_literal_confidence(spark, sf):
-    c = _cands(spark, sf).where("text is not null").select("file_id", "start_index", "api", "key", "text").distinct()
-    call = F.lit(False)
-    for s in ("addText", "drawText", "drawTextEx", "setText", "addCommand", "$gameMessage.add"):
-        call = call | F.coalesce(F.col("api").endswith(s), F.lit(False))
-    strong = call | F.coalesce(F.col("key").isin("caption", "description", "help", "label", "message", "name", "text", "title"), F.lit(False))
-    return c.select("file_id", "start_index", F.when(strong, "strong").when(F.length("text") >= 8, "medium").otherwise("weak").alias("strength"))
+    c = _cands(spark, sf).where("text is not null").select("file_id", "start_index", "api", "key", "text", "ast_context").distinct()
+    placed = F.lit(False)
+    for k in ("return_function_name", "assignment_name", "property_path"):
+        placed = placed | ~F.coalesce(F.get_json_object("ast_context", f"$.{k}"), F.lit("")).isin("", "[]")
+    return c.select("file_id", "start_index", F.array_join(X.structural_flags(F.col("text")), "|").alias("flags"), X.literal_confidence(F.col("text"), F.col("api"), F.col("key"), placed).alias("strength"))
 
 
-@query("select o_orderkey,case when o_orderkey%7=0 then 'rate_limit' when o_orderstatus='F' then 'timeout' when o_orderkey%7=1 then 'conflict' when o_orderkey%7=2 then 'server' when o_orderkey%7=3 then 'fatal' else 'unknown' end as class from orders")
+@query("""select o_orderkey,case when o_orderstatus='F' then 'timeout' when o_orderkey%7=0 then 'rate_limit' when o_orderkey%7=1 then 'conflict' when o_orderkey%7=2 then 'server' when o_orderkey%7=3 then 'fatal' when o_orderkey%7=4 then 'unknown' else 'fatal' end as class,
+ o_orderstatus='F' or o_orderkey%7 in (0,1,2,4) as retryable from orders""")
 def x54_failure_class(spark, sf):
-    status = F.element_at(F.array(F.lit(429), F.lit(409), F.lit(503), F.lit(400), F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(None).cast("int")), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    status = F.element_at(F.array(*[F.lit(x).cast("int") for x in (429, 409, 503, 400, 425, None, None)]), (F.col("o_orderkey") % 7 + 1).cast("int"))
     kind = F.when(F.col("o_orderstatus") == "F", "timeout")
-    return R.table(spark, sf, "orders").select("o_orderkey", X.failure_class(kind, status).alias("class"))
+    return R.table(spark, sf, "orders").select("o_orderkey", X.failure_class(kind, status).alias("class"), X.retryable(kind, status).alias("retryable"))
 
 
 @query("select fact_id,floor(length(raw_text)/3.5)::bigint as tokens from items")

@@ -11,7 +11,7 @@ from tessera.functions import json as J
 from tessera.rules.validate import DOMAINS
 
 #: Standard data files besides the maps (fixed values).
-STANDARD = ["Actors", "Armors", "Classes", "CommonEvents", "Enemies", "Items", "MapInfos", "Skills", "States", "System", "Tilesets", "Troops", "Weapons"]
+STANDARD = ["Actors", "Animations", "Armors", "Classes", "CommonEvents", "Enemies", "Items", "MapInfos", "Skills", "States", "System", "Tilesets", "Troops", "Weapons"]
 
 
 def content_root(project: str) -> str:

@@ -42,8 +42,29 @@ def test_custom_and_paired_spans():
 
 def test_verify_placeholders():
     assert controls.verify("[RMMZ_WAIT_SHORT] a", "[RMMZ_WAIT_SHORT] b") == []
-    assert controls.verify("[RMMZ_WAIT_SHORT]", "x") == ["missing:[RMMZ_WAIT_SHORT]"]
+    assert controls.verify("[RMMZ_WAIT_SHORT]", "x") == ["number:[RMMZ_WAIT_SHORT]"]
     assert controls.verify("x", "[RMMZ_ICON_1]") == ["unknown:[RMMZ_ICON_1]"]
+    # more line breaks than the original has are allowed, fewer are not; controls without a rule must stay
+    two = controls.LINE_BREAK * 2
+    assert controls.verify(controls.LINE_BREAK, two) == [] and controls.verify(two, controls.LINE_BREAK) == [f"number:{controls.LINE_BREAK}"]
+    assert controls.verify("\\XX[1] a", "b") == ["other_controls"] and controls.verify("\\XX[1] a", "b \\XX[1]") == []
+
+
+def test_spelled_out_escapes_and_prefixes():
+    names = lambda t: [x[2] for x in controls.all_spans(t)]
+    assert names(r"a\n b\"c") == [controls.LINE_BREAK, "[RMMZ_LITERAL_DOUBLE_QUOTE]"]
+    assert names(r"\u3042\x41\101") == ["[RMMZ_LITERAL_UNICODE_ESCAPE_5C7533303432]", "[RMMZ_LITERAL_HEX_ESCAPE_5C783431]", "[RMMZ_LITERAL_OCTAL_ESCAPE_5C313031]"]
+    assert names(r"\g \G[1]") == ["[RMMZ_CURRENCY_UNIT]"]
+    # what only begins a longer control is none
+    assert names(r"\nAme \FSx[2]") == [] and [r"\nAme"] == [r"\nAme x"[a:b] for a, b in controls.raw_candidates(r"\nAme x")]
+
+
+def test_paired_rules_check_their_groups():
+    rule = (r"(?P<a><b>)(?P<t>.*?)(?P<z></b>)", "t", {"a": "OPEN", "z": "CLOSE"})
+    assert [x[2] for x in controls.paired_spans("x<b>hi</b>", [rule])] == ["[CUSTOM_OPEN_", "[CUSTOM_CLOSE_"]
+    for bad in ((r"(?P<a>x?)(?P<t>b)", "t", {"a": "A"}), (r"(?P<t>(?P<a>b))", "t", {"a": "A"}), (r"(?P<t>b)|(?P<a>c)", "t", {"a": "A"})):
+        with pytest.raises(controls.RuleError):
+            controls.paired_spans("b", [bad])
 
 
 def test_javascript_spans():
@@ -107,7 +128,7 @@ def test_residual_and_structure(spark):
     df = spark.createDataFrame([(["中文"],), (["中文です"],), (["这是ね"],), (["啊", "かな"],), ([],)], "a array<string>")
     assert [r[0] for r in df.select(X.japanese_residual(F.col("a"))).collect()] == [None, ["です"], None, ["かな"], None]
     s = spark.createDataFrame([(["a"], ["译文：x"], "long_text"), (["a"], ["x", ""], "long_text"), (["a"], ["x", "y"], "short_text")], "o array<string>, t array<string>, k string")
-    assert [r[0] for r in s.select(X.structure_errors(F.col("o"), F.col("t"), F.col("k"))).collect()] == [["explaining_prefix"], ["unexpected_empty_line"], ["line_count"]]
+    assert [r[0] for r in s.select(X.structure_errors(F.col("o"), F.col("t"), F.col("k"), F.lit("Map001.json/1"))).collect()] == [["explaining_prefix"], ["unexpected_empty_line"], ["line_count"]]
 
 
 def test_layout():
