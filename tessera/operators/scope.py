@@ -139,6 +139,50 @@ def set_fingerprint(rows: DataFrame, group: list[str], member: str) -> DataFrame
     return rows.groupBy(*group).agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("fingerprint"))
 
 
+def canonical_fingerprint(rows: DataFrame, group: list[str], order: list[str], fields: list[str]) -> DataFrame:
+    """The hash of each group's members as one JSON list, ordered and with sorted keys. A hash over a list reads it
+    whole, so groups are a file's or a project's by contract; ``set_fingerprint`` is for groups of any size."""
+    member = F.struct(*[F.col(c) for c in order], F.struct(*[F.col(c) for c in sorted(fields)]).alias("_m"))
+    whole = F.to_json(F.transform(F.array_sort(F.collect_list(member)), lambda x: x["_m"]), {"ignoreNullFields": "false"})
+    return rows.groupBy(*group).agg(F.count("*").alias("n"), F.sha2(whole, 256).alias("fingerprint"))
+
+
+def first_keys(rows: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The least ``order`` of each key, pre-aggregated before the shuffle however often a key occurs."""
+    return rows.groupBy(*key).agg(F.min(order).alias(order))
+
+
+def answers_by_prompt(items: DataFrame, responses: DataFrame, batch: str, prompt: str) -> DataFrame:
+    """The answer of each item ``(batch, prompt)``: unknown prompts are left out; a batch in which a known prompt is
+    answered twice fails as a whole. Adds ``error``: null, missing or duplicate_prompt."""
+    known = responses.join(items.select(batch, prompt).distinct(), [batch, prompt], "left_semi")
+    bad = known.groupBy(batch, prompt).agg(F.count("*").alias("_n")).where("_n > 1").select(batch).distinct().withColumn("_bad", F.lit(True))
+    rest = known.join(bad, batch, "left_anti").withColumn("_got", F.lit(True))
+    out = items.join(rest, [batch, prompt], "left").join(bad, batch, "left")
+    return out.withColumn("error", F.when(F.col("_bad"), "duplicate_prompt").when(F.col("_got").isNull(), "missing")).drop("_bad", "_got")
+
+
+def glossary_for(items: DataFrame, glossary: DataFrame) -> DataFrame:
+    """Terms of an item ``(key, game_id, role, display_name, owner, system)`` by exact match: its role, the display
+    name of its place, the terms of its owner, and of a system text all system terms. Glossary: ``(game_id, term, owner,
+    system)``."""
+    g = glossary.select("game_id", "term", F.col("owner").alias("t_owner"), F.col("system").alias("t_system")).distinct()
+    terms = g.select("game_id", "term").distinct()
+    named = items.select("key", "game_id", F.explode(F.array_distinct(F.array_compact(F.array("role", "display_name")))).alias("term")).join(terms, ["game_id", "term"])
+    owned = items.where("not system").join(g.where("not t_system").withColumnRenamed("t_owner", "owner"), ["game_id", "owner"])
+    system = items.where("system").join(g.where("t_system").select("game_id", "term"), "game_id")
+    out = [x.select("key", "term") for x in (named, owned, system)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).distinct()
+
+
+def risk(candidates: DataFrame, by: str) -> DataFrame:
+    """How much of a project's scripts is shown to players: active candidates, strong ones weighing three, by file."""
+    strong, medium = (F.count_if(F.col("strength") == k) for k in ("strong", "medium"))
+    files = candidates.where("active").groupBy(by).agg(strong.alias("strong"), medium.alias("medium")).withColumn("score", 3 * F.col("strong") + F.col("medium"))
+    one = files.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("strong", "medium", "score")], F.count_if(F.col("score") >= 250).alias("files_over_250"), F.coalesce(F.max("score"), F.lit(0)).alias("max_score"), F.count_if((F.col("score") >= 300) & (F.col("strong") >= 80)).alias("heavy"))
+    return one.select("strong", "medium", "score", "files_over_250", "max_score", ((F.col("strong") >= 300) | (F.col("score") >= 2000) | (F.col("files_over_250") >= 3) | (F.col("heavy") > 0)).alias("high_risk"))
+
+
 def fan_out(results: DataFrame, items: DataFrame, key: list[str]) -> DataFrame:
     """A representative's result for every item of its key."""
     return items.join(results, key)

@@ -69,26 +69,36 @@ def _share(rows: DataFrame, wanted: int) -> float:
     return min(1.0, wanted / max(1, rows.count()))
 
 
-def batches(items: DataFrame, group: list[str], order: str, size: str, limit: int, extend: int = 0, speaker: str | None = None) -> DataFrame:
-    """Fold the rows of each group in order into batches: one closes when its estimated size reaches the
-    limit; the rest of the same speaker's lines, up to ``extend``, still joins it. Adds batch and sequence."""
+NARRATION = "旁白"
+
+
+def batches(items: DataFrame, group: list[str], order: str, size: str, role: str, limit: int, factor: float = 1.0, extend: int = 5) -> DataFrame:
+    """Fold the rows of each group in order into batches and number the rows of each from 1. ``size`` is
+    the length of a row's prompt without its two numbers. A batch is full once its length over ``factor`` reaches
+    ``limit``. A full batch whose last row is nobody's (no role, or narration) closes there; otherwise up to ``extend``
+    rows more join it, as long as they are nobody's or that last row's speaker's. Adds batch and sequence."""
+    if limit <= 0 or factor <= 0 or extend <= 0:
+        raise ValueError("limit, factor and extend must be positive")
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = object(), None
-        batch = total = seq = more = 0
+        key, speaker = object(), None
+        batch = total = seq = left = 0
+        full = closed = False
         for b in parts:
-            keys = list(zip(*[b[g] for g in group], strict=True))
-            who = b[speaker].tolist() if speaker else [None] * len(b)
+            keys = list(zip(*[b[g].astype(object).where(b[g].notna(), None) for g in group], strict=True))
             out = []
-            for k, w, n in zip(keys, who, b[size], strict=True):
+            for k, who, n in zip(keys, b[role], b[size], strict=True):
+                nobody = who is None or who != who or who == NARRATION
                 if k != key:
-                    key, batch, total, seq, more = k, 0, 0, 0, 0
-                elif total >= limit:
-                    if speaker and w == last and more < extend:
-                        more += 1
-                    else:
-                        batch, total, seq, more = batch + 1, 0, 0, 0
-                total, seq, last = total + int(n), seq + 1, w
+                    key, batch, total, seq, full, closed = k, 0, 0, 0, False, False
+                elif closed or (full and not (left > 0 and (nobody or who == speaker))):
+                    batch, total, seq, full, closed = batch + 1, 0, 0, False, False
+                seq += 1
+                total += int(n) + 2 * len(str(seq))
+                if full:
+                    left -= 1
+                elif int(total / factor) >= limit:
+                    full, closed, speaker, left = True, nobody, who, extend
                 out.append((batch, seq))
             yield b.assign(batch=[x for x, _ in out], sequence=[x for _, x in out])
 

@@ -13,7 +13,7 @@ from tessera.functions import json as J
 from tessera.functions import text as X
 from tessera.plans import relations as R
 from tessera.plans.relations import sql
-from tessera.plans.textual import FILES, _cands, _files, _q, x20_nested_leaves
+from tessera.plans.textual import BOXED, FILES, _boxes, _cands, _files, _q, x20_nested_leaves
 from tessera.rules import validate
 from tessera.session import scratch
 from tessera.sources import files
@@ -122,23 +122,19 @@ def j23_covered_candidates(spark, sf):
     return i.select("fact_id", "start", layout.covered(one, span).alias("covered"))
 
 
-@query("select fact_id,to_json(raw_text)::varchar as shell from items")
+@query("select fact_id,(length(fact_id)%5)::int as depth,trim(raw_text,' ') as text,to_json(raw_text)::varchar as shell from items")
 def x07_encoded_shells(spark, sf):
-    return R.items(spark, sf).select("fact_id", X.encode_shell(F.col("raw_text")).alias("shell"))
+    depth = F.length("fact_id") % 5
+    wrapped = F.aggregate(F.sequence(F.lit(0), depth), F.trim("raw_text"), lambda t, i: F.when(i == 0, t).otherwise(X.encode_shell(t)))
+    i = R.items(spark, sf).withColumn("like", X.encode_like(F.trim("raw_text"), wrapped))
+    return i.select("fact_id", X.shell_depth(F.col("like")).alias("depth"), X.decode_shells(F.col("like")).alias("text"), X.encode_shell(F.col("raw_text")).alias("shell"))
 
 
-@query("select fact_id,not contains(answer,'\\\\') as valid from items")
-def x08_no_doubled_controls(spark, sf):
-    return R.items(spark, sf).select("fact_id", (~F.contains(F.col("answer"), F.lit("\\\\"))).alias("valid"))
-
-
-def _spans_udf(rows: DataFrame, custom=(), paired=()) -> DataFrame:
-    def step(batches):
-        for b in batches:
-            out = [(k, t[s:e]) for k, t in zip(b["fact_id"], b["raw_text"], strict=True) for s, e, n, p in controls.all_spans(t or "", custom, paired) if p > 0]
-            yield pd.DataFrame(out, columns=["fact_id", "original"])
-
-    return rows.select("fact_id", "raw_text").mapInPandas(step, "fact_id string, original string")
+@query("select fact_id,case when length(fact_id)%3=0 then 'shell_depth' when len(regexp_extract_all(answer,'\\\\\\\\[A-Za-z]+\\['))>len(regexp_extract_all(raw_text,'\\\\\\\\[A-Za-z]+\\[')) then 'doubled_controls' end as problem from items where not starts_with(trim(raw_text,' '),'\"') and not starts_with(trim(answer,' '),'\"')")
+def x08_encoding_problems(spark, sf):
+    i = R.items(spark, sf).where("not startswith(trim(raw_text), '\"') and not startswith(trim(answer), '\"')")
+    written = F.when(F.length("fact_id") % 3 == 0, X.encode_shell(F.col("answer"))).otherwise(F.col("answer"))
+    return i.select("fact_id", X.encoding_problem(F.col("raw_text"), written).alias("problem"))
 
 
 @query("select fact_id,unnest(regexp_extract_all(raw_text,'【[^】]*】')) as original from items")
@@ -195,11 +191,12 @@ def x37_masked_terms(spark, sf):
     return R.items(spark, sf).select("fact_id", mask("answer").alias("masked"))
 
 
-@query("select fact_id,regexp_extract(raw_text,'^【([^【】]+)】',1) as speaker,substr(raw_text,length(regexp_extract(raw_text,'^【[^【】]+】'))+1) as body,true as whole from items where regexp_matches(raw_text,'^【[^【】]+】')")
+@query(f"select fact_id,who as speaker,said as body,true as whole from {BOXED} where not conflict and not actor")
 def x41_render_parts(spark, sf):
-    p = r"(?s)^(【)([^【】]+)(】)(.*)$"
-    parts = [F.regexp_extract("raw_text", p, k) for k in (1, 2, 3, 4)]
-    return R.items(spark, sf).where(F.col("raw_text").rlike("^【[^【】]+】")).select("fact_id", parts[1].alias("speaker"), parts[3].alias("body"), (F.concat(*parts) == F.col("raw_text")).alias("whole"))
+    line = R.items(spark, sf).select("fact_id", X.strip(F.substring_index("raw_text", "\n", 1)).alias("line"))
+    b = _boxes(spark, sf).where("error is null and rule <> 'actor'").join(line, F.col("key") == F.col("fact_id"))
+    part = lambda kind: F.coalesce(F.try_element_at(F.transform(F.filter("parts", lambda x: x["kind"] == kind), lambda x: x["text"]), F.lit(1)), F.lit(""))
+    return b.select("fact_id", part("speaker").alias("speaker"), part("body").alias("body"), (F.array_join(F.transform("parts", lambda x: x["text"]), "") == F.col("line")).alias("whole"))
 
 
 @query("select file_id,start_index,text from (select distinct file_id,start_index,text from plugin_source_candidates where raw_text is not null)")
@@ -339,9 +336,17 @@ def x38_masked_structures(spark, sf):
     return R.items(spark, sf).select("fact_id", masked.alias("masked"))
 
 
-@query("select fact_id,case when contains(path,'/note/') then 'note' when starts_with(lower(path),'plugins.js/') then 'nested' when item_type in ('long_text','array') and regexp_matches(path,'/[0-9]+$') then 'commands' else 'field' end as protocol from items")
-def x44_write_protocols(spark, sf):
-    return R.items(spark, sf).select("fact_id", X.write_protocol(F.col("path"), F.col("item_type")).alias("protocol"))
+@query("""select doc_id,case when answer is null then 'no_answer' when trim(answer)='' then 'empty_answer' when n=0 then 'no_tag' when n>1 then 'tag_repeated' end as problem from (select doc_id,case when doc_id%7=0 then null when doc_id%7=1 then ' ' else '译' end as answer,len(list_filter(regexp_extract_all(text,'<([^<>:\r\n]+):[^<>]*>',1),lambda x: trim(x)='desc')) as n from documents where text is not null)""")
+def x44_note_write_protocol(spark, sf):
+    d = R.table(spark, sf, "documents").where("text is not null")
+    answer = F.when(F.col("doc_id") % 7 == 0, F.lit(None).cast("string")).when(F.col("doc_id") % 7 == 1, " ").otherwise("译")
+    return d.select("doc_id", X.note_problem(F.col("text"), F.lit("desc"), answer).alias("problem"))
+
+
+@query("""select file_id,start_index,case when json_extract_string(ast_context,'$.call_name') is null then 'no_key' when text is null or trim(text,' ')='' then 'empty_answer' end as problem from (select distinct file_id,start_index,ast_context,text from plugin_source_candidates)""")
+def x44_nested_write_protocol(spark, sf):
+    c = _cands(spark, sf).select("file_id", "start_index", "ast_context", "text").distinct()
+    return c.select("file_id", "start_index", F.when(F.get_json_object("ast_context", "$.call_name").isNull(), "no_key").when(F.coalesce(F.trim("text"), F.lit("")) == "", "empty_answer").alias("problem"))
 
 
 @query("select o_orderkey,count(*) as valid from orders join lineitem on l_orderkey=o_orderkey group by 1")

@@ -33,10 +33,10 @@ def j20_names_in_documents(spark, sf):
     return terms.contained(R.table(spark, sf, "documents"), "doc_id", "text", names, "raw_text")
 
 
-@query("select i.fact_id,t.term from items i join (select distinct speaker as term from items where speaker<>'' and item_type='long_text' and length(speaker)>2) t on contains(i.raw_text,t.term)")
+@query("select i.fact_id,t.term from items i join (select distinct speaker as term from items where trim(speaker,' ')<>'') t on contains(i.raw_text,t.term)")
 def j15_speakers_in_texts(spark, sf):
     i = R.items(spark, sf)
-    who = i.where("speaker <> '' and item_type = 'long_text'")
+    who = i.where("trim(speaker) <> ''")
     return terms.contained(i, "fact_id", "raw_text", who, "speaker")
 
 

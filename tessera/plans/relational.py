@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import scope
+from tessera.operators import scope, sequence
 from tessera.plans import relations as R
 from tessera.plans.relations import sql
 
@@ -95,10 +95,20 @@ def j11_items_to_position_rules(spark, sf):
     return R.items(spark, sf).select("fact_id").join(R.errors(spark, sf).select("fact_id", F.col("error_type").alias("position_rule")), "fact_id", "left")
 
 
-@query("""select i.fact_id,l.settings_key,trim(l.source_language) as source_language from items i join language_settings l on l.game_id=i.game_id where i.item_type='array'""")
-def j16_settings_of_choices(spark, sf):
-    l = R.table(spark, sf, "language_settings").select("game_id", "settings_key", F.trim("source_language").alias("source_language"))
-    return R.items(spark, sf).where("item_type = 'array'").select("game_id", "fact_id").join(l, "game_id").select("fact_id", "settings_key", "source_language")
+_OWNER = "split_part(path,'/',1)||'/'||split_part(path,'/',2)"
+_GLOSS = f"select distinct game_id,raw_text as term,{_OWNER} as owner,starts_with(path,'System.json/') as system from items where (path like '%/name' or starts_with(path,'System.json/')) and raw_text<>''"
+
+
+@query(f"""select distinct * from (select i.fact_id,g.term from items i join ({_GLOSS}) g on g.game_id=i.game_id and g.term=i.role
+ union all select i.fact_id,g.term from items i join (select game_id,source_file,min(raw_text) as name from items where path like '%/displayName' group by all) d on d.game_id=i.game_id and d.source_file=i.source_file join ({_GLOSS}) g on g.game_id=i.game_id and g.term=d.name
+ union all select i.fact_id,g.term from (select *,{_OWNER} as owner from items) i join ({_GLOSS}) g on g.game_id=i.game_id and g.owner=i.owner and not g.system where not starts_with(i.path,'System.json/')
+ union all select i.fact_id,g.term from items i join ({_GLOSS}) g on g.game_id=i.game_id and g.system where starts_with(i.path,'System.json/'))""")
+def j16_glossary_terms(spark, sf):
+    i = R.items(spark, sf).withColumn("owner", F.concat(F.split("path", "/")[0], F.lit("/"), F.coalesce(F.try_element_at(F.split("path", "/"), F.lit(2)), F.lit("")))).withColumn("system", F.col("path").startswith("System.json/"))
+    shown = i.where("path like '%/displayName'").groupBy("game_id", "source_file").agg(F.min("raw_text").alias("display_name"))
+    gloss = i.where("(path like '%/name' or system) and raw_text <> ''").select("game_id", F.col("raw_text").alias("term"), "owner", "system")
+    asked = i.join(shown, ["game_id", "source_file"], "left").select(F.col("fact_id").alias("key"), "game_id", "role", "display_name", "owner", "system")
+    return scope.glossary_for(asked, gloss).select(F.col("key").alias("fact_id"), "term")
 
 
 @query("""with o as (select distinct game_id,split_part(path,'/',1)||'/'||split_part(path,'/',2) as owner,raw_text as owner_name from items where path like '%/name') select i.fact_id,o.owner_name from items i join o on o.game_id=i.game_id and o.owner=split_part(i.path,'/',1)||'/'||split_part(i.path,'/',2)""".replace("with o as", "select * from (with o as") + ")")
@@ -133,9 +143,17 @@ def j21_fan_out_duplicates(spark, sf):
     return scope.fan_out(results, f.select("fact_id", *key), key).select("fact_id", "answer")
 
 
-@query("""select game_id%10 as batch_id,speaker,count(*) as n,count(*)>1 as duplicated from facts group by all""")
-def j22_prompt_id_uniqueness(spark, sf):
-    return R.facts(spark, sf).groupBy((F.col("game_id") % 10).alias("batch_id"), "speaker").agg(F.count("*").alias("n"), (F.count("*") > 1).alias("duplicated"))
+_ANSWERS = "(select l_orderkey as batch,case when l_partkey%11=0 then 99 when l_linenumber=2 and l_orderkey%5=0 then 1 else l_linenumber end as prompt,l_partkey as answer from lineitem)"
+
+
+@query(f"""with p as (select distinct l_orderkey as batch,l_linenumber as prompt from lineitem), k as (select a.* from {_ANSWERS} a join p using(batch,prompt)), d as (select distinct batch from (select batch,prompt from k group by all having count(*)>1))
+select p.batch,p.prompt,k.answer,case when p.batch in (select batch from d) then 'duplicate_prompt' when k.answer is null then 'missing' end as error from p left join (select * from k where batch not in (select batch from d)) k using(batch,prompt)""".replace("with p as", "select * from (with p as") + ")")
+def j22_answers_by_prompt(spark, sf):
+    l = R.table(spark, sf, "lineitem")
+    given = F.when(F.col("l_partkey") % 11 == 0, 99).when((F.col("l_linenumber") == 2) & (F.col("l_orderkey") % 5 == 0), 1).otherwise(F.col("l_linenumber"))
+    asked = l.select(F.col("l_orderkey").alias("batch"), F.col("l_linenumber").alias("prompt")).distinct()
+    answers = l.select(F.col("l_orderkey").alias("batch"), given.alias("prompt"), F.col("l_partkey").alias("answer"))
+    return scope.answers_by_prompt(asked, answers, "batch", "prompt").select("batch", "prompt", "answer", "error")
 
 
 @query("""select f.fact_id,case when t.fact_id is null then 'missing' when t.raw_hash<>f.raw_hash then 'hash_mismatch' else 'ok' end as state from facts f left join tr t on t.fact_id=f.fact_id""")
@@ -187,14 +205,12 @@ def a05_scope_summary(spark, sf):
 
 
 @query(f"""select 'pending' as measure,count(*) as n from ({PENDING}) union all select 'translated',count(*) from facts f where exists (select 1 from tr t where {ID}) union all select 'errors',count(*) from errors union all
-select 'missing_required',count(*) from tr r where not exists (select 1 from idx i where i.game_id=r.game_id and i.location_path=r.location_path||'/')""")
+select 'missing_required',count(*) from items r where r.item_type='long_text' and not exists (select 1 from idx i where i.game_id=r.game_id and i.location_path=r.path)""")
 def a06_gate(spark, sf):
     f, i, t = _all(spark, sf)
-    need = t.select("game_id", F.concat("location_path", F.lit("")).alias("location_path"))
-    marked = i.withColumn("location_path", F.concat("location_path", F.lit("/")))
-    g = scope.gate(f, i, t, R.errors(spark, sf), need).where("measure <> 'missing_required'")
-    missing = need.join(marked, scope.PLACE, "left_anti").agg(F.count("*").alias("n")).select(F.lit("missing_required").alias("measure"), "n")
-    return g.unionByName(missing)
+    # required are the places as rules would write them; a place that is stored in another spelling is missing
+    need = R.items(spark, sf).where("item_type = 'long_text'").select("game_id", F.col("path").alias("location_path"))
+    return scope.gate(f, i, t, R.errors(spark, sf), need)
 
 
 @query("""select domain,item_type,count(*) as hits,count_if(length(trim(raw_text,' '))>0)::bigint as value_hits,count(distinct source_file) as files,min(location_path) as first_sample from items group by all""")
@@ -220,10 +236,10 @@ def a10_review_coverage(spark, sf):
     return j.groupBy("domain").agg(F.count("*").alias("candidates"), F.count("t").alias("translated"), F.count_if(F.col("t").isNull() & F.col("e").isNotNull()).alias("reviewed"), F.count_if(F.col("t").isNull() & F.col("e").isNull()).alias("unreviewed"))
 
 
-@query("""with s as (select file_id,sum(case confidence when 'high' then 3 when 'medium' then 1 else 0 end) as score,count(*) as n from plugin_source_candidates group by 1) select count(*) as files,max(score)::bigint as max_score,sum(score)::bigint as total_score,count_if(n>=80)::bigint as large_files,max(score)>=300 or sum(score)>=2000 as risky from s""")
+@query("""select strong,medium,score,over_250 as files_over_250,max_score,strong>=300 or score>=2000 or over_250>=3 or heavy>0 as high_risk from (select coalesce(sum(strong),0)::bigint as strong,coalesce(sum(medium),0)::bigint as medium,coalesce(sum(score),0)::bigint as score,count_if(score>=250)::bigint as over_250,coalesce(max(score),0)::bigint as max_score,count_if(score>=300 and strong>=80)::bigint as heavy
+ from (select file_id,count_if(confidence='high') as strong,count_if(confidence='medium') as medium,3*count_if(confidence='high')+count_if(confidence='medium') as score from plugin_source_candidates where active group by 1))""")
 def a11_risk_score(spark, sf):
-    s = R.table(spark, sf, "plugin_source_candidates").groupBy("file_id").agg(F.sum(F.when(F.col("confidence") == "high", 3).when(F.col("confidence") == "medium", 1).otherwise(0)).alias("score"), F.count("*").alias("n"))
-    return s.agg(F.count("*").alias("files"), F.max("score").alias("max_score"), F.sum("score").alias("total_score"), F.count_if(F.col("n") >= 80).alias("large_files"), ((F.max("score") >= 300) | (F.sum("score") >= 2000)).alias("risky"))
+    return scope.risk(R.table(spark, sf, "plugin_source_candidates").withColumn("strength", F.when(F.col("confidence") == "high", "strong").otherwise(F.col("confidence"))), "file_id")
 
 
 @query("select coalesce(nullif(context,''),'none') as place,count(*) as n,count_if(active)::bigint as active,count_if(confidence='low')::bigint as weak from plugin_source_candidates group by 1")
@@ -231,9 +247,19 @@ def a12_review_summary(spark, sf):
     return R.table(spark, sf, "plugin_source_candidates").groupBy(F.coalesce(F.nullif(F.col("context"), F.lit("")), F.lit("none")).alias("place")).agg(F.count("*").alias("n"), F.count_if("active").alias("active"), F.count_if(F.col("confidence") == "low").alias("weak"))
 
 
-@query("select count(*) as items,count_if(answer=raw_text)::bigint as copied,count_if(length(answer)>2*length(raw_text))::bigint as long_answers,count_if(len(translation_lines)<>len(original_lines))::bigint as line_changes from items")
+@query(None)
 def a14_quality_counts(spark, sf):
-    return R.items(spark, sf).agg(F.count("*").alias("items"), F.count_if(F.col("answer") == F.col("raw_text")).alias("copied"), F.count_if(F.length("answer") > 2 * F.length("raw_text")).alias("long_answers"), F.count_if(F.size("translation_lines") != F.size("original_lines")).alias("line_changes"))
+    from tessera.functions import controls
+    from tessera.functions import text as X
+
+    lines = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull())
+    i = R.items(spark, sf).where("translation_lines is not null")
+    o, a = lines(F.col("original_lines")), lines(F.col("translation_lines"))
+    residual = (F.col("answer").rlike(X.JA_RESIDUAL) & X.japanese_residual(a).isNotNull()).alias("residual")
+    plain = i.agg(F.count_if(residual).alias("source_residual"), F.count_if(F.size(X.structure_errors(o, a, F.col("item_type"), F.col("location_path"))) > 0).alias("text_structure"), F.count_if(F.size(X.over_wide(o, a, F.col("item_type"), 26)) > 0).alias("overwide_line"))
+    marks = controls.masked_rows(i).agg(F.count_if(F.size("problems") > 0).alias("placeholder_risk"))
+    one = F.lit(1).alias("one")
+    return plain.select(one, "*").join(marks.select(one, "*"), "one").select("source_residual", "text_structure", "placeholder_risk", "overwide_line")
 
 
 @query("select game_id,source_file,count(*) as n,string_agg(sha256(fact_id),'|' order by sha256(fact_id)) as ids,count(distinct speaker)>1 as conflicting from items where domain='nonstandard_data' group by all")
@@ -262,9 +288,10 @@ def a21_domain_fact_counts(spark, sf):
     return R.facts(spark, sf).groupBy("domain").agg(F.count("*").alias("n"))
 
 
-@query("select coalesce(confidence,'') as domain,count_if(active)::bigint as enabled,count(*) as n from plugin_source_candidates group by 1")
+@query("""select domain,count_if(enabled)::bigint as enabled,count(*) as n from (select 'plugin_source' as domain,active as enabled from (select distinct file_id,selector,active from plugin_source_candidates)
+ union all select 'note_tags',tag<>'pad' from (select distinct unnest(regexp_extract_all(text,'<([^<>:\\r\\n]+)(?::([^<>]*))?>',1)) as tag from documents) union all select 'event_commands',item_type<>'array' from (select distinct item_type,source_file from items where domain='event_commands')) group by 1""")
 def a22_enabled_rule_counts(spark, sf):
-    return R.table(spark, sf, "plugin_source_candidates").groupBy(F.coalesce("confidence", F.lit("")).alias("domain")).agg(F.count_if("active").alias("enabled"), F.count("*").alias("n"))
+    return R.rules(spark, sf).groupBy("domain").agg(F.count_if("enabled").alias("enabled"), F.count("*").alias("n"))
 
 
 @query("select game_id%10 as run_id,count(*) as sent,count_if(length(trim(answer,' '))>0)::bigint as completed,count_if(answer<>raw_text and length(trim(answer,' '))>0)::bigint as succeeded,count_if(answer=raw_text)::bigint as failed from items group by 1")
@@ -278,18 +305,33 @@ def a24_set_fingerprint(spark, sf):
     return scope.set_fingerprint(R.facts(spark, sf), ["domain"], "fact_id")
 
 
+@query("""select file_id,count(*) as n,sha256(to_json(list(m order by start_index,selector))::varchar) as fingerprint from (select distinct file_id,start_index,selector,{'active':active,'selector':selector,'text':text} as m from plugin_source_candidates where text is not null) group by 1""")
+def a24_candidate_list_fingerprint(spark, sf):
+    c = R.table(spark, sf, "plugin_source_candidates").where("text is not null").select("file_id", "start_index", "selector", "active", "text").distinct()
+    return scope.canonical_fingerprint(c, ["file_id"], ["start_index", "selector"], ["active", "selector", "text"])
+
+
 @query("""select speaker,count(distinct path) as places,min(raw_text) as sample,speaker not in ('','旁白') as requires_name from items where item_type='long_text' group by 1""")
 def a25_speaker_requirements(spark, sf):
     return R.items(spark, sf).where("item_type = 'long_text'").groupBy("speaker").agg(F.countDistinct("path").alias("places"), F.min("raw_text").alias("sample"), (~F.col("speaker").isin("", "旁白")).alias("requires_name"))
 
 
-@query(f"""with c as (select domain,count(*) as candidates,count_if(not exists (select 1 from tr t where {ID}))::bigint as uncovered from facts f group by 1), h as (select domain,count(*) as reviewed from hits where not extractable group by 1)
-select c.domain,c.uncovered,case when c.uncovered=0 then 'ok' when h.reviewed is not null then 'warning' else 'error' end as decision from c left join h on h.domain=c.domain""".replace("with c as", "select * from (with c as") + ")")
+_SCOPE = "sum(('0x'||substr(sha256(fact_id),1,15))::bigint)::varchar"
+
+
+@query(f"""with c as (select domain,count(*) as candidates,{_SCOPE} as now,count_if(not exists (select 1 from tr t where {ID}))::bigint as uncovered from facts f group by 1), h as (select domain,{_SCOPE} as stored,count(*) as reviewed from facts where game_id%3<>1 or domain<>'note_tags' group by 1)
+select c.domain,c.uncovered,case when h.stored is null then 'missing' when h.stored=c.now then 'confirmed' else 'stale' end as confirmation,case when c.uncovered=0 then 'ok' when h.stored=c.now and h.reviewed=c.candidates then 'warning' else 'error' end as decision from c left join h on h.domain=c.domain""".replace("with c as", "select * from (with c as") + ")")
 def a26_review_decision(spark, sf):
     f, _, t = _all(spark, sf)
-    c = f.join(t.select(*scope.IDENTITY, F.lit(True).alias("t")), scope.IDENTITY, "left").groupBy("domain").agg(F.count_if(F.col("t").isNull()).alias("uncovered"))
-    h = R.hits(spark, sf).where("not extractable").groupBy("domain").agg(F.count("*").alias("reviewed"))
-    return c.join(h, "domain", "left").select("domain", "uncovered", F.when(F.col("uncovered") == 0, "ok").when(F.col("reviewed").isNotNull(), "warning").otherwise("error").alias("decision"))
+    covered = f.join(t.select(*scope.IDENTITY, F.lit(True).alias("t")), scope.IDENTITY, "left").groupBy("domain").agg(F.count_if(F.col("t").isNull()).alias("uncovered"))
+    now = scope.set_fingerprint(f, ["domain"], "fact_id").select("domain", F.col("n").alias("candidates"), F.col("fingerprint").alias("now"))
+    stored = scope.set_fingerprint(f.where("game_id % 3 <> 1 or domain <> 'note_tags'"), ["domain"], "fact_id").select("domain", F.col("n").alias("reviewed"), F.col("fingerprint").alias("stored"))
+    j = covered.join(now, "domain").join(stored, "domain", "left")
+    same = F.coalesce(F.col("stored") == F.col("now"), F.lit(False))
+    return j.select(
+        "domain", "uncovered", F.when(F.col("stored").isNull(), "missing").when(same, "confirmed").otherwise("stale").alias("confirmation"),
+        F.when(F.col("uncovered") == 0, "ok").when(same & (F.col("reviewed") == F.col("candidates")), "warning").otherwise("error").alias("decision"),
+    )
 
 
 @query("select * from (select game_id,location_path,domain,fact_id from facts qualify row_number() over (partition by game_id,location_path order by domain,raw_text,fact_id)=1)")
@@ -299,13 +341,14 @@ def w04_first_row_per_place(spark, sf):
 
 @query("select fact_id,row_number() over (partition by translatable_hash,item_type,speaker order by fact_id)=1 as representative from facts")
 def w05_first_seen_dedup(spark, sf):
-    w = Window.partitionBy("translatable_hash", "item_type", "speaker").orderBy("fact_id")
-    return R.facts(spark, sf).select("fact_id", (F.row_number().over(w) == 1).alias("representative"))
+    f = R.facts(spark, sf)
+    first = scope.first_keys(f, ["translatable_hash", "item_type", "speaker"], "fact_id").select("fact_id", F.lit(True).alias("first"))
+    return f.select("fact_id").join(first, "fact_id", "left").select("fact_id", F.coalesce("first", F.lit(False)).alias("representative"))
 
 
 @query("select fact_id,row_number() over (partition by game_id,source_file order by fact_id)::bigint as seq from facts")
 def w07_sequence_ids(spark, sf):
-    return R.facts(spark, sf).select("fact_id", F.row_number().over(Window.partitionBy("game_id", "source_file").orderBy("fact_id")).cast("long").alias("seq"))
+    return sequence.numbered(R.facts(spark, sf).select("game_id", "source_file", "fact_id"), ["game_id", "source_file"], "fact_id", "seq").select("fact_id", "seq")
 
 
 @query("select run_id,total from runs order by started_at desc,run_id desc limit 5")
@@ -320,7 +363,7 @@ def w09_current_scope(spark, sf):
 
 @query("select * from (select speaker,raw_text,fact_id from facts qualify row_number() over (partition by speaker,raw_text order by fact_id)=1)")
 def w10_first_seen_entries(spark, sf):
-    return scope.first_by(R.facts(spark, sf), ["speaker", "raw_text"], [F.col("fact_id")]).select("speaker", "raw_text", "fact_id")
+    return scope.first_keys(R.facts(spark, sf), ["speaker", "raw_text"], "fact_id").select("speaker", "raw_text", "fact_id")
 
 
 @query("select * from (select domain,fact_id,row_number() over (partition by domain order by fact_id)::bigint as rn from facts) where rn<=12")
@@ -370,8 +413,10 @@ def o07_terms_by_length(spark, sf):
 
 @query("select fact_id,row_number() over (partition by game_id,source_file order by location_path desc,fact_id desc)::bigint as write_order from facts")
 def o08_reverse_write_order(spark, sf):
-    w = Window.partitionBy("game_id", "source_file").orderBy(F.desc("location_path"), F.desc("fact_id"))
-    return R.facts(spark, sf).select("fact_id", F.row_number().over(w).cast("long").alias("write_order"))
+    f = R.facts(spark, sf).select("game_id", "source_file", "fact_id", F.concat("location_path", F.lit("\x00"), "fact_id").alias("place"))
+    up = sequence.numbered(f, ["game_id", "source_file"], "place", "up")
+    n = f.groupBy("game_id", "source_file").agg(F.count("*").alias("n"))
+    return up.join(n, ["game_id", "source_file"]).select("fact_id", (F.col("n") - F.col("up") + 1).alias("write_order"))
 
 
 @query("select location_path from tr union select location_path from errors")

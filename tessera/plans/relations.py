@@ -10,14 +10,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.text import NOTE_TAG
 from tessera.operators.scope import latest
+from tessera.session import scratch
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_BUILT: dict[tuple, str] = {}
+
+
+def _version(spark: SparkSession, path: str) -> tuple:
+    """What tells whether the files under ``path`` have changed: their number, bytes and last change."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    s = fs.getContentSummary(p)
+    newest = max([f.getModificationTime() for f in fs.listStatus(p)], default=0)
+    return s.getFileCount(), s.getLength(), newest
+
+
 def items(spark: SparkSession, sf: str) -> DataFrame:
+    """The current items: the stored table of the source's present version, built at the first use. Queries read it with
+    pushed filters and pruned columns, instead of looking for the latest row of every key each time."""
+    source = f"{sf}/translation_items.parquet"
+    key = (spark.sparkContext.applicationId, source, _version(spark, source))
+    if key not in _BUILT:
+        path = scratch(spark, "items")
+        build_items(spark, sf).write.parquet(path)
+        _BUILT[key] = path
+    return spark.read.parquet(_BUILT[key])
+
+
+def build_items(spark: SparkSession, sf: str) -> DataFrame:
     t = latest(table(spark, sf, "translation_items"), ["fact_id"], "loaded_at")
     path = F.translate("location_path", "\\", "/")
     file = F.regexp_extract(path, r"([^/]+\.(?:json|js))", 1)
@@ -63,6 +89,14 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
     return items(spark, sf).select("game_id", "domain", F.col("item_type").alias("rule_key"), "location_path", extractable.alias("extractable"), (f(F.size("source_line_paths"), F.lit(0)) > 0).alias("writable"))
 
 
+def rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules of three domains: selectors of scripts, tags of notes, and command texts by file."""
+    selectors = table(spark, sf, "plugin_source_candidates").select("file_id", "selector", "active").distinct().select(F.lit("plugin_source").alias("domain"), F.concat_ws("|", F.col("file_id").cast("string"), "selector").alias("rule_id"), F.col("active").alias("enabled"))
+    tags = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(NOTE_TAG), F.lit(1))).alias("tag")).distinct().select(F.lit("note_tags").alias("domain"), F.col("tag").alias("rule_id"), (F.col("tag") != "pad").alias("enabled"))
+    commands = items(spark, sf).where("domain = 'event_commands'").select("item_type", "source_file").distinct().select(F.lit("event_commands").alias("domain"), F.concat_ws("|", "source_file", "item_type").alias("rule_id"), (F.col("item_type") != "array").alias("enabled"))
+    return selectors.unionByName(tags).unionByName(commands)
+
+
 #: The same relations for the SQL side, to be put in front of a query.
 VIEWS = {
     "items": r"""select *, replace(location_path,'\','/') as path, regexp_extract(replace(location_path,'\','/'),'([^/]+\.(?:json|js))',1) as source_file,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import controls, javascript
+from tessera.functions import controls, javascript, namebox
 from tessera.functions import json as J
 from tessera.functions import text as X
 from tessera.operators import sequence
@@ -305,14 +305,26 @@ def a13_language_probe(spark, sf):
     return counts.select("game_id", "visible", "ja", "en", "mixed", language.alias("language"), confidence.alias("confidence"))
 
 
-NAME = "^【([^【】]+)】|^([^\\s「」]{1,20})「"
+BOXES = [
+    namebox.Rule("bracket", r"【(?P<who>[^【】]+)】(?P<said>[^「」]*)", "who", "said", "translate", "【{speaker}】{body}"),
+    namebox.Rule("quote", r"(?P<who>[^\s「」【】\\]{1,20})「(?P<said>.*)」", "who", "said", "translate", "{speaker}「{body}」"),
+    namebox.Rule("actor", r"(?P<who>\\[Nn]\[\d+\])(?P<said>「.*」)", "who", "said", "actor_name", "{speaker}{body}"),
+    namebox.Rule("speech", r"(?P<who>[^\s「」【】\\]+)「(?P<said>[^」]*[!！])」", "who", "said", "keep", "{speaker}「{body}」"),
+]
+#: The first lines of messages and what the rules make of them, for the SQL side.
+BOXED = r"""(select fact_id,path,case when b then 'bracket' when q and x then 'quote|speech' when q then 'quote' when a then 'actor' else 'speech' end as rule,case when b then regexp_extract(t,'^【([^【】]+)】',1) when a then regexp_extract(t,'^(\\[Nn]\[[0-9]+\])',1) else regexp_extract(t,'^([^「]+)「',1) end as who,
+ case when b then regexp_extract(t,'^【[^【】]+】(.*)$',1) when a then regexp_extract(t,'^\\[Nn]\[[0-9]+\](.*)$',1) else regexp_extract(t,'^[^「]+「(.*)」$',1) end as said,q and x as conflict,a as actor from (select fact_id,path,t,regexp_full_match(t,'【([^【】]+)】([^「」]*)') as b,regexp_full_match(t,'([^\s「」【】\\]{1,20})「(.*)」') as q,regexp_full_match(t,'(\\[Nn]\[[0-9]+\])(「.*」)') as a,regexp_full_match(t,'([^\s「」【】\\]+)「([^」]*[!！])」') as x
+ from (select fact_id,path,regexp_replace(split_part(raw_text,chr(10),1),'^[\s\p{Z}]+|[\s\p{Z}]+$','','g') as t from items)) where b or q or a or x)"""
 
 
-@query(r"select fact_id,coalesce(nullif(regexp_extract(raw_text,'^【([^【】]+)】',1),''),nullif(regexp_extract(raw_text,'^([^\s「」]{1,20})「',1),'')) as name from items where regexp_matches(raw_text,'^【([^【】]+)】|^([^\s「」]{1,20})「')")
-def x40_name_box(spark, sf):
-    t = F.col("raw_text")
-    name = F.coalesce(F.nullif(F.regexp_extract(t, "^【([^【】]+)】", 1), F.lit("")), F.nullif(F.regexp_extract(t, r"^([^\s「」]{1,20})「", 1), F.lit("")))
-    return R.items(spark, sf).where(t.rlike(NAME)).select("fact_id", name.alias("name"))
+def _boxes(spark: SparkSession, sf: str) -> DataFrame:
+    first = R.items(spark, sf).select("fact_id", F.substring_index("raw_text", "\n", 1).alias("line"))
+    return namebox.boxes(first, "fact_id", "line", BOXES, {1: "Harold"})
+
+
+@query(f"""select fact_id,rule,case when conflict then 'rules_conflict' when actor and who not in ('\\N[1]','\\n[1]') then 'actor_unknown' end as error,case when conflict or (actor and who not in ('\\N[1]','\\n[1]')) then null when actor then 'Harold' when trim(said)<>'' then rtrim(rtrim(trim(who),':：')) else trim(who) end as speaker from {BOXED}""")
+def x40_name_boxes(spark, sf):
+    return _boxes(spark, sf).select(F.col("key").alias("fact_id"), "rule", "error", "speaker")
 
 
 @query(f"select doc_id,regexp_extract(tag,{_q(X.NOTE_TAG)},1) as tag,nullif(regexp_extract(tag,{_q(X.NOTE_TAG)},2),'') as value from (select doc_id,unnest(regexp_extract_all(text,{_q(X.NOTE_TAG)})) as tag from documents)")
@@ -355,9 +367,16 @@ def x55_token_estimate(spark, sf):
     return R.items(spark, sf).select("fact_id", F.floor(F.length("raw_text") / F.lit(3.5)).alias("tokens"))
 
 
-@query("select fact_id,concat('[',item_type,'] ',case when speaker='' then '' else concat(speaker,': ') end,raw_text) as block from items")
+_BLOCK = "'## '||{0}||chr(10)||chr(10)||'id: '||{0}||chr(10)||'type: '||item_type||chr(10)||'role: '||coalesce(role,'')||chr(10)||case when item_type='array' then 'line_count: '||coalesce(len(original_lines),0)::varchar||chr(10) else '' end||chr(10)||{1}||chr(10)||chr(10)"
+
+
+def _block(number, text):
+    return X.prompt_block(number, F.col("item_type"), F.col("role"), text, F.coalesce(F.size("original_lines"), F.lit(0)))
+
+
+@query(f"select fact_id,{_BLOCK.format(chr(39) + '1' + chr(39), 'raw_text')} as block from items")
 def x56_prompt_block(spark, sf):
-    return R.items(spark, sf).select("fact_id", F.concat(F.lit("["), F.col("item_type"), F.lit("] "), F.when(F.col("speaker") == "", "").otherwise(F.concat("speaker", F.lit(": "))), F.col("raw_text")).alias("block"))
+    return R.items(spark, sf).select("fact_id", _block(F.lit("1"), F.col("raw_text")).alias("block"))
 
 
 @query(r"select distinct translate(location_path,'\/:*?','_____') as name from items")
@@ -432,8 +451,13 @@ def u07_extra_controls(spark, sf):
     return R.items(spark, sf).select("fact_id", F.size(F.array_except(a, o)).cast("long").alias("extra"), (F.array_sort(a) == F.array_sort(o)).alias("same"))
 
 
-POS = "try_cast(regexp_extract(path,'/([0-9]+)$',1) as bigint)"
-MSG = f"(select game_id,regexp_replace(path,'/[^/]*$','') as list_key,{POS} as pos,speaker,raw_text,item_type,fact_id from items where regexp_matches(path,'^(Map[0-9]+|Troops)\\.json/[0-9]+/[0-9]+/[0-9]+$') qualify row_number() over (partition by game_id,list_key,pos order by fact_id)=1)"
+_CLEAN = "regexp_replace(replace(trim(location_path,' '),'\\','/'),'/+','/','g')"
+_PART = "regexp_extract(clean,'(?i)^(?:.*/)?(map[0-9]+|troops|commonevents)\\.json((?:/[0-9]+)+)/([^/]*)$',{0})"
+#: The command rows for the SQL side: paths of any folder and spelling, the list they belong to and their position.
+MSG = f"""(select game_id,case when stem like 'map%' then 'Map'||substr(stem,4) when stem='troops' then 'Troops' else 'CommonEvents' end||'.json'||middle as list_key,pos,speaker,raw_text,item_type,fact_id,{{'p':pos,'f':fact_id}} as place
+ from (select *,lower({_PART.format(1)}) as stem,{_PART.format(2)} as middle,try_cast(case when regexp_matches(trim({_PART.format(3)},' '),'^[0-9]+$') then trim({_PART.format(3)},' ') end as bigint) as pos from (select *,{_CLEAN} as clean from items))
+ where stem<>'' and pos is not null and length(middle)-length(replace(middle,'/',''))=case when stem='commonevents' then 1 else 2 end)"""
+_SEEN = "over (partition by game_id,list_key order by pos,fact_id rows between unbounded preceding and current row)"
 
 
 _COMMAND = r"(?i)^(?:.*/)?(map[0-9]+|troops|commonevents)\.json((?:/[0-9]+)+)/([^/]*)$"
@@ -455,18 +479,20 @@ def _messages(spark: SparkSession, sf: str) -> DataFrame:
     return _commands(R.items(spark, sf)).select("game_id", "list_key", "pos", "speaker", "raw_text", "item_type", "fact_id")
 
 
-@query(f"""select game_id,list_key,block,count(*) as n,string_agg(raw_text,chr(10) order by pos) as lines from (select *,last_value(case when speaker<>'' then pos end ignore nulls) over (partition by game_id,list_key order by pos rows between unbounded preceding and current row) as block from {MSG}) where block is not null group by all""")
+@query(f"""select game_id,list_key,opened.p as block,count(*) as n,string_agg(raw_text,chr(10) order by pos,fact_id) as lines from (select *,last_value(case when speaker<>'' and item_type<>'array' then place end ignore nulls) {_SEEN} as opened,last_value(case when item_type='array' then place end ignore nulls) {_SEEN} as closed from {MSG} where length(trim(raw_text,' '))>0 or item_type='array')
+ where item_type<>'array' and opened is not null and (closed is null or closed<opened) group by game_id,list_key,opened""")
 def w01_dialogue_blocks(spark, sf):
-    m = _messages(spark, sf).withColumn("opens", F.col("speaker") != "")
-    return sequence.stitch(m, ["game_id", "list_key"], "pos", "opens", "raw_text", tie="fact_id")
+    m = _messages(spark, sf).withColumn("choice", F.col("item_type") == "array")
+    m = m.where((F.length(F.trim("raw_text")) > 0) | F.col("choice")).withColumn("opens", (F.col("speaker") != "") & ~F.col("choice"))
+    return sequence.stitch(m, ["game_id", "list_key"], "pos", "opens", "raw_text", closes="choice", tie="fact_id")
 
 
-@query(f"""select game_id,list_key,min(pos) as first,max(pos) as last,count(*) as n from (select *,pos-row_number() over (partition by game_id,list_key order by pos) as run from {MSG} where item_type='long_text') group by game_id,list_key,run""")
+@query(f"""select game_id,list_key,min(pos) as first,max(pos) as last,count(*) as n from (select *,pos-dense_rank() over (partition by game_id,list_key order by pos) as run from {MSG} where item_type='long_text') group by game_id,list_key,run""")
 def w02_consecutive_runs(spark, sf):
     return sequence.islands(_messages(spark, sf), ["game_id", "list_key"], "pos", "item_type = 'long_text'")
 
 
-@query(f"""select game_id,list_key,pos,anchor from (select *,row_number() over (partition by game_id,list_key,anchor order by pos)-1 as step from (select *,last_value(case when speaker<>'' then pos end ignore nulls) over (partition by game_id,list_key order by pos rows between unbounded preceding and current row) as anchor from {MSG}) where anchor is not null) where pos-anchor=step and step>0""")
+@query(f"""select game_id,list_key,pos,anchor.p as anchor from (select *,dense_rank() over (partition by game_id,list_key,anchor order by pos)-1 as step,row_number() over (partition by game_id,list_key,anchor order by pos,fact_id) as nth from (select *,last_value(case when speaker<>'' then place end ignore nulls) {_SEEN} as anchor from {MSG}) where anchor is not null) where pos-anchor.p=step and nth>1""")
 def w03_following_lines(spark, sf):
     return sequence.following(_messages(spark, sf), ["game_id", "list_key"], "pos", F.col("speaker") != "", tie="fact_id").select("game_id", "list_key", "pos", "anchor")
 
@@ -476,10 +502,17 @@ def a16_lines_by_speaker(spark, sf):
     return sequence.numbered(_messages(spark, sf).where("speaker <> ''"), ["speaker"], "fact_id", "seq").select("speaker", "seq", "fact_id", F.col("raw_text").alias("line"))
 
 
-@query(None)
+@query(f"""with recursive o as (select game_id,source_file,fact_id,role,length({_BLOCK.format("''", _masked('raw_text'))}) as size,row_number() over (partition by game_id,source_file order by fact_id) as n from items where game_id is not null and source_file is not null),
+r as (select game_id,source_file,fact_id,n,0 as batch,1 as sequence,size+2 as total,(size+2)//2>=300 as full_,(size+2)//2>=300 and (role is null or role='旁白') as closed,role as speaker,5 as remaining from o where n=1
+ union all select game_id,source_file,fact_id,n,batch+fresh::int,seq,total,full_ or total//2>=300,case when full_ then closed_ else total//2>=300 and nobody end,case when full_ then speaker else role end,case when full_ then remaining-1 else 5 end from (
+ select *,case when fresh then 1 else sequence+1 end as seq,case when fresh then size else total_+size end+2*length((case when fresh then 1 else sequence+1 end)::varchar) as total,was_full and not fresh as full_,closed_ and not fresh as closed__ from (
+ select o.game_id,o.source_file,o.fact_id,o.n,o.role,o.size,r.batch,r.sequence,r.total as total_,r.full_ as was_full,r.closed as closed_,r.speaker,r.remaining,(o.role is null or o.role='旁白') as nobody,r.closed or (r.full_ and not (r.remaining>0 and (o.role is null or o.role='旁白' or coalesce(o.role=r.speaker,false)))) as fresh from r join o on o.game_id=r.game_id and o.source_file=r.source_file and o.n=r.n+1)))
+select fact_id,batch,sequence from r""".replace("with recursive o as", "select * from (with recursive o as") + ")")
 def w06_context_batches(spark, sf):
-    i = R.items(spark, sf).select("game_id", "source_file", "fact_id", "speaker", F.length("raw_text").alias("size"))
-    return sequence.batches(i, ["game_id", "source_file"], "fact_id", "size", 3584, 5, "speaker").select("fact_id", "batch", "sequence")
+    masked = controls.masked_rows(R.items(spark, sf)).select(F.col("key").alias("fact_id"), "masked")
+    i = R.items(spark, sf).where("game_id is not null and source_file is not null").join(masked, "fact_id")
+    sized = i.select("game_id", "source_file", "fact_id", "role", F.length(_block(F.lit(""), F.col("masked"))).alias("size"))
+    return sequence.batches(sized, ["game_id", "source_file"], "fact_id", "size", "role", 300, 2.0, 5).select("fact_id", "batch", "sequence")
 
 
 @query(None)
