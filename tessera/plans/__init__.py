@@ -1,5 +1,5 @@
 """Queries over the tables of TESTDATA.md, grouped like the operators."""
 
-from tessera.plans import formats, projects, relational, textual
+from tessera.plans import folders, formats, projects, relational, textual
 
-MODULES = [relational, textual, projects, formats]
+MODULES = [relational, textual, projects, formats, folders]

@@ -33,23 +33,6 @@ def query(oracle: str | None = None):
     return add
 
 
-STANDARD = "^(" + "|".join(files.STANDARD) + r"|Map[0-9]+)\.json$"
-
-
-@query(f"select distinct source_file from items where regexp_matches(source_file,{_q(STANDARD)})")
-def s01_standard_files(spark, sf):
-    return R.items(spark, sf).where(F.col("source_file").rlike(STANDARD)).select("source_file").distinct()
-
-
-@query("select distinct source_file from items where source_file in ('System.json','Extra.json')")
-def s02_files_named_by_rules(spark, sf):
-    rules = spark.createDataFrame([("System.json",), ("Extra.json",)], "source_file string")
-    return R.items(spark, sf).join(rules, "source_file", "left_semi").select("source_file").distinct()
-
-
-@query("select lower(regexp_extract(path,'(?i)^(?:\\./)?(www/data|data)/+',1)) as root,count(*) as n from items group by 1")
-def s05_content_roots(spark, sf):
-    return R.items(spark, sf).groupBy(F.lower(F.regexp_extract("path", r"(?i)^(?:\./)?(www/data|data)/+", 1)).alias("root")).agg(F.count("*").alias("n"))
 
 
 @query("select fact_id,raw_hash from facts")
@@ -109,11 +92,6 @@ def k04_replaced_runs(spark, sf):
     return spark.read.parquet(path).select(F.col("run_id").cast("long").alias("run_id"), "fact_id", "error_type")
 
 
-@query("select to_json({'domain':domain,'n':count(*)})::varchar as line from facts group by domain")
-def k09_report_lines(spark, sf):
-    return R.facts(spark, sf).groupBy("domain").agg(F.count("*").alias("n")).select(F.to_json(F.struct("domain", "n")).alias("line"))
-
-
 @query("select fact_id,strpos(raw_text,'\\C[')-1 as start,strpos(raw_text,'\\C[')-1<=length(raw_text)//2 and strpos(raw_text,'\\C[')+2<=length(raw_text)//2 as covered from items where contains(raw_text,'\\C[')")
 def j23_covered_candidates(spark, sf):
     i = R.items(spark, sf).where(F.contains(F.col("raw_text"), F.lit("\\C["))).select("fact_id", "raw_text", (F.instr("raw_text", "\\C[") - 1).cast("long").alias("start"))

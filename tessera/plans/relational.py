@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import scope, sequence
 from tessera.plans import relations as R
 from tessera.plans.relations import sql
+from tessera.streaming import runs
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -294,10 +295,22 @@ def a22_enabled_rule_counts(spark, sf):
     return R.rules(spark, sf).groupBy("domain").agg(F.count_if("enabled").alias("enabled"), F.count("*").alias("n"))
 
 
-@query("select game_id%10 as run_id,count(*) as sent,count_if(length(trim(answer,' '))>0)::bigint as completed,count_if(answer<>raw_text and length(trim(answer,' '))>0)::bigint as succeeded,count_if(answer=raw_text)::bigint as failed from items group by 1")
+@query("""select run_id,count(*) as batches,sum(n)::bigint as sent,sum(good)::bigint as succeeded,sum(case when fate=1 then n when fate=0 then n-good else 0 end)::bigint as failed,sum(case when fate=2 then n else 0 end)::bigint as retryable,count_if(good=0)::bigint as failed_batches
+ from (select *,case when fate=0 then told else 0 end as good from (select game_id%10 as run_id,game_id,case when game_id%7=1 then 1 when game_id%7=2 then 2 else 0 end as fate,count(*) as n,count_if(raw_text<>'') as told from items where game_id is not null group by 1,2,3)) group by 1""")
 def a23_run_counters(spark, sf):
-    done = F.length(F.trim("answer")) > 0
-    return R.items(spark, sf).groupBy((F.col("game_id") % 10).alias("run_id")).agg(F.count("*").alias("sent"), F.count_if(done).alias("completed"), F.count_if((F.col("answer") != F.col("raw_text")) & done).alias("succeeded"), F.count_if(F.col("answer") == F.col("raw_text")).alias("failed"))
+    i = R.items(spark, sf).where("game_id is not null").select(F.col("game_id").alias("batch_id"), "fact_id", F.array("raw_text").alias("lines"), (F.col("game_id") % 7).alias("fate"))
+    marked = i.withColumn("lines", F.concat(F.array(F.col("fate").cast("string")), "lines"))
+
+    def translate(rows: list[dict]) -> list[dict]:
+        fate = rows[0]["lines"][0]
+        if fate == "1":
+            raise ValueError("refused")
+        if fate == "2":
+            raise runs.Recoverable("busy")
+        return [{"id": r["id"], "translation_lines": ["译"]} for r in rows if r["lines"][1]]
+
+    done = runs.dispatch(marked, translate)
+    return runs.counters(done.withColumn("run_id", F.col("batch_id") % 10))
 
 
 @query("select domain,count(*) as n,sum(('0x'||substr(sha256(fact_id),1,15))::bigint)::varchar as fingerprint from facts group by 1")

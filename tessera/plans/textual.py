@@ -408,36 +408,6 @@ def s14_scan_with_cache(spark, sf):
     return javascript.with_cache(files, cached, javascript.string_literals).select("file_id", "start_index", "raw_text")
 
 
-@query(f"select game_id,file_name as name,file_id%3<>0 as enabled from {FILES} where file_name is not null and game_id is not null")
-def s03_plugins_array(spark, sf):
-    f = _files(spark, sf).where("file_name is not null and game_id is not null")
-    js = f.groupBy("game_id").agg(F.concat(F.lit("var $plugins =\n"), F.to_json(F.collect_list(F.struct(F.col("file_name").alias("name"), (F.col("file_id") % 3 != 0).alias("status")))), F.lit(";\n")).alias("text"))
-    array = F.regexp_extract("text", r"(?s)var\s+\$plugins\s*=\s*(\[.*\])\s*;", 1)
-    rows = js.select("game_id", F.explode(F.from_json(array, "array<struct<name:string,status:boolean>>")).alias("p"))
-    return rows.select("game_id", F.col("p.name").alias("name"), F.col("p.status").alias("enabled"))
-
-
-@query(f"select file_id from {FILES} where file_id%3<>0")
-def s04_enabled_sources(spark, sf):
-    f = _files(spark, sf)
-    return f.join(f.where("file_id % 3 <> 0").select("file_id"), "file_id", "left_semi").select("file_id")
-
-
-@query("select fact_id,location_path from items where regexp_matches(path,'/note(/|$)')")
-def s12_note_sources(spark, sf):
-    return R.items(spark, sf).where(F.col("path").rlike("/note(/|$)")).select("fact_id", "location_path")
-
-
-@query("select distinct game_id from translation_items")
-def s15_game_registry(spark, sf):
-    return R.table(spark, sf, "translation_items").select("game_id").distinct()
-
-
-@query("select fact_id,raw_text from items where item_type<>'array' and trim(raw_text,' ')<>''")
-def s16_visible_texts(spark, sf):
-    return R.items(spark, sf).where((F.col("item_type") != "array") & (F.trim("raw_text") != "")).select("fact_id", "raw_text")
-
-
 @query("select fact_id,count(*) as tokens,count(distinct marker) as kinds from (select fact_id,unnest(regexp_extract_all(raw_text,'\\\\[A-Za-z]+\\[[0-9]+\\]')) as marker from items) group by 1".replace("\\\\\\\\", "\\\\"))
 def a20_token_counts(spark, sf):
     m = R.items(spark, sf).select("fact_id", F.explode(F.regexp_extract_all("raw_text", F.lit(r"\\[A-Za-z]+\[[0-9]+\]"), F.lit(0))).alias("marker"))

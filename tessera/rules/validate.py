@@ -153,5 +153,23 @@ def accepted(rules: DataFrame) -> DataFrame:
 
 
 def plan_token(rules: DataFrame) -> DataFrame:
-    """A fingerprint per domain; a commit whose token differs from the stored rules' is refused as stale."""
-    return rules.groupBy("domain").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("payload", 256))), "|"), 256).alias("token"))
+    """A fingerprint per domain, whatever the order of its rules; a commit whose token differs from the stored
+    rules' is refused as stale."""
+    part = F.conv(F.substring(F.sha2("payload", 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    return rules.groupBy("domain").agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.sum(part).cast("string")), 256).alias("token"))
+
+
+def prepare(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """K06, first phase: for every domain of ``new`` the token of what is stored of it now (null for none), and the number
+    of violations."""
+    domains = new.select("domain").distinct()
+    bad = violations(new).groupBy("domain").agg(F.count("*").alias("violations"))
+    return domains.join(plan_token(stored), "domain", "left").join(bad, "domain", "left").na.fill(0, ["violations"])
+
+
+def commit(stored: DataFrame, new: DataFrame, plan: DataFrame) -> DataFrame:
+    """K06, second phase: the stored rules with each domain of the plan replaced as a whole by its new rules, where the
+    plan has no violation and its token is still that of the stored rules; all other domains stay as they are."""
+    now = plan_token(stored).withColumnRenamed("token", "now")
+    taken = plan.where("violations = 0").join(now, "domain", "left").where(F.col("token").eqNullSafe(F.col("now"))).select("domain")
+    return stored.join(taken, "domain", "left_anti").unionByName(new.join(taken, "domain", "left_semi"))

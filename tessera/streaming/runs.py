@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import remove, scratch
+
 
 class Recoverable(Exception):
     """A failure worth another try (rate limit, timeout, connection, server)."""
@@ -47,47 +49,61 @@ class Pace:
 RESULT = "batch_id long, fact_id string, translation_lines array<string>, error string"
 
 
-def dispatch(batches: DataFrame, translate: Callable, per_minute: float | None = None, attempts: int = 3, delay: float = 0.0) -> DataFrame:
-    """Rows ``(batch_id, fact_id, lines)``, all rows of a batch in one task -> results; partitions bound the
-    concurrency. A batch with unknown, missing or repeated ids fails as a whole (J22)."""
-    tasks = batches.rdd.getNumPartitions() if per_minute else 1
+def dispatch(batches: DataFrame, translate: Callable, per_minute: float | None = None, attempts: int = 3, delay: float = 0.0, tasks: int | None = None) -> DataFrame:
+    """Rows ``(batch_id, fact_id, lines)`` -> results. Each batch is one call: its rows are brought to one task (of
+    ``tasks``, by default the session's shuffle partitions, which bound the concurrency) and sorted together, and a task
+    holds one batch at a time. A batch with unknown, missing or repeated ids fails as a whole (J22)."""
+    n = tasks or int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def send(bid, ids: list, lines: list, pace: Pace | None) -> list[tuple]:
+        error, answers = None, {}
+        try:
+            if pace:
+                pace.wait()
+            ask = [{"id": i, "lines": list(x)} for i, x in zip(ids, lines, strict=True)]
+            got = with_retry(lambda: translate(ask), attempts, delay)
+            known = set(ids)
+            answers = {x["id"]: x["translation_lines"] for x in got if x["id"] in known}
+            if len([x for x in got if x["id"] in answers]) != len(answers):
+                error, answers = "duplicate_id", {}
+        except Recoverable as e:
+            error = f"recoverable: {e}"
+        except Exception as e:  # noqa: BLE001 - a translator's failure is a row, not a failed job
+            error = f"fatal: {e}"
+        return [(bid, i, answers.get(i), None if i in answers else error or "missing_id") for i in ids]
 
     def step(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pace = Pace(per_minute, tasks) if per_minute else None
+        pace = Pace(per_minute, n) if per_minute else None
+        held, ids, lines = None, [], []
+        out = lambda rows: pd.DataFrame(rows, columns=["batch_id", "fact_id", "translation_lines", "error"])
         for b in parts:
-            rows = []
             for bid, g in b.groupby("batch_id", sort=False):
-                ids = g["fact_id"].tolist()
-                error, answers = None, {}
-                try:
-                    if pace:
-                        pace.wait()
-                    ask = [{"id": i, "lines": list(x)} for i, x in zip(ids, g["lines"], strict=True)]
-                    got = with_retry(lambda ask=ask: translate(ask), attempts, delay)
-                    answers = {x["id"]: x["translation_lines"] for x in got if x["id"] in set(ids)}
-                    if len([x for x in got if x["id"] in answers]) != len(answers):
-                        error, answers = "duplicate_id", {}
-                except Recoverable as e:
-                    error = f"recoverable: {e}"
-                except Exception as e:  # noqa: BLE001 - a translator's failure is a row, not a failed job
-                    error = f"fatal: {e}"
-                rows += [(bid, i, answers.get(i), None if i in answers else error or "missing_id") for i in ids]
-            yield pd.DataFrame(rows, columns=["batch_id", "fact_id", "translation_lines", "error"])
-
-    return batches.select("batch_id", "fact_id", "lines").mapInPandas(step, RESULT)
+                if ids and bid != held:
+                    yield out(send(held, ids, lines, pace))
+                    ids, lines = [], []
+                held = bid
+                ids += g["fact_id"].tolist()
+                lines += g["lines"].tolist()
+        if ids:
+            yield out(send(held, ids, lines, pace))
+
+    whole = batches.where("batch_id is not null").select("batch_id", "fact_id", "lines").repartition(n, "batch_id").sortWithinPartitions("batch_id")
+    return whole.mapInPandas(step, RESULT)
 
 
 def run(spark: SparkSession, pending: DataFrame, translate: Callable, save: Callable[[DataFrame], None], slices: int = 4, stop_rate: float = 0.5, time_limit: float | None = None) -> dict:
-    """Dispatch the pending batches slice by slice; after each slice its results are saved, and the run
-    stops when failed / processed reaches ``stop_rate`` or time is up. Returns the run's counters."""
+    """Dispatch the pending batches slice by slice; the results of a slice are written once, so that no
+    later step calls the translator again, then saved, and the run stops when failed / processed reaches ``stop_rate``
+    or time is up. Returns the run's counters."""
     state = {"sent": 0, "succeeded": 0, "failed": 0, "stop_reason": "finished"}
     began = time.monotonic()
     for k in range(slices):
-        part = pending.where(F.pmod(F.col("batch_id"), F.lit(slices)) == k)
-        done = dispatch(part, translate).cache()
+        path = scratch(spark, "results")
+        dispatch(pending.where(F.pmod(F.col("batch_id"), F.lit(slices)) == k), translate).write.parquet(path)
+        done = spark.read.parquet(path)
         save(done)
         r = done.agg(F.count("*").alias("n"), F.count_if(F.col("error").isNotNull()).alias("bad")).head()
-        done.unpersist()
+        remove(spark, path)
         state["sent"] += r["n"]
         state["failed"] += r["bad"]
         state["succeeded"] += r["n"] - r["bad"]
@@ -100,6 +116,15 @@ def run(spark: SparkSession, pending: DataFrame, translate: Callable, save: Call
     return state
 
 
+def counters(results: DataFrame) -> DataFrame:
+    """Per run its batches and rows: sent, succeeded, failed for good, worth another try, and batches that failed as
+    a whole. Results with ``run_id``."""
+    bad = F.col("error").isNotNull()
+    again = F.coalesce(F.col("error").startswith("recoverable"), F.lit(False))
+    batch = results.groupBy("run_id", "batch_id").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.count_if(again).alias("again"))
+    return batch.groupBy("run_id").agg(F.count("*").alias("batches"), F.sum("n").alias("sent"), (F.sum("n") - F.sum("bad")).alias("succeeded"), (F.sum("bad") - F.sum("again")).alias("failed"), F.sum("again").alias("retryable"), F.count_if(F.col("bad") == F.col("n")).alias("failed_batches"))
+
+
 def rebuild_reasons(stored: DataFrame, current: DataFrame) -> DataFrame:
     """Why an index must be rebuilt: one row ``(index_key, reason)`` of the stored against the current
     fingerprints (``source_hash``, ``rules_hash``, ``item_count``)."""

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.functions import controls, javascript, layout
+from tessera.functions import controls, javascript, layout, namebox
 from tessera.functions import json as J
 from tessera.functions import text as X
 from tessera.operators import scope, sequence, terms
@@ -195,9 +195,63 @@ def test_session_helpers(spark):
 
 
 def test_batches(spark):
-    df = spark.createDataFrame([(1, i, 40, "A" if i < 4 else "B") for i in range(6)], "g int, i int, size int, who string")
-    got = {r.i: (r.batch, r.sequence) for r in sequence.batches(df, ["g"], "i", "size", 80, 1, "who").collect()}
-    assert got == {0: (0, 1), 1: (0, 2), 2: (0, 3), 3: (1, 1), 4: (1, 2), 5: (1, 3)}
+    fold = lambda rows, extend: {r.i: (r.batch, r.sequence) for r in sequence.batches(spark.createDataFrame(rows, "g int, i int, size int, who string"), ["g"], "i", "size", "who", 80, 1.0, extend).collect()}
+    # a full batch takes nobody's rows and those of its last speaker, as many as it may
+    rows = [(1, 0, 40, "A"), (1, 1, 40, "A"), (1, 2, 1, None), (1, 3, 1, "旁白"), (1, 4, 1, "A"), (1, 5, 1, "A"), (1, 6, 90, "B"), (1, 7, 1, "C"), (1, 8, 90, None), (1, 9, 1, None), (2, 0, 1, "A")]
+    got = fold(rows[:-1], 3)
+    assert got == {0: (0, 1), 1: (0, 2), 2: (0, 3), 3: (0, 4), 4: (0, 5), 5: (1, 1), 6: (1, 2), 7: (2, 1), 8: (2, 2), 9: (3, 1)}
+    # a blank role is a speaker of its own, and a narrated row that fills a batch closes it
+    assert fold([(1, 0, 90, ""), (1, 1, 1, ""), (1, 2, 1, "A"), (1, 3, 90, "旁白"), (1, 4, 1, "旁白")], 5) == {0: (0, 1), 1: (0, 2), 2: (1, 1), 3: (1, 2), 4: (2, 1)}
+    with pytest.raises(ValueError):
+        fold(rows, 0)
+
+
+def test_batches_are_dispatched_whole(spark):
+    # rows of a batch lie in several Arrow batches and partitions; each batch is one call
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(100).select((F.col("id") % 4).alias("batch_id"), F.col("id").cast("string").alias("fact_id"), F.array(F.lit("x")).alias("lines")).repartition(5)
+        got = runs.dispatch(df, lambda rows: [{"id": r["id"], "translation_lines": [str(len(rows))]} for r in rows]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 100 and {x for r in got for x in r.translation_lines} == {"25"}
+
+
+def test_two_phase_import(spark):
+    kind = "domain string, rule_index long, payload string"
+    ok, bad = '{"code":101,"paths":["a"]}', "{}"
+    stored = spark.createDataFrame([("event_commands", 1, ok), ("note_tags", 2, '{"file_name":"a","tags":["b"]}')], kind)
+    new = spark.createDataFrame([("event_commands", 5, ok), ("event_commands", 6, ok)], kind)
+    plan = validate.prepare(stored, new)
+    assert [(r.violations, r.token is None) for r in plan.collect()] == [(0, False)]
+    after = validate.commit(stored, new, plan)
+    assert sorted(r.rule_index for r in after.collect()) == [2, 5, 6]
+    assert sorted(r.rule_index for r in validate.commit(after, stored.where("domain = 'event_commands'"), plan).collect()) == [2, 5, 6]
+    broken = new.withColumn("payload", F.lit(bad))
+    assert sorted(r.rule_index for r in validate.commit(stored, broken, validate.prepare(stored, broken)).collect()) == [1, 2]
+
+
+def test_name_boxes():
+    rules = [namebox.Rule("b", "【(?P<w>[^】]+)】(?P<s>.*)", "w", "s", "translate", "【{speaker}】{body}"), namebox.Rule("c", "(?P<w>[^「】]+)「(?P<s>.*)」", "w", "s"), namebox.Rule("n", r"(?P<w>\\N\[\d+\])(?P<s>)", "w", "s", "actor_name")]
+    name, speaker, source, body, rendered, pieces, error = namebox.take_apart(" 【Ana：】hi ", rules, {})
+    assert (name, speaker, source, body, rendered, error) == ("b", "Ana", "Ana", "hi", "【Ana：】hi", None) and "".join(t for _, t in pieces) == "【Ana：】hi"
+    assert namebox.take_apart("no box", rules, {}) is None and namebox.take_apart("x Ana「hi」 y", rules, {}) is None
+    assert namebox.take_apart("\\N[3]", rules, {3: "Bo"})[1] == "Bo" and namebox.take_apart("\\N[4]", rules, {3: "Bo"})[-1] == "actor_unknown"
+    assert namebox.take_apart("【 】x", rules, {})[-1] == "speaker_empty" and namebox.take_apart("【：】x", rules, {})[-1] == "speaker_empty"
+    assert namebox.take_apart("【A】", rules + [namebox.Rule("d", "【(?P<w>A)】", "w")], {})[-1] == "rules_conflict"
+
+
+def test_structural_masking_keeps_the_check_group(spark):
+    df = spark.createDataFrame([("<b>かな</b> かな",), ("<b> </b>",), ("x",), (None,)], "t string")
+    got = [r[0] for r in df.select(X.mask_structures(F.col("t"), "(<b>)(?P<g>.*?)(</b>)", "g", ["<b>", "</b>"])).collect()]
+    assert got == ["   かな     かな", "<b> </b>", "x", None]
+
+
+def test_glossary_and_answers(spark):
+    asked = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (3, 1)], "b int, p int")
+    given = spark.createDataFrame([(1, 1, "a"), (1, 9, "x"), (2, 1, "a"), (2, 1, "b"), (2, 2, "c"), (3, 9, "d"), (3, 9, "e")], "b int, p int, a string")
+    got = {(r.b, r.p): (r.a, r.error) for r in scope.answers_by_prompt(asked, given, "b", "p").collect()}
+    assert got == {(1, 1): ("a", None), (1, 2): (None, "missing"), (2, 1): (None, "duplicate_prompt"), (2, 2): (None, "duplicate_prompt"), (3, 1): (None, "missing")}
 
 
 def test_latest_and_upsert(spark):
@@ -275,25 +329,30 @@ def test_retry_and_pace():
 
 
 def test_project_files(spark, tmp_path):
-    root = tmp_path / "www"
-    (root / "data").mkdir(parents=True)
-    (root / "js/plugins").mkdir(parents=True)
-    (root / "data/Map001.json").write_text('{"note": "<a:1>", "events": [null]}')
-    (root / "data/Items.json").write_text('[null, {"id": 1, "name": "x"}]')
+    base = tmp_path / "my games"
+    root = base / "G 1" / "www"
+    for folder in ("data", "js/plugins"):
+        (root / folder).mkdir(parents=True)
+    (root / "data/Map001.json").write_text('{"note": "<a:1>", "events": [null, {"note": ""}, {"x": {"note": "<b>"}}]}')
+    (root / "data/Items.json").write_text('[null, {"id": 1, "name": "x", "description": " ", "iconName": "y"}]')
+    (root / "data/Animations.json").write_text("[]")
     (root / "data/Extra.json").write_text("{}")
     (root / "js/plugins.js").write_text('var $plugins =\n[{"name":"A","status":true,"description":"","parameters":{"k":"v"}},{"name":"B","status":false,"description":"","parameters":{}}];\n')
     (root / "js/plugins/A.js").write_text("a('x');")
     (root / "js/plugins/B.js").write_text("b('y');")
-    p = str(tmp_path)
-    assert files.content_root(p) == str(root)
-    std = files.standard_files(spark, p)
-    assert {r.file_name for r in std.collect()} == {"Map001.json", "Items.json"}
-    assert [(r.path, r.value) for r in files.note_sources(std).collect()] == [("$['note']", "<a:1>")]
-    assert [(r.name, r.enabled) for r in files.plugins(spark, p).orderBy("pos").collect()] == [("A", True), ("B", False)]
-    assert [r.file_name for r in files.plugin_sources(spark, p).collect()] == ["A.js"]
+    # a project without www whose untranslated data are kept, and a www with data alone, which is no content root
+    files.write_files(spark.createDataFrame([("G2/data/Items.json", "[1]"), ("G2/data_origin/Items.json", "[2]"), ("G2/data_origin/Skills.json", "[3]"), ("G2/www/data/Armors.json", "[4]")], "path string, text string"), f"file://{base}").count()
+    every = files.project_files(spark, str(base)).cache()
+    std = files.standard_files(every)
+    assert {(r.project, r.file_name, r.text) for r in std.where("project = 'G2'").collect()} == {("G2", "Items.json", "[2]"), ("G2", "Skills.json", "[3]")}
+    assert {r.file_name for r in std.where("project = 'G 1'").collect()} == {"Map001.json", "Items.json", "Animations.json"}
+    assert [(r.path, r.value) for r in files.note_sources(std, "Map*.json").orderBy("path").collect()] == [("$['events'][2]['x']['note']", "<b>"), ("$['note']", "<a:1>")]
+    assert [(r.key, r.path, r.value) for r in files.visible_texts(std, F.col("project")).collect()] == [("G 1", "$[1]['name']", "x")]
+    assert [(r.name, r.enabled) for r in files.plugins(every).orderBy("pos").collect()] == [("A", True), ("B", False)]
+    assert [r.file_name for r in files.plugin_sources(every).collect()] == ["A.js"]
     assert files.snapshot(spark, f"{root}/js/plugins/*.js").count() == 2
-    rules = spark.createDataFrame([("Extra.json",)], "file_name string")
-    assert [r.file_name for r in files.nonstandard_files(spark, p, rules).collect()] == ["Extra.json"]
+    rules = spark.createDataFrame([("G 1", "Extra.json", False, ["x"]), ("G 1", "Items.json", True, ["x"]), ("G 1", "Map001.json", False, [])], "project string, file_name string, skipped boolean, paths array<string>")
+    assert [r.file_name for r in files.nonstandard_files(every, rules).collect()] == ["Extra.json"]
 
 
 def test_versioned_tables_and_runs(spark, tmp_path):
