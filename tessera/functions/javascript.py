@@ -156,9 +156,23 @@ def manifest(files: DataFrame) -> DataFrame:
     return files.select("file_id", F.sha2("source_text", 256).alias("sha256"), F.octet_length("source_text").cast("long").alias("bytes"))
 
 
+#: What a stored scan must have been made with to be used again: of the scanner, the rules and the table.
+VERSIONS = {"scanner_version": 1, "rules_version": 1, "schema_version": 1}
+
+
+def as_cache(scan: DataFrame, files: DataFrame, versions: dict[str, int] | None = None) -> DataFrame:
+    """A scan as it is stored for later: with the hash of its file and the versions it was made with."""
+    marked = scan.join(files.select("file_id", F.sha2("source_text", 256).alias("sha256")), "file_id")
+    return marked.select("*", *[F.lit(v).alias(k) for k, v in {**VERSIONS, **(versions or {})}.items()])
+
+
 def with_cache(files: DataFrame, cache: DataFrame, scan) -> DataFrame:
-    """Scan only files whose hash the cache doesn't hold; ``cache`` has the columns of a scan and ``sha256``."""
+    """Scan only files whose hash the cache doesn't hold under the present versions; ``cache`` as of ``as_cache``."""
     hashed = files.withColumn("sha256", F.sha2("source_text", 256))
-    known = cache.join(hashed.select("file_id", "sha256"), ["file_id", "sha256"], "left_semi").drop("sha256")
-    fresh = scan(hashed.join(cache.select("file_id", "sha256").distinct(), ["file_id", "sha256"], "left_anti"))
+    valid = F.lit(True)
+    for name, v in VERSIONS.items():
+        valid = valid & (F.col(name) == v)
+    own = cache.where(valid).drop(*VERSIONS)
+    known = own.join(hashed.select("file_id", "sha256"), ["file_id", "sha256"], "left_semi").drop("sha256")
+    fresh = scan(hashed.join(own.select("file_id", "sha256").distinct(), ["file_id", "sha256"], "left_anti"))
     return known.select(*fresh.columns).unionByName(fresh)

@@ -47,6 +47,15 @@ def generalise(path: Column) -> Column:
     return F.regexp_replace(path, r"\[[0-9]+\]", "[*]")
 
 
+def matched_templates(leaves: DataFrame, templates: DataFrame) -> DataFrame:
+    """Leaves with the templates ``(template)`` their path fits. They meet where both are equal with all indices as
+    wildcards; an index that a template fixes is then compared."""
+    t = templates.select("template", generalise(F.col("template")).alias("_general"), F.regexp_extract_all("template", F.lit(r"\[([0-9]+|\*)\]"), F.lit(1)).alias("_wanted"))
+    own = leaves.withColumn("_general", generalise(F.col("path"))).withColumn("_has", F.regexp_extract_all("path", F.lit(r"\[([0-9]+|\*)\]"), F.lit(1)))
+    fits = F.forall(F.zip_with("_wanted", "_has", lambda w, h: (w == "*") | (w == h)), lambda x: x)
+    return own.join(t, "_general").where(fits).drop("_general", "_wanted", "_has")
+
+
 def walk(value, path: str = "$", into_strings: bool = False) -> Iterator[tuple[str, str | None, str]]:
     """``(path, text, type)`` of every leaf in document order; with ``into_strings`` strings that hold JSON
     containers are walked into."""

@@ -103,12 +103,16 @@ def gate(facts: DataFrame, index: DataFrame, translations: DataFrame, errors: Da
 
 
 def first_by(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in a total order."""
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rn = 1").drop("_rn")
+    """The first row of each key in the order of ``order`` (nulls first), then of its other columns: a least value,
+    pre-aggregated before the shuffle however often a key occurs."""
+    rest = [c for c in rows.columns if c not in key]
+    least = F.min(F.struct(F.struct(*order).alias("_o"), F.struct(*rest).alias("_r"))).alias("_m")
+    return rows.groupBy(*key).agg(least).select(*key, "_m._r.*").select(*rows.columns)
 
 
 def first_n(rows: DataFrame, key: list[str], order: list[Column], n: int) -> DataFrame:
-    """The first ``n`` rows of each key (a sampling operator: the bound is the feature)."""
+    """The first ``n`` rows of each key (a sampling operator: the bound is the feature). Every task keeps but ``n``
+    rows of a key before the shuffle."""
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("rn") <= n)
 
 

@@ -38,3 +38,10 @@ def tagged_by_rules(hits: DataFrame, rules: DataFrame) -> DataFrame:
     regex = F.concat(F.lit("^"), F.replace(F.regexp_replace("file_pattern", r"[.\\+?^$()\[\]{}|]", r"\\$0"), F.lit("*"), F.lit(".*")), F.lit("$"))
     r = rules.select("rule_id", "tag", regex.alias("file_regex"))
     return hits.join(r, "tag").where(F.expr("file_name rlike file_regex")).drop("file_regex")
+
+
+def commands_by_rules(commands: DataFrame, rules: DataFrame) -> DataFrame:
+    """Commands ``(code, parameters)`` with the rules ``(code, filters: index -> value)`` of their code whose
+    filters all hold; a parameter that isn't there holds for none."""
+    holds = F.forall(F.map_entries("filters"), lambda f: F.coalesce(F.try_element_at(F.col("parameters"), f["key"] + 1) == f["value"], F.lit(False)))
+    return commands.join(rules, "code").where(holds).drop("filters")

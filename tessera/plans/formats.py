@@ -13,7 +13,7 @@ from tessera.functions import json as J
 from tessera.functions import text as X
 from tessera.plans import relations as R
 from tessera.plans.relations import sql
-from tessera.plans.textual import BOXED, FILES, _boxes, _cands, _files, _q, x20_nested_leaves
+from tessera.plans.textual import BOXED, FILES, _boxes, _cands, _files, _masked, _q, x20_nested_leaves
 from tessera.rules import validate
 from tessera.session import scratch
 from tessera.sources import files
@@ -115,6 +115,15 @@ def x08_encoding_problems(spark, sf):
     return i.select("fact_id", X.encoding_problem(F.col("raw_text"), written).alias("problem"))
 
 
+def _spans_udf(rows: DataFrame, custom=(), paired=()) -> DataFrame:
+    def step(batches):
+        for b in batches:
+            out = [(k, t[s:e]) for k, t in zip(b["fact_id"], b["raw_text"], strict=True) for s, e, n, p in controls.all_spans(t or "", custom, paired) if p > 0]
+            yield pd.DataFrame(out, columns=["fact_id", "original"])
+
+    return rows.select("fact_id", "raw_text").mapInPandas(step, "fact_id string, original string")
+
+
 @query("select fact_id,unnest(regexp_extract_all(raw_text,'【[^】]*】')) as original from items")
 def x12_custom_spans(spark, sf):
     return _spans_udf(R.items(spark, sf), custom=[("【[^】]*】", "NAME")])
@@ -122,10 +131,10 @@ def x12_custom_spans(spark, sf):
 
 @query("select fact_id,m as original from (select fact_id,unnest(regexp_extract_all(raw_text,'「[^」]*」')) as x from items),(select unnest(['「','」']) as m)")
 def x13_paired_spans(spark, sf):
-    return _spans_udf(R.items(spark, sf), paired=[("「(?P<text>[^」]*)」", "QUOTE")])
+    return _spans_udf(R.items(spark, sf), paired=[("(?P<a>「)(?P<text>[^」]*)(?P<z>」)", "text", {"a": "QUOTE_OPEN", "z": "QUOTE_CLOSE"})])
 
 
-@query("select fact_id,answer from items where contains(answer,'\\')")
+@query(f"select fact_id,{_masked('answer')} as masked,answer as restored from items where contains(answer,'\\')")
 def x17_masked_answers(spark, sf):
     def step(batches):
         for b in batches:
@@ -133,10 +142,11 @@ def x17_masked_answers(spark, sf):
             for k, o, a in zip(b["fact_id"], b["raw_text"], b["answer"], strict=True):
                 _, known = controls.mask(o)
                 masked, known = controls.mask(a, known=known)
-                out.append((k, controls.restore(masked, known)))
-            yield pd.DataFrame(out, columns=["fact_id", "answer"])
+                out.append((k, masked, controls.restore(masked, known)))
+            yield pd.DataFrame(out, columns=["fact_id", "masked", "restored"])
 
-    return R.items(spark, sf).where(F.contains(F.col("answer"), F.lit("\\"))).select("fact_id", "raw_text", "answer").mapInPandas(step, "fact_id string, answer string")
+    rows = R.items(spark, sf).where(F.contains(F.col("answer"), F.lit("\\")))
+    return rows.select("fact_id", "raw_text", "answer").mapInPandas(step, "fact_id string, masked string, restored string")
 
 
 @query("select file_id||':'||start_index as id from (select distinct file_id,start_index,ast_context from plugin_source_candidates)")

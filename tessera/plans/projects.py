@@ -52,10 +52,13 @@ def j12_tags_by_rules(spark, sf):
 CODES = [("c1", "array", "話を聞く"), ("c2", "array", "Stay here"), ("c3", "short_text", "HP")]
 
 
-@query("select fact_id,rule_id from items join (values " + ",".join(f"('{a}','{b}','{c}')" for a, b, c in CODES) + ") r(rule_id,kind,first) on item_type=kind and original_lines[1]=first")
+COMMAND_RULES = [("long", "long_text", {}), ("asked", "array", {0: "話を聞く"}), ("two", "array", {0: "はい", 1: "いいえ"}), ("far", "array", {9: "x"})]
+
+
+@query("""select fact_id,rule_id from items,(values ('long','long_text',null,null),('asked','array','話を聞く',null),('two','array','はい','いいえ')) r(rule_id,code,p0,p1) where item_type=code and (p0 is null or original_lines[1]=p0) and (p1 is null or original_lines[2]=p1)""")
 def j14_commands_by_rules(spark, sf):
-    r = spark.createDataFrame(CODES, "rule_id string, item_type string, first string")
-    return R.items(spark, sf).join(r, "item_type").where(F.try_element_at("original_lines", F.lit(1)) == F.col("first")).select("fact_id", "rule_id")
+    rules = spark.createDataFrame(COMMAND_RULES, "rule_id string, code string, filters map<int,string>")
+    return terms.commands_by_rules(R.items(spark, sf).select("fact_id", F.col("item_type").alias("code"), F.col("original_lines").alias("parameters")), rules).select("fact_id", "rule_id")
 
 
 @query("select fact_id,n_name from (select fact_id,unnest(regexp_extract_all(raw_text,'\\\\C\\[([0-9]+)\\]',1)) as k from items) join nation on n_nationkey=try_cast(k as integer)".replace("\\\\\\\\", "\\\\"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
 from tessera.operators import scope, sequence
 from tessera.plans import relations as R
 from tessera.plans.relations import sql
 from tessera.streaming import runs
 
+TAG = "'" + X.NOTE_TAG + "'"
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -214,9 +216,21 @@ def a06_gate(spark, sf):
     return scope.gate(f, i, t, R.errors(spark, sf), need)
 
 
-@query("""select domain,item_type,count(*) as hits,count_if(length(trim(raw_text,' '))>0)::bigint as value_hits,count(distinct source_file) as files,min(location_path) as first_sample from items group by all""")
+_TAGS = f"(select doc_id,coalesce(source,'') as file,regexp_extract(m,{TAG},1) as tag,nullif(regexp_extract(m,{TAG},2),'') as value from (select doc_id,source,unnest(regexp_extract_all(text,{TAG})) as m from documents))"
+_FILE = "case when regexp_matches(file,'^map_script-[0-9]+$') then 'map_script-*' else file end"
+
+
+@query(f"""select file_pattern,tag,hits,value_hits,translatable_hits,samples from (select {_FILE} as file_pattern,tag,count(*) as hits,count(value) as value_hits,coalesce(count_if(coalesce(regexp_matches(value,'{X.JA_REQUIRED}'),false)),0)::bigint as translatable_hits from {_TAGS} group by all)
+ left join (select file_pattern,tag,string_agg(value,'|' order by first) as samples from (select *,row_number() over (partition by file_pattern,tag order by first,value) as n from (select {_FILE} as file_pattern,tag,value,min(doc_id) as first from {_TAGS} where value is not null group by all)) where n<=3 group by all) using(file_pattern,tag)""")
 def a07_tag_candidates(spark, sf):
-    return R.items(spark, sf).groupBy("domain", "item_type").agg(F.count("*").alias("hits"), F.count_if(F.length(F.trim("raw_text")) > 0).alias("value_hits"), F.countDistinct("source_file").alias("files"), F.min("location_path").alias("first_sample"))
+    tags = R.table(spark, sf, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("file"), F.explode(F.regexp_extract_all("text", F.lit(X.NOTE_TAG), F.lit(0))).alias("m"))
+    file = F.when(F.col("file").rlike("^map_script-[0-9]+$"), "map_script-*").otherwise(F.col("file"))
+    t = tags.select("doc_id", file.alias("file_pattern"), F.regexp_extract("m", X.NOTE_TAG, 1).alias("tag"), F.nullif(F.regexp_extract("m", X.NOTE_TAG, 2), F.lit("")).alias("value"))
+    key = ["file_pattern", "tag"]
+    counts = t.groupBy(*key).agg(F.count("*").alias("hits"), F.count("value").alias("value_hits"), F.count_if(F.col("value").rlike(X.JA_REQUIRED)).alias("translatable_hits"))
+    first = scope.first_n(t.where("value is not null").groupBy(*key, "value").agg(F.min("doc_id").alias("first")), key, [F.col("first"), F.col("value")], 3)
+    samples = first.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "value"))), lambda x: x["value"]), "|").alias("samples"))
+    return counts.join(samples, key, "left")
 
 
 @query("""with m as (select unnest(regexp_extract_all(raw_text,'\\\\[A-Za-z]+\\[[0-9]+\\]')) as marker,raw_text from items) select marker,count(*) as n,count(distinct raw_text) as sources,bool_or(marker like '\\C%') as standard from m group by 1""".replace("\\\\\\\\", "\\\\").replace("with m as", "select * from (with m as") + ")")
@@ -243,15 +257,18 @@ def a11_risk_score(spark, sf):
     return scope.risk(R.table(spark, sf, "plugin_source_candidates").withColumn("strength", F.when(F.col("confidence") == "high", "strong").otherwise(F.col("confidence"))), "file_id")
 
 
-@query("select coalesce(nullif(context,''),'none') as place,count(*) as n,count_if(active)::bigint as active,count_if(confidence='low')::bigint as weak from plugin_source_candidates group by 1")
+@query("""select coalesce(role,'unreviewed') as role,count(*) as n,count_if(stale)::bigint as stale from (select case when file_id%4=0 then null when flagged then 'filtered' when not active then 'excluded' else 'translated' end as role,file_id%4<>0 and gone as stale from (select distinct c.file_id,c.selector,coalesce(c.active,false) as active,coalesce(len(c.structural_flags),0)>0 as flagged,f.file_id is null as gone from plugin_source_candidates c left join (select distinct file_id from plugin_source_files where source_text is not null) f on f.file_id=c.file_id)) group by 1""")
 def a12_review_summary(spark, sf):
-    return R.table(spark, sf, "plugin_source_candidates").groupBy(F.coalesce(F.nullif(F.col("context"), F.lit("")), F.lit("none")).alias("place")).agg(F.count("*").alias("n"), F.count_if("active").alias("active"), F.count_if(F.col("confidence") == "low").alias("weak"))
+    now = R.table(spark, sf, "plugin_source_files").where("source_text is not null").select("file_id", F.lit(True).alias("here")).distinct()
+    c = R.table(spark, sf, "plugin_source_candidates").select("file_id", "selector", F.coalesce("active", F.lit(False)).alias("active"), (F.coalesce(F.size("structural_flags"), F.lit(0)) > 0).alias("flagged")).distinct()
+    reviewed = F.col("file_id") % 4 != 0
+    role = F.when(~reviewed, "unreviewed").when(F.col("flagged"), "filtered").when(~F.col("active"), "excluded").otherwise("translated")
+    return c.join(now, "file_id", "left").groupBy(role.alias("role")).agg(F.count("*").alias("n"), F.count_if(reviewed & F.col("here").isNull()).alias("stale"))
 
 
 @query(None)
 def a14_quality_counts(spark, sf):
     from tessera.functions import controls
-    from tessera.functions import text as X
 
     lines = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull())
     i = R.items(spark, sf).where("translation_lines is not null")
@@ -263,10 +280,13 @@ def a14_quality_counts(spark, sf):
     return plain.select(one, "*").join(marks.select(one, "*"), "one").select("source_residual", "text_structure", "placeholder_risk", "overwide_line")
 
 
-@query("select game_id,source_file,count(*) as n,string_agg(sha256(fact_id),'|' order by sha256(fact_id)) as ids,count(distinct speaker)>1 as conflicting from items where domain='nonstandard_data' group by all")
+@query("""select i.game_id,i.source_file,count(*) as n,sum(('0x'||substr(sha256(fact_id),1,15))::bigint)::varchar as ids,max(d.name) as display_name,case when max(d.names)>1 then 'display_name_conflict' end as error from items i left join (select game_id,source_file,min(raw_text) as name,count(distinct raw_text) as names from items where path like '%/displayName' group by all) d on d.game_id=i.game_id and d.source_file=i.source_file where i.game_id is not null group by 1,2""")
 def a15_items_by_file(spark, sf):
-    i = R.items(spark, sf).where("domain = 'nonstandard_data'").withColumn("h", F.sha2("fact_id", 256))
-    return i.groupBy("game_id", "source_file").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("h")), "|").alias("ids"), (F.countDistinct("speaker") > 1).alias("conflicting"))
+    i = R.items(spark, sf).where("game_id is not null")
+    key = ["game_id", "source_file"]
+    shown = i.where("path like '%/displayName'").groupBy(*key).agg(F.min("raw_text").alias("display_name"), F.countDistinct("raw_text").alias("names"))
+    whole = scope.set_fingerprint(i, key, "fact_id").withColumnRenamed("fingerprint", "ids")
+    return whole.join(shown, key, "left").select(*key, "n", "ids", "display_name", F.when(F.col("names") > 1, "display_name_conflict").alias("error"))
 
 
 @query("select trim(raw_text,' ') as term,count(distinct answer) as variants,count(distinct answer)>1 as conflict from items where item_type='short_text' group by 1")
@@ -324,11 +344,6 @@ def a24_candidate_list_fingerprint(spark, sf):
     return scope.canonical_fingerprint(c, ["file_id"], ["start_index", "selector"], ["active", "selector", "text"])
 
 
-@query("""select speaker,count(distinct path) as places,min(raw_text) as sample,speaker not in ('','旁白') as requires_name from items where item_type='long_text' group by 1""")
-def a25_speaker_requirements(spark, sf):
-    return R.items(spark, sf).where("item_type = 'long_text'").groupBy("speaker").agg(F.countDistinct("path").alias("places"), F.min("raw_text").alias("sample"), (~F.col("speaker").isin("", "旁白")).alias("requires_name"))
-
-
 _SCOPE = "sum(('0x'||substr(sha256(fact_id),1,15))::bigint)::varchar"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import controls, javascript, namebox
 from tessera.functions import json as J
 from tessera.functions import text as X
-from tessera.operators import sequence
+from tessera.operators import scope, sequence
 from tessera.plans import relations as R
 from tessera.plans.relations import sql
 
@@ -196,9 +196,10 @@ def x20_nested_leaves(spark, sf):
     return J.leaves(docs, "o_orderkey", "doc").select(F.col("key").cast("long").alias("o_orderkey"), "path", "value")
 
 
-@query("""select '$[''lines''][*][''part'']' as template,count(*) as hits from orders join lineitem on l_orderkey=o_orderkey""")
+@query("""select template,count(*) as hits from (select row_number() over (partition by o_orderkey order by l_linenumber,l_partkey)-1 as n from orders join lineitem on l_orderkey=o_orderkey),(values ('$[''lines''][*][''part'']',-1),('$[''lines''][0][''part'']',0),('$[''lines''][2][''part'']',2),('$[''lines''][*][''none'']',-2)) t(template,fixed) where fixed=-1 or fixed=n group by 1""")
 def j13_template_hits(spark, sf):
-    return x20_nested_leaves(spark, sf).groupBy(J.generalise(F.col("path")).alias("template")).agg(F.count("*").alias("hits"))
+    templates = spark.createDataFrame([("$['lines'][*]['part']",), ("$['lines'][0]['part']",), ("$['lines'][2]['part']",), ("$['lines'][*]['none']",)], "template string")
+    return J.matched_templates(x20_nested_leaves(spark, sf), templates).groupBy("template").agg(F.count("*").alias("hits"))
 
 
 @query("select event_id,'k' as slash,try_cast(json_extract_string(props,'$.k') as bigint) as value from events")
@@ -278,7 +279,13 @@ def x33_structure_errors(spark, sf):
     return R.items(spark, sf).where("translation_lines is not null").select("fact_id", F.array_join(e, "|").alias("codes"))
 
 
-@query(None)
+_BAREJ = f"regexp_replace(regexp_replace(l,{_q(X.CONTROLS)},' ','g'),'\\\\[A-Za-z]+\\[[^\\]]*\\]',' ','g')"
+_OTHER = f"regexp_matches(regexp_replace({_BAREJ},{_q(X.JA_RESIDUAL)},'','g'),'[\\p{{L}}\\p{{N}}]')"
+_RESTJ = f"regexp_replace(s,'[{X.JA_ALLOWED_CHARS}]','','g')"
+_BADJ = f"case when {_RESTJ}='' then not {_OTHER} else not ({_OTHER} and regexp_replace({_RESTJ},'[{X.JA_ALLOWED_TAIL}]','','g')='') end"
+
+
+@query(f"""select fact_id,array_to_string(segments,'|') as segments from (select fact_id,list_filter(list_transform(list_filter(translation_lines,lambda l: l is not null),lambda l: list_filter(regexp_extract_all({_BAREJ},{_q(X.JA_RESIDUAL)}),lambda s: {_BADJ})),lambda x: len(x)>0)[1] as segments from items) where segments is not null""")
 def x35_japanese_residual(spark, sf):
     lines = F.filter("translation_lines", lambda x: x.isNotNull())
     r = R.items(spark, sf).where(F.col("answer").rlike(X.JA_RESIDUAL)).select("fact_id", X.japanese_residual(lines).alias("segments"))
@@ -322,6 +329,23 @@ def _boxes(spark: SparkSession, sf: str) -> DataFrame:
     return namebox.boxes(first, "fact_id", "line", BOXES, {1: "Harold"})
 
 
+_SPOKEN = r"(select case when actor then 'Harold' when trim(said,' ')<>'' then rtrim(rtrim(trim(who,' '),':：'),' ') else trim(who,' ') end as source_text,rule,case when actor then 'actor_name' when rule='speech' then 'keep' else 'translate' end as policy,path,fact_id,nullif(trim(said,' '),'') as line from " + BOXED + r" where not conflict and (not actor or who in ('\N[1]','\n[1]')))"
+
+
+@query(f"""select source_text,rule,policy,policy<>'keep' as requires_speaker_name,places,samples from (select source_text,rule,policy,count(distinct path) as places from {_SPOKEN} group by all)
+ left join (select source_text,rule,policy,string_agg(line,'|' order by first,line) as samples from (select *,row_number() over (partition by source_text,rule,policy order by first,line) as n from (select source_text,rule,policy,line,min(fact_id) as first from {_SPOKEN} where line is not null group by all)) where n<=3 group by all) using(source_text,rule,policy)""")
+def a25_speaker_requirements(spark, sf):
+    policy = F.create_map(*[F.lit(x) for r in BOXES for x in (r.name, r.policy)])
+    b = _boxes(spark, sf).where("error is null").join(R.items(spark, sf).select(F.col("fact_id").alias("key"), "path"), "key")
+    b = b.withColumn("policy", policy[F.col("rule")]).withColumn("source_text", F.when(F.col("policy") == "actor_name", F.col("speaker")).otherwise(F.col("source_speaker")))
+    key = ["source_text", "rule", "policy"]
+    lines = b.where(X.strip(F.col("body")) != "").groupBy(*key, X.strip(F.col("body")).alias("line")).agg(F.min("key").alias("first"))
+    first = scope.first_n(lines, key, [F.col("first"), F.col("line")], 3)
+    samples = first.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "line"))), lambda x: x["line"]), "|").alias("samples"))
+    places = b.groupBy(*key).agg(F.countDistinct("path").alias("places"))
+    return places.join(samples, key, "left").select(*key, (F.col("policy") != "keep").alias("requires_speaker_name"), "places", "samples")
+
+
 @query(f"""select fact_id,rule,case when conflict then 'rules_conflict' when actor and who not in ('\\N[1]','\\n[1]') then 'actor_unknown' end as error,case when conflict or (actor and who not in ('\\N[1]','\\n[1]')) then null when actor then 'Harold' when trim(said)<>'' then rtrim(rtrim(trim(who),':：')) else trim(who) end as speaker from {BOXED}""")
 def x40_name_boxes(spark, sf):
     return _boxes(spark, sf).select(F.col("key").alias("fact_id"), "rule", "error", "speaker")
@@ -404,7 +428,9 @@ def s13_string_literals(spark, sf):
 @query("select distinct file_id,start_index,raw_text from plugin_source_candidates c where exists (select 1 from plugin_source_files f where f.file_id=c.file_id and f.source_text is not null)")
 def s14_scan_with_cache(spark, sf):
     files = _files(spark, sf)
-    cached = javascript.string_literals(files.where("file_id % 2 = 0")).join(files.select("file_id", F.sha2("source_text", 256).alias("sha256")), "file_id")
+    half, old = files.where("file_id % 2 = 0"), files.where("file_id % 4 = 1")
+    # scans of another version hold what must not come back
+    cached = javascript.as_cache(javascript.string_literals(half), files).unionByName(javascript.as_cache(javascript.string_literals(old).withColumn("raw_text", F.lit("stale")), files, {"rules_version": 0}))
     return javascript.with_cache(files, cached, javascript.string_literals).select("file_id", "start_index", "raw_text")
 
 

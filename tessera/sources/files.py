@@ -146,6 +146,17 @@ def visible_texts(files: DataFrame, key: Column) -> DataFrame:
     return at.where(shown & (F.trim("value") != ""))
 
 
+def _is_table(fs, file) -> bool:
+    """Whether a file begins as a table does."""
+    if file.getLen() < 12:
+        return False
+    stream = fs.open(file.getPath())
+    try:
+        return bytes(stream.read() for _ in range(4)) == b"PAR1"
+    finally:
+        stream.close()
+
+
 def registry(spark: SparkSession, root: str) -> DataFrame:
     """The games that have a table folder under ``root``: game, and why it can't be read (null if it can)."""
     jvm = spark.sparkContext._jvm
@@ -153,14 +164,12 @@ def registry(spark: SparkSession, root: str) -> DataFrame:
     fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     rows = []
     for entry in fs.listStatus(base):  # one folder a game
-        path = entry.getPath()
-        problem = None
-        try:
-            spark.read.parquet(path.toString()).schema
-        except Exception as e:  # noqa: BLE001 - a broken table is listed, not raised
-            problem = "unreadable" if entry.isDirectory() else "no_folder"
-            del e
-        rows.append((path.getName(), problem))
+        problem = None if entry.isDirectory() else "no_folder"
+        if entry.isDirectory():
+            tables = [f for f in fs.listStatus(entry.getPath()) if f.getPath().getName().endswith(".parquet")]
+            if not tables or not all(_is_table(fs, f) for f in tables):
+                problem = "unreadable"
+        rows.append((entry.getPath().getName(), problem))
     return spark.createDataFrame(rows, "game string, problem string")
 
 
