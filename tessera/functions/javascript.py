@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -124,30 +125,45 @@ def string_literals(files: DataFrame) -> DataFrame:
     return files.select("file_id", "source_text").mapInPandas(_literals, kind)
 
 
+def spliced(src: str, edits: list[tuple[int, int, str, str]]) -> tuple[str, list[tuple[int, str]], str | None]:
+    """A source with literals ``(start, end, raw text, new text)`` replaced, where each now begins with its raw text, and
+    why it can't be done: a literal isn't what was stored, two edits overlap, or the result, read again, doesn't hold
+    every new text as a literal where it was put."""
+    out, places, at, moved = [], [], 0, 0
+    for start, end, raw, new in sorted(edits):
+        closed = end - start > 1 and src[end - 1 : end] == src[start : start + 1]
+        if start < at:
+            return src, [], "edits_overlap"
+        if end > len(src) or src[start + 1 : end - closed] != raw:
+            return src, [], "source_changed"
+        body = escape(new, src[start])
+        out += [src[at : start + 1], body]
+        places.append((start + moved, body))
+        moved += len(body) - len(raw)
+        at = end - closed
+    text = "".join([*out, src[at:]])
+    found = {a: text[a + 1 : b - (b - a > 1 and text[b - 1] == text[a])] for a, b, kind in spans(text) if kind in ("str", "tpl")}
+    if any(found.get(a) != body or unescape(body) != new for (a, body), (_, _, _, new) in zip(places, sorted(edits), strict=True)):
+        return src, [], "syntax_changed"
+    return text, places, None
+
+
 def splice(files: DataFrame, edits: DataFrame) -> DataFrame:
     """Put new texts in place of literals: ``edits`` are ``(file_id, start_index, end_index, raw_text, new_text)``.
 
-    A file whose stored literal differs from the source is not written: the row says why. Edits of a file are applied
-    from its end to its start, so earlier places stay valid. Returns file_id, content, changed, failure.
+    A file is written whole or not at all, and then the row says why. Returns file_id, content, changed, failure, and the
+    map of what was written: where each new literal begins, its raw text and hash.
     """
 
     def apply(key: tuple, f: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        if f.empty:
-            return pd.DataFrame({"file_id": [key[0]], "content": [None], "changed": [0], "failure": ["file_missing"]})
-        src = f["source_text"].iloc[0] or ""
-        changed, failure = 0, None
-        for r in e.sort_values("start_index", ascending=False).itertuples():
-            if src[r.start_index + 1 : r.end_index - 1] != r.raw_text:
-                failure = "source_changed"
-                break
-            q = src[r.start_index]
-            src = src[: r.start_index + 1] + escape(r.new_text, q) + src[r.end_index - 1 :]
-            changed += 1
-        if failure:
-            src, changed = f["source_text"].iloc[0], 0
-        return pd.DataFrame({"file_id": [key[0]], "content": [src], "changed": [changed], "failure": [failure]})
-
-    out = "file_id long, content string, changed int, failure string"
+        src, places, failure = None, [], "file_missing"
+        if not f.empty:
+            rows = list(e[["start_index", "end_index", "raw_text", "new_text"]].itertuples(index=False, name=None))
+            src, places, failure = spliced(f["source_text"].iloc[0] or "", rows)
+        written = [{"start_index": a, "raw_text": t, "sha256": hashlib.sha256(t.encode("utf-8", "replace")).hexdigest()} for a, t in places]
+        return pd.DataFrame({"file_id": [key[0]], "content": [src], "changed": [len(places)], "failure": [failure], "written": [written]})
+
+    out = "file_id long, content string, changed int, failure string, written array<struct<start_index:int,raw_text:string,sha256:string>>"
     return files.select("file_id", "source_text").groupBy("file_id").cogroup(edits.groupBy("file_id")).applyInPandas(apply, out)
 
 

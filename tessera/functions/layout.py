@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.controls import all_spans
@@ -116,3 +116,21 @@ def edit_commands(commands: list[dict], lines: list[str], anchors: list[int], co
 def covered(candidates, spans):
     """Whether a span ``(start, stop)`` lies within one of an array of spans, as a column expression."""
     return F.exists(spans, lambda s: (s["start"] <= candidates["start"]) & (s["stop"] >= candidates["stop"]))
+
+
+def masked_terms(text: Column, terms: list[str], ignore_case: bool = False) -> Column:
+    """X37 on columns: allowed terms blanked, longest first; without case they need word boundaries."""
+    out = text
+    for t in sorted((t for t in terms if t), key=len, reverse=True):
+        out = F.regexp_replace(out, rf"(?i)(^|[^A-Za-z0-9_]){re.escape(t)}([^A-Za-z0-9_]|$)", "$1 $2") if ignore_case else F.regexp_replace(out, re.escape(t), " ")
+    return out
+
+
+def rendered(template: str, **fields: Column) -> Column:
+    """X52 on columns: a template with its ``{name}`` marks filled; a mark without a field, or the other way round, is an
+    error."""
+    names = re.findall(r"\{([^{}]*)\}", template)
+    if set(names) != set(fields):
+        raise ValueError("render_template_invalid")
+    parts = re.split(r"\{[^{}]*\}", template)
+    return F.concat(F.lit(parts[0]), *[x for n, p in zip(names, parts[1:], strict=True) for x in (fields[n], F.lit(p))])

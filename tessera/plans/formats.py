@@ -172,11 +172,7 @@ def x32_repaired_wraps(spark, sf):
 
 @query("select fact_id,replace(replace(answer,'OLD MAP',' '),'HP',' ') as masked from items")
 def x37_masked_terms(spark, sf):
-    @F.pandas_udf("string")
-    def mask(a: pd.Series) -> pd.Series:
-        return a.map(lambda x: layout.mask_terms(x, ["HP", "OLD MAP"])).astype(object)
-
-    return R.items(spark, sf).select("fact_id", mask("answer").alias("masked"))
+    return R.items(spark, sf).select("fact_id", layout.masked_terms(F.col("answer"), ["HP", "OLD MAP"]).alias("masked"))
 
 
 @query(f"select fact_id,who as speaker,said as body,true as whole from {BOXED} where not conflict and not actor")
@@ -204,11 +200,7 @@ def x48_byte_offsets(spark, sf):
 
 @query("select fact_id,concat(speaker,'「',raw_text,'」') as line from items where speaker<>''")
 def x52_rendered_lines(spark, sf):
-    @F.pandas_udf("string")
-    def render(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([layout.render("{speaker}「{body}」", speaker=x, body=y) for x, y in zip(a, b, strict=True)], dtype=object)
-
-    return R.items(spark, sf).where("speaker <> ''").select("fact_id", render("speaker", "raw_text").alias("line"))
+    return R.items(spark, sf).where("speaker <> ''").select("fact_id", layout.rendered("{speaker}「{body}」", speaker=F.col("speaker"), body=F.col("raw_text")).alias("line"))
 
 
 def _batches(spark: SparkSession, sf: str) -> DataFrame:

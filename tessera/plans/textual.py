@@ -521,16 +521,17 @@ def w14_selected_spans(spark, sf):
     return controls.spans_of(R.items(spark, sf)).select(F.col("key").alias("fact_id"), "start", "stop", "placeholder")
 
 
-@query(None)
+@query("""select * from (select file_id||':'||start_index as key,ast_context as before,regexp_replace(ast_context,'"call_name": "[^"]*"','"call_name": "Warning"') as content from (select distinct file_id,start_index,ast_context from plugin_source_candidates) where contains(ast_context,'Error')) where content<>before""".replace("select * from (", "select key,content from (", 1))
 def k07_document_edits(spark, sf):
     c = _cands(spark, sf).select("file_id", "start_index", "ast_context").distinct().withColumn("id", F.concat_ws(":", "file_id", "start_index"))
     edits = c.where("ast_context like '%Error%'").select(F.col("id").alias("key"), F.lit("$['call_name']").alias("path"), F.lit("Warning").alias("new"))
     return J.apply_edits(c, edits, "id", "ast_context")
 
 
-@query(None)
+@query(f"""select file_id,failure,changed,(length(source_text)+changed)::bigint as chars from (select f.file_id,any_value(f.source_text) as source_text,null::varchar as failure,count(*) as changed from {FILES} f join (select distinct file_id,start_index,raw_text from plugin_source_candidates where raw_text<>'' and regexp_matches(text,{_q(X.JA_REQUIRED)}) and not contains(raw_text,'\\') and not contains(raw_text,'$')) c on c.file_id=f.file_id group by 1)""")
 def k11_source_splice(spark, sf):
     files = _files(spark, sf)
-    lit = javascript.string_literals(files).where(F.col("text").rlike(X.JA_REQUIRED) & (F.length("raw_text") > 0))
+    lit = javascript.string_literals(files).where(F.col("text").rlike(X.JA_REQUIRED) & (F.length("raw_text") > 0) & ~F.col("raw_text").contains("\\") & ~F.col("raw_text").contains("$"))
     edits = lit.select("file_id", "start_index", "end_index", "raw_text", F.concat(F.lit("译"), F.col("text")).alias("new_text"))
-    return javascript.splice(files.join(edits.select("file_id").distinct(), "file_id", "left_semi"), edits)
+    done = javascript.splice(files.join(edits.select("file_id").distinct(), "file_id", "left_semi"), edits)
+    return done.select("file_id", "failure", F.col("changed").cast("long").alias("changed"), F.length("content").cast("long").alias("chars"))

@@ -28,10 +28,12 @@ def get_spark(app: str = "tessera", cores: int | str = "*", shuffle_partitions:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session; only where that is unset
-    (local tests) a folder of this machine, which is then set for the session."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session; only where that is unset and the session
+    is local (as in tests) a folder of this machine, which is then set for the session. On a cluster it must be set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:

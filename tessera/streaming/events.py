@@ -8,17 +8,34 @@ from pyspark.sql import functions as F
 from tessera.session import remove, scratch
 
 
-def drain(spark: SparkSession, path: str, plan, mode: str = "append") -> DataFrame:
-    """Run ``plan(stream)`` over the stored table at ``path`` until all of it is taken; results via the shared folder."""
+def drain(spark: SparkSession, path: str, plan, mode: str = "append", time: str | None = None, delay: str = "10 minutes", size: str = "1 hour") -> DataFrame:
+    """Run ``plan(stream)`` over the stored table at ``path`` until all of it is taken; results via the shared folder.
+    The table is taken in bounded micro-batches. With ``time``, its event-time column, the end of the table is streamed
+    last: a row beyond all others by more than the watermark's ``delay`` and a window's ``size``, so that every window
+    of the table is closed and emitted."""
     home = scratch(spark, "stream")
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2**31 - 1).parquet(f"{path[:-1]}[{path[-1]}]")
+    table = spark.read.parquet(path)
+    wave = 128 * 2**20 * spark.sparkContext.defaultParallelism  # what the cores take at a time
+    stream = spark.readStream.schema(table.schema).option("maxBytesPerTrigger", wave).parquet(f"{path[:-1]}[{path[-1]}]")
+    end = None
+    if time is not None:
+        last = table.agg(F.max(time).alias(time))
+        end = last.select(*[(F.col(time) + F.expr(f"interval {delay}") + F.expr(f"interval {size}") + F.expr(f"interval {size}")).alias(time) if c == time else F.lit(None).cast(t).alias(c) for c, t in table.dtypes])
+        end.limit(0).write.parquet(f"{home}/end")
+        stream = stream.unionByName(spark.readStream.schema(end.schema).parquet(f"{home}/end"))
     out = plan(stream)
     if mode == "append":
         q = out.writeStream.outputMode("append").format("parquet").option("path", f"{home}/out")
     else:
         q = out.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{home}/out"))
-    q.option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
+    run = q.option("checkpointLocation", f"{home}/state").start()
+    try:
+        run.processAllAvailable()
+        if end is not None:
+            end.write.mode("append").parquet(f"{home}/end")
+            run.processAllAvailable()
+    finally:
+        run.stop()
     remove(spark, f"{home}/state")
     return spark.read.schema(out.schema).parquet(f"{home}/out")
 

@@ -84,6 +84,17 @@ def test_escape_round_trip(t, q):
     assert (a, b) == (4, len(src) - 1) and not rest
 
 
+def test_spliced_sources_are_read_again():
+    src = "a('x'); b(\"y\"); c('open"
+    lit = [(a, b, src[a + 1 : b - (src[b - 1] == src[a] and b - a > 1)]) for a, b, k in javascript.spans(src) if k == "str"]
+    assert [x[2] for x in lit] == ["x", "y", "open"]
+    text, places, failure = javascript.spliced(src, [(*lit[0], "it's"), (*lit[1], "z"), (*lit[2], "shut")])
+    assert failure is None and text == "a('it\\'s'); b(\"z\"); c('shut" and [text[p] for p, _ in places] == ["'", '"', "'"]
+    assert javascript.spliced(src, [(2, 5, "other", "z")])[2] == "source_changed"
+    assert javascript.spliced(src, [(*lit[0], "z"), (*lit[0], "y")])[2] == "edits_overlap"
+    assert javascript.spliced("a = b / 'x' / 2", [(2, 5, " b", "z")])[2] is not None
+
+
 def test_splice(spark):
     f = spark.createDataFrame([(1, "a('x'); b(\"y\")"), (2, "c('z')")], "file_id long, source_text string")
     e = spark.createDataFrame([(1, 2, 5, "x", "it's"), (1, 10, 13, "y", "YY"), (2, 2, 5, "old", "n")], "file_id long, start_index int, end_index int, raw_text string, new_text string")
