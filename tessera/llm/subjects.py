@@ -173,8 +173,8 @@ def _telling(cut: DataFrame, areas: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 def _described(cut: DataFrame, telling: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """``(doc_id, same, seeds, whole, sentences, phrases, core, mins)``: cut texts with the phrases of each sentence and of
-    the text that may tell a subject, the number of all sentences, the phrases that do tell one, and their minimum
-    hashes."""
+    the text that may tell a subject, the number of all sentences, the phrases that do tell one (31 bits of their hashes,
+    as they travel with every candidate link), and their minimum hashes."""
     sent = cut.sparkSession.sparkContext.broadcast(tuple(map(np.packbits, telling)))
     rng = np.random.default_rng(11)
     odd = [int(x) | 1 for x in rng.integers(1, 2**62, HASHES)]
@@ -202,7 +202,7 @@ def _described(cut: DataFrame, telling: tuple[np.ndarray, np.ndarray]) -> DataFr
             sure = tells[own & (BUCKETS - 1)]
             doc, own = doc[sure], own[sure]
             ends = np.searchsorted(doc, np.arange(len(b) + 1))
-            core = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own, pa.int64()))
+            core = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((own & (2**31 - 1)).astype(np.int32), pa.int32()))
             some = np.flatnonzero(np.diff(ends))
             mins = np.zeros((len(some), HASHES), np.int64)
             for k, m in enumerate(odd):
@@ -214,7 +214,7 @@ def _described(cut: DataFrame, telling: tuple[np.ndarray, np.ndarray]) -> DataFr
             least = pa.ListArray.from_arrays(pa.array(np.cumsum(size), pa.int32()), pa.array(mins.ravel(), pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("same"), b.column("seeds"), pa.array(whole), said, held, core, least], names=["doc_id", "same", "seeds", "whole", "sentences", "phrases", "core", "mins"])
 
-    kind = "doc_id long, same binary, seeds array<int>, whole long, sentences array<struct<n:int,phrases:array<long>>>, phrases array<long>, core array<long>, mins array<long>"
+    kind = "doc_id long, same binary, seeds array<int>, whole long, sentences array<struct<n:int,phrases:array<long>>>, phrases array<long>, core array<int>, mins array<long>"
     return cut.mapInArrow(step, kind)
 
 
