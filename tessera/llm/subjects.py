@@ -238,7 +238,9 @@ def spread_labels(links: DataFrame, seeds: DataFrame, areas: list[int]) -> tuple
     change, and the trusted seeds ``(doc_id, seeds)`` that were clamped. In between a document has a weight for each
     subject, the mean of its neighbours'; a clamped one has 1 for each of its seeds."""
     spark = links.sparkSession
-    both = stored(spark, links.select(F.col("doc_id").alias("src"), F.col("centre").alias("dst"), "sim").unionByName(links.select(F.col("centre").alias("src"), F.col("doc_id").alias("dst"), "sim")), "links")
+    # a link counts both ways; made by one pass over the links
+    way = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    both = stored(spark, links.select(F.explode(F.array(way("doc_id", "centre"), way("centre", "doc_id"))).alias("x"), "sim").select("x.*", "sim"), "links")
     subject = F.array(*[F.lit(x).cast("int") for x in areas])
 
     def ones(labels: DataFrame) -> DataFrame:
@@ -306,7 +308,7 @@ def propagate(documents: DataFrame, labels: DataFrame, areas: list[int]) -> Data
     texts = stored(spark, _described(cut, _telling(cut, areas)), "described")
     remove(spark, path)
     seeds = texts.where("size(seeds) > 0").select("doc_id", "seeds")
-    about, trusted = spread_labels(stored(spark, graph(texts), "graph"), seeds, areas)
+    about, trusted = spread_labels(graph(texts), seeds, areas)
     for _ in range(COUNTS):
         found = stored(spark, _shares(texts, stored(spark, _links(_phrase_counts(texts, about)), "phrases")), "shares")
         about = found.where(F.col("share") >= SHARE).groupBy("doc_id").agg(F.collect_set("subject_id").alias("about"))
