@@ -250,6 +250,15 @@ def test_temperature_is_fitted_despite_wrong_labels():
     assert abs(t - 3) < 0.4 and abs(noise - 0.15) < 0.07
 
 
+def test_a_model_without_errors_is_not_certain():
+    z = np.full((500, 7), -4.0)
+    y = np.arange(500) % 7
+    z[np.arange(500), y] = 4.0
+    t, noise = language._calibrate(z, y)
+    p = 1 / (1 + 6 * np.exp(-8 / t))
+    assert 0.99 < p < 1 - 1e-4 and noise < 0.01
+
+
 def test_japanese_in_han_alone_and_korean_are_decided_by_the_model():
     texts = ["第一章開始", "第二章終了", "第三章準備"] * 300 + ["第一章开始", "第二章结束", "第三章准备"] * 300 + ["비가 그치면", "문은 열린다고"] * 300
     labels = [0] * 900 + [2] * 900 + [3] * 600
