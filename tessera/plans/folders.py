@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import terminology
 from tessera.plans import relations as R
 from tessera.plans.relations import sql
 from tessera.plans.textual import FILES, _files
@@ -145,3 +146,18 @@ def k06_two_phase_import(spark, sf):
     after = validate.commit(after, new.withColumn("rule_id", F.lit("late")), plan)
     after = validate.commit(after, bad, validate.prepare(after, bad))
     return after.select("domain", "rule_id")
+
+
+_CATEGORY = "case source_file when 'Actors.json' then 'actor_names' when 'Classes.json' then 'class_names' when 'Skills.json' then 'skill_names' when 'Items.json' then 'item_names' when 'Weapons.json' then 'weapon_names' when 'Armors.json' then 'armor_names' when 'Enemies.json' then 'enemy_names' when 'States.json' then 'state_names' end"
+
+
+@query(f"""with n as (select *,{_CATEGORY} as category from items where game_id is not null), t as (select game_id,category,trim(raw_text,' ') as source,min(answer) as new from n where category is not null and trim(raw_text,' ')<>'' and trim(answer,' ')<>'' group by all)
+select 'g'||n.game_id as project,'g'||n.game_id||'/'||source_file as key,raw_text as value,new from n join t on t.game_id=n.game_id and t.category=n.category and t.source=trim(n.raw_text,' ') where {_READ.replace('game_id%3', 'n.game_id%3').replace('or game_id in', 'or n.game_id in')}""".replace("with n as", "select * from (with n as") + ")")
+def k12_terminology_edits(spark, sf):
+    f = _project(spark, sf).where("kind = 'data'").withColumn("doc", F.concat_ws("/", "project", "file_name"))
+    key = F.col("key")
+    leaves = files.leaves(f.select(F.col("doc").alias("file_name"), "text")).select(F.substring_index(key, "/", 1).alias("project"), key.alias("key"), F.substring_index(key, "/", -1).alias("file_name"), "path", "value")
+    kinds = F.create_map(*[F.lit(x) for name, k, kind in terminology.FIELDS if k == "name" for x in (name, kind)])
+    i = R.items(spark, sf).where("game_id is not null and trim(answer) <> '' and trim(raw_text) <> ''")
+    terms = i.select(F.concat(F.lit("g"), F.col("game_id").cast("string")).alias("project"), kinds[F.col("source_file")].alias("category"), F.col("raw_text").alias("source"), F.col("answer").alias("translated")).where("category is not null")
+    return terminology.edits(leaves, terms, ["project"]).select("project", "key", "value", "new")

@@ -166,10 +166,3 @@ def r06_placeholder_rules(spark, sf):
 def k06_plan_tokens(spark, sf):
     i = R.items(spark, sf).select(F.col("source_file").alias("domain"), F.col("raw_text").alias("payload"))
     return validate.plan_token(i)
-
-
-@query("select i.fact_id,coalesce(v.translated,i.raw_text) as value,v.translated is not null as replaced from items i left join (select trim(raw_text,' ') as term,source_file,min(answer) as translated from items where item_type='short_text' and trim(answer,' ')<>'' group by all) v on v.term=trim(i.raw_text,' ') and v.source_file=i.source_file where i.item_type='short_text'")
-def k12_terminology_write(spark, sf):
-    i = R.items(spark, sf).where("item_type = 'short_text'").withColumn("term", F.trim("raw_text"))
-    v = i.where(F.trim("answer") != "").groupBy("term", "source_file").agg(F.min("answer").alias("translated"))
-    return i.join(v, ["term", "source_file"], "left").select("fact_id", F.coalesce("translated", "raw_text").alias("value"), F.col("translated").isNotNull().alias("replaced"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import controls, javascript, layout, namebox
 from tessera.functions import json as J
 from tessera.functions import text as X
-from tessera.operators import scope, sequence, terms
+from tessera.operators import scope, sequence, terminology, terms
 from tessera.plans import projects, textual
 from tessera.plans import relations as R
 from tessera.rules import validate
@@ -258,6 +258,21 @@ def test_structural_masking_keeps_the_check_group(spark):
     assert got == ["   かな     かな", "<b> </b>", "x", None]
 
 
+def test_terminology_is_written_into_every_kind_of_field(spark):
+    docs = {
+        "Actors.json": [None, {"name": " Ann ", "nickname": "Ace", "note": "Ann"}], "System.json": {"elements": ["", "Fire"], "gameTitle": "Fire"},
+        "Map001.json": {"displayName": "Town", "events": [None, {"list": [{"code": 101, "parameters": ["", 0, 0, 2, "Ann"]}, {"code": 401, "parameters": ["Ann", 0, 0, 2, "Ann"]}]}]},
+    }
+    rows = spark.createDataFrame([("p", n, json.dumps(d)) for n, d in docs.items()], "project string, file_name string, text string")
+    leaves = files.leaves(rows).select(F.lit("p").alias("project"), "key", F.col("key").alias("file_name"), "path", "value")
+    terms = [("actor_names", "Ann", "安"), ("actor_names", "Ann", "安娜"), ("actor_nicknames", "Ace", "王牌"), ("system_elements", "Fire", "火"), ("map_display_names", "Town", "镇"), ("speaker_names", "Ann", "安"), ("item_names", "Fire", "x")]
+    edits = terminology.edits(leaves, spark.createDataFrame([("p", *t) for t in terms], "project string, category string, source string, translated string"), ["project"])
+    done = {r.key: json.loads(r.content) for r in J.apply_edits(rows, edits.select("key", "path", "new"), "file_name", "text").collect()}
+    assert done["Actors.json"][1] == {"name": "安", "nickname": "王牌", "note": "Ann"} and done["System.json"] == {"elements": ["", "火"], "gameTitle": "Fire"}
+    told = done["Map001.json"]["events"][1]["list"]
+    assert done["Map001.json"]["displayName"] == "镇" and told[0]["parameters"][4] == "安" and told[1]["parameters"][4] == "Ann"
+
+
 def test_glossary_and_answers(spark):
     asked = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (3, 1)], "b int, p int")
     given = spark.createDataFrame([(1, 1, "a"), (1, 9, "x"), (2, 1, "a"), (2, 1, "b"), (2, 2, "c"), (3, 9, "d"), (3, 9, "e")], "b int, p int, a string")
