@@ -186,3 +186,14 @@ def spans_of(rows: DataFrame, key: str = "fact_id", text: str = "raw_text") -> D
             yield pd.DataFrame(out, columns=["key", "start", "stop", "original", "placeholder"])
 
     return rows.select(key, text).where(F.col(text).rlike(r"[\\%]")).mapInPandas(step, "key string, start int, stop int, original string, placeholder string")
+
+
+def candidates_of(rows: DataFrame, key: str = "fact_id", text: str = "raw_text") -> DataFrame:
+    """X11: one row per possible control sequence: key, start, stop, candidate."""
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(k, s, e, t[s:e]) for k, t in zip(b[key], b[text], strict=True) if t for s, e in raw_candidates(t)]
+            yield pd.DataFrame(out, columns=["key", "start", "stop", "candidate"])
+
+    return rows.select(key, text).where(F.contains(F.col(text), F.lit("\\"))).mapInPandas(step, "key string, start int, stop int, candidate string")

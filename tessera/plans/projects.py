@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import layout
+from tessera.functions import controls, layout
 from tessera.functions import text as X
 from tessera.operators import terms
 from tessera.plans import relations as R
@@ -13,6 +13,7 @@ from tessera.plans.textual import _cands, _q
 from tessera.rules import validate
 from tessera.streaming import events, runs
 
+RAW_SIGN = r"\\[{}\\$.|!><^]"
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -61,10 +62,12 @@ def j14_commands_by_rules(spark, sf):
     return terms.commands_by_rules(R.items(spark, sf).select("fact_id", F.col("item_type").alias("code"), F.col("original_lines").alias("parameters")), rules).select("fact_id", "rule_id")
 
 
-@query("select fact_id,n_name from (select fact_id,unnest(regexp_extract_all(raw_text,'\\\\C\\[([0-9]+)\\]',1)) as k from items) join nation on n_nationkey=try_cast(k as integer)".replace("\\\\\\\\", "\\\\"))
-def j24_numbers_to_names(spark, sf):
-    k = R.items(spark, sf).select("fact_id", F.explode(F.regexp_extract_all("raw_text", F.lit(r"\\C\[([0-9]+)\]"), F.lit(1))).alias("k"))
-    return k.join(R.table(spark, sf, "nation"), F.col("k").try_cast("int") == F.col("n_nationkey")).select("fact_id", "n_name")
+@query(r"select fact_id,code,id,n_name as name,case when n_name is null then 'name_unknown' end as error from (select fact_id,upper(regexp_extract(m,'^\\([A-Za-z])',1)) as code,regexp_extract(m,'([0-9]+)',1) as id from (select fact_id,unnest(regexp_extract_all(raw_text,'\\[NnCcVv]\[[0-9]+\]')) as m from items)) left join nation on n_nationkey=try_cast(id as integer)")
+def j24_names_of_numbers(spark, sf):
+    m = R.items(spark, sf).select("fact_id", F.explode(F.regexp_extract_all("raw_text", F.lit(r"\\[NnCcVv]\[[0-9]+\]"), F.lit(0))).alias("m"))
+    k = m.select("fact_id", F.upper(F.substring("m", 2, 1)).alias("code"), F.regexp_extract("m", "([0-9]+)", 1).alias("id"))
+    names = R.table(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("key"), F.col("n_name").alias("name"))
+    return k.join(names, F.col("id").try_cast("int") == F.col("key"), "left").select("fact_id", "code", "id", "name", F.when(F.col("name").isNull(), "name_unknown").alias("error"))
 
 
 @query("""with r as (select distinct file_id,case when start_index%7=0 then selector||'x' else selector end as selector from plugin_source_candidates where confidence='high'), c as (select distinct file_id,selector from plugin_source_candidates), f as (select distinct file_id from plugin_source_files where coalesce(source_text,'')<>'')
@@ -84,9 +87,9 @@ def x05_shells_off(spark, sf):
     return i.select("fact_id", X.decode_shells(X.encode_shell(X.encode_shell(F.trim("raw_text")))).alias("text"))
 
 
-@query("select fact_id,unnest(regexp_extract_all(raw_text,'\\\\[A-Za-z]+[0-9]*\\[[^\\]\\r\\n]{0,64}\\]')) as candidate from items".replace("\\\\\\\\", "\\\\"))
+@query(rf"select fact_id,candidate from (select fact_id,unnest(regexp_extract_all(raw_text,{_q(X.RAW_CONTROL + '|' + RAW_SIGN + '|' + X.RAW_BARE)})) as candidate from items) where not regexp_full_match(candidate,'\\[a-z]{{4,}}[0-9]*')")
 def x11_control_candidates(spark, sf):
-    return R.items(spark, sf).select("fact_id", F.explode(F.regexp_extract_all("raw_text", F.lit(r"\\[A-Za-z]+[0-9]*\[[^\]\r\n]{0,64}\]"), F.lit(0))).alias("candidate"))
+    return controls.candidates_of(R.items(spark, sf)).select(F.col("key").alias("fact_id"), "candidate")
 
 
 @query(None)
