@@ -38,7 +38,7 @@ def _data(spark: SparkSession, sf: str) -> DataFrame:
 def _project(spark: SparkSession, sf: str) -> DataFrame:
     """The files of all games: every third has ``www``, every fifth keeps its untranslated files beside translated ones."""
     key = ("folders", spark.sparkContext.applicationId, f"{sf}", R._version(spark, f"{sf}/translation_items.parquet"))
-    if key not in R._BUILT:
+    if R.built(spark, key) is None:
         root = scratch(spark, "projects")
         home = F.concat(F.lit("g"), F.col("game_id").cast("string"), F.when(F.col("game_id") % 3 == 0, "/www").otherwise(""))
         d = _data(spark, sf)

@@ -31,12 +31,21 @@ def _version(spark: SparkSession, path: str) -> tuple:
     return s.getFileCount(), s.getLength(), newest
 
 
+def built(spark: SparkSession, key: tuple) -> str | None:
+    """Where what ``key`` names was stored in this session, if it is still there."""
+    path = _BUILT.get(key)
+    if path is None:
+        return None
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p) else None
+
+
 def items(spark: SparkSession, sf: str) -> DataFrame:
     """The current items: the stored table of the source's present version, built at the first use. Queries read it with
     pushed filters and pruned columns, instead of looking for the latest row of every key each time."""
     source = f"{sf}/translation_items.parquet"
     key = (spark.sparkContext.applicationId, source, _version(spark, source))
-    if key not in _BUILT:
+    if built(spark, key) is None:
         path = scratch(spark, "items")
         build_items(spark, sf).write.parquet(path)
         _BUILT[key] = path

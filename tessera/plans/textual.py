@@ -516,9 +516,13 @@ def w12_copied_runs(spark, sf):
     return sequence.copied_rows(R.items(spark, sf), "fact_id", "raw_text", "answer").select(F.col("key").alias("fact_id"), F.size("runs").alias("runs"))
 
 
-@query(None)
+_MARK = "'\\[RMMZ_[A-Z0-9_]+\\]'"
+
+
+@query(f"""select fact_id,len(names)::bigint as spans,(length(raw_text)-length(regexp_replace(masked,{_MARK},'','g')))::bigint as chars,array_to_string(names,'|') as placeholders from (select fact_id,raw_text,masked,regexp_extract_all(masked,{_MARK}) as names from (select fact_id,raw_text,{_masked('raw_text')} as masked from items)) where len(names)>0""")
 def w14_selected_spans(spark, sf):
-    return controls.spans_of(R.items(spark, sf)).select(F.col("key").alias("fact_id"), "start", "stop", "placeholder")
+    spans = controls.spans_of(R.items(spark, sf)).groupBy("key").agg(F.count("*").alias("spans"), F.sum(F.col("stop") - F.col("start")).alias("chars"), F.array_sort(F.collect_list(F.struct("start", "placeholder"))).alias("all"))
+    return spans.select(F.col("key").alias("fact_id"), "spans", "chars", F.array_join(F.transform("all", lambda x: x["placeholder"]), "|").alias("placeholders"))
 
 
 @query("""select * from (select file_id||':'||start_index as key,ast_context as before,regexp_replace(ast_context,'"call_name": "[^"]*"','"call_name": "Warning"') as content from (select distinct file_id,start_index,ast_context from plugin_source_candidates) where contains(ast_context,'Error')) where content<>before""".replace("select * from (", "select key,content from (", 1))
