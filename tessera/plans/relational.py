@@ -233,10 +233,18 @@ def a07_tag_candidates(spark, sf):
     return counts.join(samples, key, "left")
 
 
-@query("""with m as (select unnest(regexp_extract_all(raw_text,'\\\\[A-Za-z]+\\[[0-9]+\\]')) as marker,raw_text from items) select marker,count(*) as n,count(distinct raw_text) as sources,bool_or(marker like '\\C%') as standard from m group by 1""".replace("\\\\\\\\", "\\\\").replace("with m as", "select * from (with m as") + ")")
+_CANDIDATE = "'" + X.RAW_CONTROL + r"|\\[{}\\$.|!><^]|" + X.RAW_BARE + "'"
+
+
+@query(rf"""select marker,count(*) as n,count(distinct raw_text) as sources,regexp_full_match(marker,'{X.CONTROLS}') as standard,marker in ('\!','\.') as custom,min(fact_id) as first_seen from (select fact_id,raw_text,unnest(regexp_extract_all(raw_text,{_CANDIDATE})) as marker from items) where not regexp_full_match(marker,'\\[a-z]{{4,}}[0-9]*') group by 1 order by standard,custom,lower(marker),first_seen""")
 def a08_placeholder_candidates(spark, sf):
-    m = R.items(spark, sf).select(F.explode(F.expr(r"regexp_extract_all(raw_text, r'\\[A-Za-z]+\[[0-9]+\]', 0)")).alias("marker"), "raw_text")
-    return m.groupBy("marker").agg(F.count("*").alias("n"), F.countDistinct("raw_text").alias("sources"), F.bool_or(F.col("marker").startswith("\\C")).alias("standard"))
+    from tessera.functions import controls
+
+    i = R.items(spark, sf)
+    m = controls.candidates_of(i).select(F.col("key").alias("fact_id"), F.col("candidate").alias("marker")).join(i.select("fact_id", "raw_text"), "fact_id")
+    counts = m.groupBy("marker").agg(F.count("*").alias("n"), F.countDistinct("raw_text").alias("sources"), F.min("fact_id").alias("first_seen"))
+    marked = counts.withColumn("standard", F.col("marker").rlike(f"^(?:{X.CONTROLS})$")).withColumn("custom", F.col("marker").isin("\\!", "\\."))
+    return marked.orderBy("standard", "custom", F.lower("marker"), "first_seen")
 
 
 @query("""select regexp_replace(path,'[0-9]+','*','g') as template,count(*) as hits,count(distinct game_id) as games from items group by 1""")
